@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, sharding
+from weftline.llm import chat, mixing, quality, sharding
 from weftline.llm.runtime import documents
 
 SHARDS = 16
@@ -49,5 +49,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting}
-ORACLES = {"op9_chat_formatting": OP9_SQL}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.judge(quality.ledger(quality.measure(documents(spark, sf_dir).select("doc_id", "text"))))
+    base = F.col("failures").bitwiseAND(F.lit(quality.POLICIES["v1"])) != 0
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, list_slice(w, i, i + 4) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM g) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    length(regexp_replace(array_to_string(w, ''), '\P{L}', '', 'g')) AS n_letters, length(regexp_replace(array_to_string(w, ''), '\P{Lu}', '', 'g')) AS n_upper
+  FROM w LEFT JOIN cov USING (r)),
+f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+  + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (n_words >= 10 AND word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT
+  + 64 * (2 * n_letters < word_chars)::BIGINT + 128 * (n_letters >= 50 AND 10 * n_upper > 6 * n_letters)::BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("copies")
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_mixing": op10_mixing, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting}
+ORACLES = {"op2_quality_rules": OP2_SQL, "op9_chat_formatting": OP9_SQL}
