@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import queries_native
+from weftline.llm import queries_models, queries_native
 
-_MODULES = (queries_native,)
+_MODULES = (queries_native, queries_models)
 
 
 def queries() -> dict:
