@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import toxicity
-from weftline.llm.runtime import documents, held_out
+from weftline.llm import bpe, langid, toxicity
+from weftline.llm.runtime import documents, held_out, small_batches
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +17,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("tox")).select("doc_id", "held_out", "tox.score", "tox.predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def vocabulary_path() -> str:
+    """The vocabulary file; WEFTLINE_VOCABULARY names another one."""
+    if found := os.environ.get("WEFTLINE_VOCABULARY"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = documents(spark, sf_dir).select("doc_id", bpe.round_trip(F.col("text"), vocabulary_path()).alias("bpe"))
+    return coded.select("doc_id", "bpe.*")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.learn(docs.select("doc_id", "text", "lang"))
+    told = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.predict(F.col("text"), profiles).alias("told"))
+    return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op1_toxicity": op1_toxicity}
 ORACLES: dict[str, str] = {}
