@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, toxicity
+from weftline.llm import bpe, langid, minhash, toxicity
 from weftline.llm.runtime import documents, held_out, small_batches
 
 
@@ -39,5 +39,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op1_toxicity": op1_toxicity}
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op1_toxicity": op1_toxicity}
 ORACLES: dict[str, str] = {}
