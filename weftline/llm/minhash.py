@@ -5,9 +5,12 @@ class from the start. A class has BINS minima out of a single pass over its
 hashes; bins that got none borrow from others along a fixed order of probes.
 BANDS keys of ROWS bins each put it into buckets. In a bucket only a star is
 compared: every member with the one member that shares most buckets with
-others. What a star leaves apart is compared in further stars until nothing is
-left to compare, so no pair is lost to the bound. Links are confirmed on the
-full sets.
+others. What the stars leave apart, the members of a bucket outside its largest
+component, meets the rest of the bucket in bounded blocks, where signatures are
+compared in place; whoever is likely to be linked belongs to one family, and the
+full sets of a family meet in blocks again. So no link between components is
+lost to the stars, and no list of pairs is ever longer than its rows. All links
+are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import textvec
+from weftline.llm import blocks, textvec
 from weftline.llm.components import components
 from weftline.llm.runtime import checked_broadcast, kept, small_batches
 
@@ -30,8 +33,12 @@ SHINGLE = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
-#: Pairs that the stars have left to compare, over classes, up to which they are compared at once; above, another round of stars comes first.
-LEFT_PER_CLASS = 4.0
+#: Rows of the two sides of a block: signatures of a bucket, and full sets of a family.
+LESS, MORE = 256, 512
+LESS_SETS, MORE_SETS = 64, 128
+
+#: A pair is looked at on its full sets unless its signatures are so many standard deviations below the limit.
+DEVIATIONS = 6.0
 
 
 def probes() -> np.ndarray:
@@ -71,6 +78,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(rows.strides[0]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = probes()
     for batch in batches:
@@ -82,9 +94,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             np.add.at(lo, r, textvec.mix64(h + np.uint64(1)))
             np.add.at(hi, r, textvec.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-            keys = band_keys(signatures(h, r, n, order))
-            blob = pa.Array.from_buffers(pa.binary(BANDS * 8), n, [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(size, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), blob], names=["doc_id", "n", "lo", "hi", "bands"])
+            sig = signatures(h, r, n, order)
+            keys = _bytes(band_keys(sig))
+            small = _bytes((textvec.mix64(sig) >> np.uint64(56)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(size, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), keys, small], names=["doc_id", "n", "lo", "hi", "bands", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +118,15 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the (a, b) whose full sets are alike enough. Only the texts of documents in pairs are read into sets."""
-    ids = kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "nd-ids")
+def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, hashes) of some documents. Only their texts are read into sets."""
     wanted = docs.join(checked_broadcast(ids, 2_000_000), docs.doc_id == ids.id, "left_semi")
-    sets = kept(wanted.select("doc_id", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
+    return kept(wanted.select("doc_id", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the (a, b) whose full sets are alike enough."""
+    sets = _full_sets(kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "nd-ids"), docs)
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b"))
     both = pairs.join(right, "b").join(left, "a")
@@ -117,6 +134,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
+def _sides(rows: DataFrame, group: str, less: int, more: int) -> DataFrame:
+    """Rows of groups with more than one label, dealt into blocks (group, i, j): those outside the group's largest label against all."""
+    parts = rows.groupBy(group, "label").agg(F.count("*").alias("n_label"))
+    mixed = parts.groupBy(group).agg(F.max(F.struct("n_label", "label")).alias("most"), F.sum("n_label").alias("m")).where("most.n_label < m")
+    mixed = mixed.select(group, F.col("most.label").alias("most"), "m", (F.col("m") - F.col("most.n_label")).alias("k"))
+    open_ = rows.join(mixed, group)
+    columns = [c for c in rows.columns if c != group]
+    few = open_.where("label <> most").select(group, blocks.block(F.col("id"), F.col("k"), less).alias("i"), blocks.all_blocks(F.col("m"), more).alias("j"), F.lit(True).alias("less"), *columns)
+    all_ = open_.select(group, blocks.all_blocks(F.col("k"), less).alias("i"), blocks.block(F.col("id"), F.col("m"), more).alias("j"), F.lit(False).alias("less"), *columns)
+    return few.union(all_)
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketches, links or None): a row per document with its set's size and class, and the confirmed links between classes.
 
@@ -124,14 +153,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     documents without words have no class.
     """
     small_batches(docs.sparkSession)
-    sketches = kept(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id bigint, n bigint, lo bigint, hi bigint, bands binary"), "nd-sketch")
-    reps = kept(sketches.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "nd-classes")
+    sketches = kept(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id bigint, n bigint, lo bigint, hi bigint, bands binary, sig binary"), "nd-sketch")
+    reps = kept(sketches.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n")), "nd-classes")
     buckets = reps.select("id", "bands").mapInArrow(_keys, "key bigint, id bigint")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = kept(buckets.join(shared, "key").select("key", "id", "n"), "nd-buckets")
     fame = kept(live.groupBy("id").agg(F.sum("n").alias("fame")), "nd-fame")
-    n_classes = fame.count()
-    if not n_classes:
+    if fame.isEmpty():
         return sketches, None
     live = kept(live.join(fame, "id").select("key", "id", "fame"), "nd-live")
     # the member that shares most buckets is the same in nearly all buckets of a group, so stars repeat few pairs
@@ -139,27 +167,73 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = kept(live.join(centre, "key").where("id <> centre"), "nd-rest")
     tried = kept(_ordered(rest).distinct(), "nd-star")
     links = kept(_confirmed(tried, docs), "nd-links")
-    while True:
-        # a bucket whose members are all joined is done; else those outside its largest part still have to meet the others
-        marked = rest.select("key", "id", "fame").join(components(links), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
-        rest = kept(marked.join(mixed.select("key", F.col("most.label").alias("most"), (F.col("n") * (F.col("n") - F.col("most.n"))).alias("cost"), "n"), "key"), "nd-rest")
-        left = rest.agg(F.coalesce(F.sum(F.col("cost") / F.col("n")), F.lit(0.0))).first()[0]
-        if not left:
-            return sketches, links
-        apart = rest.where("label <> most")
-        last = left <= LEFT_PER_CLASS * n_classes
-        if not last:
-            apart = apart.groupBy("key").agg(F.max(F.struct("fame", "id", "label")).alias("c")).select("key", "c.id", "c.label")
-        met = apart.select("key", F.col("id").alias("centre"), F.col("label").alias("centre_label"))
-        pairs = _ordered(rest.join(met, "key").where("label <> centre_label")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = kept(pairs, "nd-star")
-        links = kept(links.union(_confirmed(pairs, docs)), "nd-links")
-        if last:
-            return sketches, links
-        tried = kept(tried.union(pairs), "nd-tried")
-        rest = kept(rest.join(met.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "id", "fame"), "nd-rest")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = kept(components(links).withColumnRenamed("component", "label"), "nd-labels")
+    marked = rest.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sides = _sides(marked, "key", LESS, MORE).join(reps.select("id", "n", "sig"), "id").select("key", "i", "j", "less", "id", "label", "n", "sig")
+    likely = kept(blocks.together(sides, ["key", "i", "j"], n_parts).mapInArrow(_likely, "a bigint, b bigint").distinct(), "nd-likely")
+    if likely.isEmpty():
+        return sketches, links
+    family = components(likely.union(links)).withColumnRenamed("component", "family")
+    members = family.join(labels, "id", "left").select("family", "id", F.coalesce("label", "id").alias("label"))
+    sides = kept(_sides(members, "family", LESS_SETS, MORE_SETS), "nd-family")
+    sets = _full_sets(kept(sides.select("id").distinct(), "nd-ids"), docs)
+    met = blocks.together(sides.join(sets, "id").select("family", "i", "j", "less", "id", "label", "hashes"), ["family", "i", "j"], n_parts)
+    return sketches, kept(links.union(met.mapInArrow(_met, "a bigint, b bigint")), "nd-links")
+
+
+def _edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What joins the documents as the pairs (i, j) do."""
+    if len(i):
+        v, root = blocks.forest(len(ids), i, j)
+        a, b = ids[v], ids[root]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the documents of one block with those of another that have another label and whose signatures and sizes leave a link possible."""
+    for run in blocks.runs(batches, 3):
+        less = run.column("less").to_numpy(zero_copy_only=False).astype(bool)
+        if not less.any() or less.all():
+            continue
+        ids, labels, sizes = (run.column(c).to_numpy() for c in ("id", "label", "n"))
+        sig = blocks.matrix(run.column("sig"), "u1")
+        same = (sig[less][:, None, :] == sig[~less][None, :, :]).mean(axis=2)
+        na, nb = sizes[less][:, None], sizes[~less][None, :]
+        least = np.minimum(na, nb)
+        limit = PERCENT / 100
+        may = (100 * least >= PERCENT * np.maximum(na, nb)) & (labels[less][:, None] != labels[~less][None, :]) & (same >= limit - DEVIATIONS * np.sqrt(limit * (1 - limit) / np.minimum(least, BINS)))
+        i, j = np.nonzero(may)
+        yield from _edges(ids, np.flatnonzero(less)[i], np.flatnonzero(~less)[j])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the documents of one block with those of another that are linked, by the full sets."""
+    for run in blocks.runs(batches, 3):
+        less = run.column("less").to_numpy(zero_copy_only=False).astype(bool)
+        if not less.any() or less.all():
+            continue
+        ids, labels = run.column("id").to_numpy(), run.column("label").to_numpy()
+        sets = run.column("hashes").combine_chunks()
+        flat, sizes = sets.flatten().to_numpy(), np.asarray(sets.value_lengths())
+        row = np.repeat(np.arange(len(ids)), sizes)
+        shared = np.intersect1d(flat[less[row]], flat[~less[row]])
+        use = np.isin(flat, shared)
+        at, row = np.searchsorted(shared, flat[use]), row[use]
+        place = np.cumsum(less) - 1, np.cumsum(~less) - 1
+        common = np.zeros((int(less.sum()), int((~less).sum())), dtype=np.float32)
+        for a in range(0, len(shared), 8192):  # bounded memory, however many shingles are shared
+            part = (at >= a) & (at < a + 8192)
+            left, right = part & less[row], part & ~less[row]
+            x = np.zeros((common.shape[0], 8192), dtype=np.float32)
+            y = np.zeros((common.shape[1], 8192), dtype=np.float32)
+            x[place[0][row[left]], at[left] - a] = 1
+            y[place[1][row[right]], at[right] - a] = 1
+            common += x @ y.T
+        total = sizes[less][:, None] + sizes[~less][None, :]
+        linked = (100 * common.astype(np.int64) >= PERCENT * (total - common.astype(np.int64))) & (labels[less][:, None] != labels[~less][None, :])
+        i, j = np.nonzero(linked)
+        yield from _edges(ids, np.flatnonzero(less)[i], np.flatnonzero(~less)[j])
 
 
 def _ordered(star: DataFrame) -> DataFrame:
