@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, minhash, toxicity, vectors
+from weftline.llm import bpe, htmltext, langid, minhash, toxicity, vectors
 from weftline.llm.runtime import documents, held_out, small_batches
 
 
@@ -47,5 +47,9 @@ def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op4_itq": op4_itq, "op3_minhash": op3_minhash, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op1_toxicity": op1_toxicity}
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+QUERIES = {"op5_html_extraction": op5_html_extraction, "op4_itq": op4_itq, "op3_minhash": op3_minhash, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op1_toxicity": op1_toxicity}
 ORACLES: dict[str, str] = {}
