@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from weftline.llm import queries_models, queries_native
 
 _MODULES = (queries_native, queries_models)
 
 
 def queries() -> dict:
-    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+    found = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
