@@ -34,3 +34,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from weftline.plans import bins  # noqa: E402, F401  registers its queries
