@@ -12,8 +12,14 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """n neighbouring tokens joined by a blank; none for a shorter array."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """n neighbouring tokens joined by a blank; none for a shorter array. words is evaluated once."""
+    if n == 1:
+        return words
+
+    def of(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def md5_16(c: Column) -> Column:
