@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: File name endings that a directory scan accepts (fixed values).
 SUFFIXES = ("csv", "parquet", "pkl", "pickle", "feather", "xlsx", "xls", "json")
@@ -67,7 +68,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def call_per_row(df: DataFrame, make_client: Callable[[], Callable[[dict], str]], result: str = "response", error: str = "error", tries: int = 3) -> DataFrame:
     """Calls an external service once per row, one client per partition; rows that fail stay, with their error."""
-    schema = df.schema.add(result, "string").add(error, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(result, T.StringType()), T.StructField(error, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
