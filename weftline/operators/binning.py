@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import running, with_totals
+
 
 def quantile_edges(long: DataFrame, n: int, by: list[str] | None = None, value: str = "value") -> DataFrame:
     """(by..., edges): the distinct quantiles at 0, 1/n, ..., 1."""
@@ -82,11 +84,8 @@ def frequency_edges(counts: DataFrame, n: int, by: list[str] | None = None) -> D
     replaces the first. The last becomes infinite. No column is sorted row by
     row: positions are found in the running counts of its distinct values.
     """
-    from pyspark.sql import Window as W
-
     by = by or ["feature"]
-    w = W.partitionBy(*by)
-    run = counts.withColumns({"upto": F.sum("n_rows").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("n_rows").over(w)})
+    run = running(with_totals(counts, {"total": "n_rows"}, by), "value", {"upto": "n_rows"}, by)
     at = run.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).where((F.floor(F.col("i") * (F.col("total") - 1) / n) < F.col("upto")) & (F.floor(F.col("i") * (F.col("total") - 1) / n) >= F.col("upto") - F.col("n_rows")))
     unique = at.groupBy(*by).agg(F.array_sort(F.collect_set("value")).alias("u"))
     body = F.when(F.size("u") < n + 1, F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0)))).otherwise(F.slice("u", F.lit(2), F.greatest(F.size("u") - 2, F.lit(0))))
@@ -122,10 +121,8 @@ def adaptive_score_edges(low: float, high: float, cut: float, least: int = 5, mo
 
 def weighted_edges(df: DataFrame, score: str, weight: str, n: int) -> DataFrame:
     """(band, edge): the greatest score of each n-th of the running weight, from sums per distinct score."""
-    from pyspark.sql import Window as W
-
     per = df.groupBy(score).agg(F.sum(weight).alias("w"))
-    run = per.withColumns({"upto": F.sum("w").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("w").over(W.partitionBy())})
+    run = running(with_totals(per, {"total": "w"}), score, {"upto": "w"})
     band = F.least(F.ceil(F.col("upto") * n / F.col("total")), F.lit(n))
     return run.groupBy(band.cast("int").alias("band")).agg(F.max(score).alias("edge"))
 

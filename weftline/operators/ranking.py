@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import running, with_totals
+
 
 def per_score(rows: DataFrame, score: str, target: str, by: list[str]) -> DataFrame:
     """(by..., score, n0, n1) of the rows that have a score."""
@@ -14,9 +16,7 @@ def per_score(rows: DataFrame, score: str, target: str, by: list[str]) -> DataFr
 
 def curve(counted: DataFrame, by: list[str]) -> DataFrame:
     """Adds the running shares cdf0 and cdf1 and their distance gap."""
-    w = W.partitionBy(*by) if by else W.partitionBy()
-    up = w.orderBy("score").rowsBetween(W.unboundedPreceding, 0)
-    x = counted.withColumns({"c0": F.sum("n0").over(up), "c1": F.sum("n1").over(up), "t0": F.sum("n0").over(w), "t1": F.sum("n1").over(w)})
+    x = running(with_totals(counted, {"t0": "n0", "t1": "n1"}, by), "score", {"c0": "n0", "c1": "n1"}, by)
     return x.withColumns({"cdf0": F.try_divide(F.col("c0"), F.col("t0")), "cdf1": F.try_divide(F.col("c1"), F.col("t1"))}).withColumn("gap", F.abs(F.col("cdf1") - F.col("cdf0")))
 
 

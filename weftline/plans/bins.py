@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators import binning, clean, drift, ranking, woe
+from weftline.operators.prefix import running, with_totals
 from weftline.plans.base import SAMPLE_SQL, binned, binned_sql, long_sample, long_sql, sample
 from weftline.plans.registry import query
 from weftline.sources.tables import table
@@ -306,7 +307,7 @@ def score_box(spark, sf_dir):
 )
 def score_box_pct(spark, sf_dir):
     p = table(spark, sf_dir, "orders").groupBy(F.col("o_totalprice").alias("s")).agg(F.count("*").alias("w"), F.sum((F.col("o_orderstatus") == "P").cast("int")).alias("b"))
-    r = p.withColumns({"u": F.sum("w").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, 0)), "t": F.sum("w").over(W.partitionBy())})
+    r = running(with_totals(p, {"t": "w"}), "s", {"u": "w"})
     band = F.least(F.ceil(F.col("u") * 10 / F.col("t")), F.lit(10)).cast("int")
     n = r.groupBy(band.alias("band")).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("w").alias("total"), F.sum("b").alias("bad"))
     tail = W.orderBy("band").rowsBetween(0, W.unboundedFollowing)
