@@ -13,11 +13,27 @@ from pyspark.sql import functions as F
 from weftline.operators.prefix import running, with_totals
 
 
+def quantiles(long: DataFrame, fractions: list[float], by: list[str], value: str = "value") -> DataFrame:
+    """(by..., q): exact, linearly interpolated quantiles at the fractions.
+
+    Positions are found in the running counts of the distinct values, so neither
+    a column nor its distinct values are ever gathered in one task.
+    """
+    counts = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    run = running(with_totals(counts, {"_total": "_n"}, by), "_v", {"_upto": "_n"}, by)
+    at = F.transform(F.array(*[F.lit(f) for f in fractions]), lambda f, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * f).alias("pos")))
+    here = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
+    hits = run.select(*by, "_v", "_upto", "_n", F.explode(F.filter(at, lambda p: here(F.floor(p.pos)) | here(F.ceil(p.pos)))).alias("p"))
+    low, high = F.max(F.when(here(F.floor("p.pos")), F.col("_v"))), F.max(F.when(here(F.ceil("p.pos")), F.col("_v")))
+    got = hits.groupBy(*by, F.col("p.i").alias("i"), F.col("p.pos").alias("pos")).agg(low.alias("low"), high.alias("high"))
+    edge = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("pos") - F.col("pos")) * F.col("low") + (F.col("pos") - F.floor("pos")) * F.col("high"))
+    return got.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", edge.alias("edge")))), lambda x: x.edge).alias("q"))
+
+
 def quantile_edges(long: DataFrame, n: int, by: list[str] | None = None, value: str = "value") -> DataFrame:
     """(by..., edges): the distinct quantiles at 0, 1/n, ..., 1."""
     by = by or ["feature"]
-    at = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    return long.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_distinct(F.percentile(value, at)).alias("edges"))
+    return quantiles(long, [i / n for i in range(n + 1)], by, value).select(*by, F.array_distinct("q").alias("edges"))
 
 
 def opened(edges: Column) -> Column:
@@ -130,8 +146,11 @@ def weighted_edges(df: DataFrame, score: str, weight: str, n: int) -> DataFrame:
 def safe_edges(long: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """(by..., rung, edges): distinct values if there are few, else n quantiles, else n - 1, else a split at the median."""
     by = by or ["feature"]
-    cuts = {f"q{k}": F.percentile("value", F.array(*[F.lit(i / k) for i in range(k + 1)])) for k in (n, max(n - 1, 1), 2)}
-    got = long.where("value IS NOT NULL").groupBy(*by).agg(F.count_distinct("value").alias("u"), *[v.alias(k) for k, v in cuts.items()], F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ks = sorted({n, max(n - 1, 1), 2})
+    all_ = quantiles(long, [i / k for k in ks for i in range(k + 1)], by)
+    begin = [1 + sum(k + 1 for k in ks[:j]) for j in range(len(ks))]
+    got = long.where("value IS NOT NULL").groupBy(*by).agg(F.count_distinct("value").alias("u"))
+    got = got.join(all_, by).withColumns({f"q{k}": F.slice("q", b, k + 1) for k, b in zip(ks, begin, strict=True)})
     whole = lambda c: F.size(F.array_distinct(c)) == F.size(c)
     a, b, m = F.col(f"q{n}"), F.col(f"q{max(n - 1, 1)}"), F.col("q2")
     rung = F.when(F.col("u") <= n, F.lit("identity")).when(whole(a), F.lit("n")).when(whole(b), F.lit("n-1")).otherwise(F.lit("median"))

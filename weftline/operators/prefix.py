@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Slices that a table's order is cut into; each is sorted by itself.
-SLICES = 128
+SLICES = 24
 
 
 def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
