@@ -209,7 +209,7 @@ def test_language_edge_cases(spark):
 
 
 def test_out_of_place_distance_by_hand():
-    p = langid.Profiles({"a": ["x", " x", "y"], "b": ["y", "x"]})
+    p = langid.Profiles({name: [langid.number(g) for g in grams] for name, grams in {"a": ["x", " x", "y"], "b": ["y", "x"]}.items()})
     lang, score = p.predict("x")
     # n-grams of " x ": x, " x", "x ", " x ", each once; ties in order of their hashes
     assert lang in ("a", "b") and 0.5 <= score <= 1
