@@ -14,8 +14,8 @@ import codecs
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -139,17 +139,17 @@ class Transducer:
 
 
 class _Memo(dict):
-    """Remembers what it has made for short keys. When it is full, what was not used since it was last full is forgotten."""
+    """Remembers what it has made for keys that are letters only or short. When it is full, what was not used since it was last full is forgotten."""
 
-    def __init__(self, make, limit: int, short: int = 64):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.short, self.old = make, limit, short, {}
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         made = self.old.get(key)
         if made is None:
             made = self.make(key)
-        if len(key) <= self.short:
+        if len(key) <= 48 and (key.isalpha() or len(key) <= 3):
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
@@ -157,30 +157,33 @@ class _Memo(dict):
         return made
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
-    """Encodes texts. Ids of short pieces are remembered, within a bounded memory."""
+    """Encodes texts. Ids, four bytes each, of short pieces are remembered within a bounded memory."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
         self.v = vocabulary
         self.transducer = Transducer(vocabulary)
-        self.known = _Memo(self._piece, limit)
+        self.known = _Memo(self._piece, limit // 4)
         self.blanked = _Memo(self._blanked, limit)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         """Ids of one whole piece."""
-        return tuple(self.transducer.whole(piece.encode("utf-8", "surrogatepass")))
+        return _packed(self.transducer.whole(piece.encode("utf-8", "surrogatepass")))
 
-    def _blanked(self, word: str) -> tuple[int, ...]:
+    def _blanked(self, word: str) -> bytes:
         """Ids of a blank and a run without blanks; words of letters, or with one mark behind, need no splitting."""
-        known = self.known
         if word.isalpha():
-            return known[" " + word]
+            return self._piece(" " + word)
         if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return known[" " + word[:-1]] + known[word[-1]]
-        return tuple(chain.from_iterable([known[p] for p in _PIECES.findall(" " + word)]))
+            return self.blanked[word[:-1]] + self.known[word[-1]]
+        return b"".join([self.known[p] for p in _PIECES.findall(" " + word)])
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        return self.known[piece]
+    def piece(self, piece: str) -> Iterable[int]:
+        return np.frombuffer(self.known[piece], dtype=np.uint32).tolist()
 
     def plain(self, segments: Iterable[str]) -> Iterator[int]:
         """Ids of a text without added tokens that arrives in segments, cut anywhere."""
@@ -222,25 +225,30 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the strings of added tokens become their ids."""
-        out: list[int] = []
+        return np.frombuffer(self.encode_packed(text), dtype=np.uint32).tolist()
+
+    def encode_packed(self, text: str) -> bytes:
+        """As encode, four bytes per id in the machine's order."""
+        out: list[bytes] = []
         at = 0
         for m in self.v.split_added.finditer(text) if self.v.split_added else ():
             self._extend(out, text[at : m.start()])
-            out.append(self.v.added[m[0]])
+            out.append(_packed([self.v.added[m[0]]]))
             at = m.end()
         self._extend(out, text[at:])
-        return out
+        return b"".join(out)
 
-    def _extend(self, out: list[int], text: str) -> None:
+    def _extend(self, out: list[bytes], text: str) -> None:
         if len(text) > SEGMENT:
-            out.extend(self.plain(text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT)))
+            out.append(_packed(self.plain(text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT))))
         elif _UNEVEN.search(text):
-            out.extend(chain.from_iterable(map(self.piece, _PIECES.findall(text))))
+            known = self.known
+            out.extend([known[p] for p in _PIECES.findall(text)])
         elif text:
             first, *rest = text.split(" ")
-            out.extend(chain.from_iterable(map(self.piece, _PIECES.findall(first))))
-            blanked = self.blanked
-            out.extend(chain.from_iterable([blanked[w] for w in rest]))
+            known, blanked = self.known, self.blanked
+            out.extend([known[p] for p in _PIECES.findall(first)])
+            out.extend([blanked[w] for w in rest])
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> Iterator[str]:
@@ -266,14 +274,14 @@ def round_trip(text: Column, path: str, with_ids: bool = False) -> Column:
         for texts in batches:
             rows = []
             for text in texts:
-                ids = encoder.encode(text or "")
+                ids = np.frombuffer(encoder.encode_packed(text or ""), dtype=np.uint32)
                 shown = hashlib.sha256()
                 machine = codecs.getincrementaldecoder("utf-8")("replace")
                 for a in range(0, len(ids), 4096):
-                    shown.update(machine.decode(b"".join([token[i] for i in ids[a : a + 4096]])).encode())
+                    shown.update(machine.decode(b"".join([token[i] for i in ids[a : a + 4096].tolist()])).encode())
                 shown.update(machine.decode(b"", True).encode())
-                row = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), shown.hexdigest())
-                rows.append((*row, ids) if with_ids else row)
+                row = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), shown.hexdigest())
+                rows.append((*row, ids.astype(np.int32)) if with_ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return run(text)
