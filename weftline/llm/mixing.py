@@ -53,7 +53,8 @@ def _weights(position: Column, cycle: tuple[int, ...]) -> Column:
 
 def _draw_columns(docs: DataFrame, seed: int, key: str, text: str) -> DataFrame:
     """Adds text_hash and u, the uniform number of a document's random odds."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 11).cast("double") + 0.5) / float(1 << 53)
+    mark = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))
+    u = (F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return docs.withColumns({"mix_hash": F.xxhash64(F.col(text)), "mix_u": u})
 
 

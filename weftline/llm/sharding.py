@@ -62,7 +62,8 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
         F.crc32(body.cast("binary")).alias("text_crc32"),
         hop.alias("hop"),
     ).select("doc_id", "size", "text_crc32", F.col("hop.shard").cast("int").alias("shard"), F.col("hop.grown").cast("int").alias("grown_shard"))
-    placed = kept(placed.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(sub_buckets)).cast("int")), "shards")
+    part = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(sub_buckets)) + F.pmod("text_crc32", F.lit(sub_buckets)), F.lit(sub_buckets))
+    placed = kept(placed.withColumn("sub", part.cast("int")), "shards")
     counts = placed.groupBy("shard", "sub").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
