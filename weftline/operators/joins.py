@@ -28,10 +28,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_us: str, right_us: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the right row of its key that is nearest in time, the earlier of equals."""
-    pairs = left.join(right, key)
-    best = F.min_by(F.struct(right_us, *values), F.struct(F.abs(F.col(left_us) - F.col(right_us)), F.col(right_us), *values))
-    return pairs.groupBy(key, left_id, left_us).agg(best.alias("b")).select(key, left_id, left_us, "b.*")
+    """Each left row with the values of the right row of its key that is nearest in time, the earlier of equals; rows without one go.
+
+    The last right row at or before a left row and the first one after it are
+    carried to it in time order, so no other pair is built.
+    """
+    found = F.struct(F.col(right_us).alias("t"), *values)
+    nothing = F.lit(None)
+    firsts = right.groupBy(key, right_us).agg(F.min(F.struct(*values, F.lit(0).alias("_"))).alias("v")).select(key, right_us, *[F.col(f"v.{c}").alias(c) for c in values])
+    kind = firsts.select(found).schema[0].dataType
+    both = firsts.select(F.col(key).alias("k"), F.col(right_us).alias("at"), F.lit(0).alias("side"), found.alias("found"), nothing.cast(left.schema[left_id].dataType).alias("id")).unionByName(
+        left.select(F.col(key).alias("k"), F.col(left_us).alias("at"), F.lit(1).alias("side"), nothing.cast(kind).alias("found"), F.col(left_id).alias("id"))
+    )
+    w = W.partitionBy("k").orderBy("at", "side")
+    both = both.withColumns({"back": F.last("found", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "ahead": F.first("found", True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    closer = F.when(F.col("back").isNull() | (F.col("ahead.t") - F.col("at") < F.col("at") - F.col("back.t")), F.col("ahead")).otherwise(F.col("back"))
+    got = both.where("side = 1").withColumn("b", closer).where("b IS NOT NULL")
+    return got.select(F.col("k").alias(key), F.col("id").alias(left_id), F.col("at").alias(left_us), F.col("b.t").alias(right_us), *[F.col(f"b.{c}").alias(c) for c in values])
 
 
 def trailing_sum(df: DataFrame, key: str, micros: Column, days: int, value: Column) -> Column:

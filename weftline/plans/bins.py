@@ -354,3 +354,29 @@ def feature_gate(spark, sf_dir):
     iv = woe.information_value(woe.bin_table(woe.counts(rows.where("train = 1"), ["feature", "bin"])))
     pairs = correlated_pairs(sample(spark, sf_dir), ["l_extendedprice", "l_quantity"])
     return prune(iv, pairs, 0.8)
+
+
+@query(
+    "bin_upper_edges",
+    f"""WITH {long_sql()}, v AS (SELECT feature, list_sort(list(value)) AS v FROM long WHERE value IS NOT NULL GROUP BY feature),
+    u AS (SELECT feature, list_sort(list_distinct(list_transform(range(0, 11), lambda i: v[(floor(i * (len(v) - 1) / 10.0))::INT + 1]))) AS u FROM v), e AS (SELECT feature, CASE WHEN len(u) < 11 THEN u[1:len(u) - 1] ELSE u[2:len(u) - 1] END AS e FROM u),
+    x AS (SELECT long.feature, CASE WHEN value IS NULL THEN -999.0 ELSE coalesce(list_filter(e, lambda k: k >= value)[1], 1e308) END AS upper FROM long JOIN e ON long.feature = e.feature)
+    SELECT feature, upper, count(*) AS n FROM x GROUP BY ALL""",
+)
+def bin_upper_edges(spark, sf_dir):
+    long = long_sample(spark, sf_dir)
+    edges = binning.frequency_edges(long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n_rows")), 10)
+    upper = binning.upper_edge(F.col("value"), F.col("edges"))
+    got = long.join(F.broadcast(edges), "feature").select("feature", F.when(upper == float("inf"), F.lit(1e308)).otherwise(upper).alias("upper"))  # a row per feature
+    return got.groupBy("feature", "upper").agg(F.count("*").alias("n"))
+
+
+@query(
+    "ks_buckets",
+    """WITH b AS (SELECT greatest(ceil(l_discount * 200)::BIGINT, 1) AS bucket, count(*) FILTER (l_returnflag <> 'R') AS n0, count(*) FILTER (l_returnflag = 'R') AS n1 FROM lineitem GROUP BY 1)
+    SELECT bucket, n0, n1, abs(sum(n1) OVER w / sum(n1) OVER () - sum(n0) OVER w / sum(n0) OVER ()) AS gap FROM b WINDOW w AS (ORDER BY bucket ROWS UNBOUNDED PRECEDING)""",
+)
+def ks_buckets(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("s"), (F.col("l_returnflag") == "R").cast("int").alias("t"))
+    per = x.groupBy(F.greatest(F.ceil(F.col("s") * 20), F.lit(1)).alias("score")).agg(F.sum((F.col("t") == 0).cast("long")).alias("n0"), F.sum("t").alias("n1"))
+    return ranking.curve(per, []).select(F.col("score").alias("bucket"), "n0", "n1", "gap")
