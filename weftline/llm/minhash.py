@@ -138,7 +138,7 @@ def _sides(rows: DataFrame, group: str, less: int, more: int) -> DataFrame:
     """Rows of groups with more than one label, dealt into blocks (group, i, j): those outside the group's largest label against all."""
     parts = rows.groupBy(group, "label").agg(F.count("*").alias("n_label"))
     mixed = parts.groupBy(group).agg(F.max(F.struct("n_label", "label")).alias("most"), F.sum("n_label").alias("m")).where("most.n_label < m")
-    mixed = mixed.select(group, F.col("most.label").alias("most"), "m", (F.col("m") - F.col("most.n_label")).alias("k"))
+    mixed = kept(mixed.select(group, F.col("most.label").alias("most"), "m", (F.col("m") - F.col("most.n_label")).alias("k")), "nd-mixed")
     open_ = rows.join(mixed, group)
     columns = [c for c in rows.columns if c != group]
     few = open_.where("label <> most").select(group, blocks.block(F.col("id"), F.col("k"), less).alias("i"), blocks.all_blocks(F.col("m"), more).alias("j"), F.lit(True).alias("less"), *columns)
@@ -163,7 +163,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return sketches, None
     live = kept(live.join(fame, "id").select("key", "id", "fame"), "nd-live")
     # the member that shares most buckets is the same in nearly all buckets of a group, so stars repeat few pairs
-    centre = live.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"))
+    # written first: a join above an aggregate of the same exchange couldn't split a large bucket
+    centre = kept(live.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre")), "nd-centres")
     rest = kept(live.join(centre, "key").where("id <> centre"), "nd-rest")
     tried = kept(_ordered(rest).distinct(), "nd-star")
     links = kept(_confirmed(tried, docs), "nd-links")
@@ -183,10 +184,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What joins the documents as the pairs (i, j) do."""
+    """What joins the documents as the pairs (i, j) do: each with the least of its component, so that blocks repeat few edges."""
     if len(i):
-        v, root = blocks.forest(len(ids), i, j)
-        a, b = ids[v], ids[root]
+        order = np.argsort(ids)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        v, root = blocks.forest(len(ids), rank[i], rank[j])
+        a, b = ids[order][v], ids[order][root]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
