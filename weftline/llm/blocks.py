@@ -58,7 +58,7 @@ def matrix(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the vertices 0 to n - 1 as the edges (i, j) do, at most one per vertex."""
+    """Edges that join the vertices 0 to n - 1 as the edges (i, j) do, one from each vertex to the first of its component."""
     label = np.arange(n)
     while True:
         low = np.minimum(label[i], label[j])
