@@ -1,7 +1,7 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learned that makes balanced binary codes. A code is cut into
-chunks, and two vectors meet wherever a chunk is the same; what meets is ranked
+chunks, and two vectors meet wherever two chunks are the same; what meets is ranked
 again with the original vectors, in bounded blocks of a table's bucket. Equal
 vectors are one row with a weight from the start, and a block gives counts and
 a spanning forest, never a list of all its pairs.
@@ -10,6 +10,7 @@ a spanning forest, never a list of all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,11 @@ from weftline.llm.runtime import kept, small_batches
 #: Vectors that the rotation is learned on at most, in the order of a hash of their ids; rounds of learning.
 SAMPLE_ROWS, ROUNDS = 20_000, 40
 
-#: Bits of a code. Tables are chunks of it, wide enough for few vectors per bucket and never so wide that near vectors miss all.
-BITS = 64
-NARROW, WIDE = 8, 16
+#: Bits of a code, and of its chunks.
+BITS, CHUNK = 64, 8
+
+#: Chunks that a table takes together: 28 tables of 65,536 places. One chunk would give fuller buckets, three would miss more.
+JOINT = 2
 
 LEAST_COSINE = 0.93
 
@@ -69,13 +72,14 @@ def _is_sound() -> Column:
     return F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_rows: int = SAMPLE_ROWS, joint: int = JOINT) -> DataFrame:
     """One row per row of rows (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Only vectors of equal label and length are compared. Null labels, and
     vectors that are null, empty, zero or not finite, link with nothing. Rows
     that are alike in label and vector link with each other. vec_id should be
-    unique. An empty table gives an empty result.
+    unique. An empty table gives an empty result. A table of the index takes
+    ``joint`` chunks of a code together.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -89,9 +93,7 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
     x = np.array([v for v in some if len(v) == usual], dtype=float)
     mean, projection = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
 
-    # chunks as wide as the vectors are many, between the two bounds
-    width = WIDE if unique.count() > 20_000_000 else NARROW
-    step = width // 8
+    tables = list(combinations(range(BITS // CHUNK), joint))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,33 +104,38 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
                 v = v / scale
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 code = codes(v, mean, projection)
-                n_tables = BITS // width
-                chunk = code.reshape(len(v), n_tables, step).astype(np.int64)
-                chunk = (chunk * 256 ** np.arange(step)).sum(axis=2)
+                n_tables = len(tables)
+                places = np.zeros((len(v), n_tables), dtype=np.int64)
+                for c in np.array(tables).T:
+                    places = places << CHUNK | code[:, c]
+                places += np.arange(n_tables) << 32
                 yield pa.RecordBatch.from_pandas(
                     pd.DataFrame(
                         {
-                            "label": np.repeat(part["label"].to_numpy(), n_tables),
-                            "place": (np.arange(n_tables) << 32 | chunk).ravel() + (int(dim) << 40),
-                            "id": np.repeat(part["id"].to_numpy(), n_tables),
-                            "weight": np.repeat(part["weight"].to_numpy(), n_tables),
-                            "code": np.repeat(np.array([c.tobytes() for c in code], dtype=object), n_tables),
-                            "vector": np.repeat(np.array([u.tobytes() for u in v], dtype=object), n_tables),
+                            "id": part["id"].to_numpy(),
+                            "weight": part["weight"].to_numpy(),
+                            "label": part["label"].to_numpy(),
+                            "code": [c.tobytes() for c in code],
+                            "vector": [u.tobytes() for u in v],
+                            "places": list(places + (int(dim) << 40)),
                         }
                     ),
                     preserve_index=False,
                 )
 
-    schema = "label string, place bigint, id bigint, weight bigint, code binary, vector binary"
-    entries = kept(unique.select("id", "weight", "label", "embedding").mapInArrow(index, schema).withColumn("bucket", F.xxhash64("label", "place")), "vec-index")
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    schema = "id bigint, weight bigint, label string, code binary, vector binary, places array<bigint>"
+    units = kept(unique.select("id", "weight", "label", "embedding").mapInArrow(index, schema), "vec-units")
+    # the tables hold ids only; vectors come to those that meet somebody
+    entries = units.select("id", "label", F.explode("places").alias("place")).select("id", "place", F.xxhash64("label", "place").alias("bucket"))
+    sizes = kept(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "vec-buckets")
     open_ = entries.join(sizes, "bucket")
     own = blocks.block(F.col("id"), F.col("m"), BLOCK)
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
-    dealt = open_.withColumn("own", own).withColumn("ij", pair).select("bucket", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "own", "label", "place", "id", "weight", "code", "vector")
+    dealt = open_.withColumn("own", own).withColumn("ij", pair).select("bucket", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "own", "place", "id")
+    dealt = dealt.join(units.drop("places"), "id").select("bucket", "i", "j", "own", "label", "place", "id", "weight", "code", "vector")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = blocks.together(dealt, ["bucket", "i", "j"], n_parts).mapInArrow(_ranker(least_cosine, step), "id bigint, links bigint, other bigint")
+    found = blocks.together(dealt, ["bucket", "i", "j"], n_parts).mapInArrow(_ranker(least_cosine, tables), "id bigint, links bigint, other bigint")
     found = kept(found, "vec-links")
 
     links = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
@@ -142,7 +149,7 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
     return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _ranker(least_cosine: float, step: int):
+def _ranker(least_cosine: float, tables: list[tuple[int, ...]]):
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links between two blocks of a bucket, those left out that an earlier table has already: weights by vector, and a forest."""
         for run in blocks.runs(batches, 3):
@@ -158,10 +165,9 @@ def _ranker(least_cosine: float, step: int):
                 continue  # two lengths under one bucket hash: their places differ, and nothing of them is equal
             near = vector[a] @ vector[b].T >= least_cosine
             near &= (label[a][:, None] == label[b][None, :]) & (place[a][:, None] == place[b][None, :])
-            table = int(place[0] >> 32) & 0xFF
-            for t in range(table):
-                part = slice(t * step, (t + 1) * step)
-                near &= (code[a][:, None, part] != code[b][None, :, part]).any(axis=2)
+            alike = [code[a][:, None, c] == code[b][None, :, c] for c in range(code.shape[1])]
+            for t in tables[: int(place[0] >> 32) & 0xFF]:
+                near &= ~np.logical_and.reduce([alike[c] for c in t])
             if i == j:
                 near &= ids[a][:, None] < ids[b][None, :]
             x, y = np.nonzero(near)
