@@ -115,6 +115,21 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_near_the_limit_are_found(spark):
+    rng = np.random.default_rng(4)
+    bands, n = (0.931, 0.935, 0.94, 0.95), 500
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = []
+    for k, cosine in enumerate(bands):  # a label per pair, so that a pair is found by itself or not at all
+        a, g = unit(rng.normal(size=(n, 64))), rng.normal(size=(n, 64))
+        b = cosine * a + np.sqrt(1 - cosine**2) * unit(g - (g * a).sum(axis=1, keepdims=True) * a)
+        rows += [(2 * (k * n + i) + j, v[i].tolist(), k * n + i) for i in range(n) for j, v in enumerate((a, b))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.label: r.links for r in vectors.near_vectors(d).groupBy((F.col("vec_id") / 2).cast("int").alias("label")).agg(F.sum("n_links").alias("links")).collect()}
+    recall = [sum(found[k * n + i] for i in range(n)) / (2 * n) for k in range(len(bands))]
+    assert min(recall) >= 0.98  # tables of one rotation give 0.952 here
+
+
 def test_codes_are_balanced():
     x = np.random.default_rng(1).normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

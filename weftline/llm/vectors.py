@@ -1,8 +1,9 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned that makes balanced binary codes. A code is cut into
-chunks, and two vectors meet wherever two chunks are the same; what meets is ranked
-again with the original vectors, in bounded blocks of a table's bucket. Equal
+Rotations are learned that make balanced binary codes. A code is cut into
+chunks, and two vectors meet wherever two chunks of one rotation's code are the
+same; what meets is ranked again with the original vectors, in bounded blocks of
+a table's bucket. Equal
 vectors are one row with a weight from the start, and a block gives counts and
 a spanning forest, never a list of all its pairs.
 """
@@ -28,9 +29,12 @@ SAMPLE_ROWS, ROUNDS = 20_000, 40
 #: Bits of a code, and of its chunks.
 BITS, CHUNK = 64, 8
 
-#: Chunks that a table takes together: 28 tables of 65,536 places. One chunk would give fuller buckets, three would miss more.
+#: Chunks that a table takes together: 28 tables of 65,536 places a rotation. One chunk would give fuller buckets, three would miss more.
 JOINT = 2
 
+#: Rotations, each with its own tables. One finds 0.86 to 0.89 of the pairs at a cosine of 0.93, two find 0.98.
+ROTATIONS = 2
+
 LEAST_COSINE = 0.93
 
 #: Rows of a block; two meet at a time.
@@ -72,14 +76,14 @@ def _is_sound() -> Column:
     return F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_rows: int = SAMPLE_ROWS, joint: int = JOINT) -> DataFrame:
+def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_rows: int = SAMPLE_ROWS, joint: int = JOINT, rotations: int = ROTATIONS) -> DataFrame:
     """One row per row of rows (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Only vectors of equal label and length are compared. Null labels, and
     vectors that are null, empty, zero or not finite, link with nothing. Rows
     that are alike in label and vector link with each other. vec_id should be
     unique. An empty table gives an empty result. A table of the index takes
-    ``joint`` chunks of a code together.
+    ``joint`` chunks of a code together; there are tables for each of ``rotations``.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -91,9 +95,11 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     usual = some.map(len).mode().iloc[0]
     x = np.array([v for v in some if len(v) == usual], dtype=float)
-    mean, projection = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    learned = [learn_rotation(x, seed=7 + r) for r in range(rotations)]
 
-    tables = list(combinations(range(BITS // CHUNK), joint))
+    n_chunks = BITS // CHUNK
+    tables = [tuple(r * n_chunks + c for c in t) for r in range(rotations) for t in combinations(range(n_chunks), joint)]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +109,7 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
                 scale = np.abs(v).max(axis=1, keepdims=True)
                 v = v / scale
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
-                code = codes(v, mean, projection)
+                code = np.concatenate([codes(v, *how) for how in learned], axis=1)
                 n_tables = len(tables)
                 places = np.zeros((len(v), n_tables), dtype=np.int64)
                 for c in np.array(tables).T:
