@@ -82,6 +82,20 @@ def test_leave_one_out_is_total_minus_own(spark):
     assert text.oof_dictionary(rows, ["token"], "fold").count() == len(got)
 
 
+def test_tokens_are_selected_by_rules(spark):
+    # 100 rows, 50 bad; light tokens hold the quantile down, one has a lift of 1
+    rows = [(0, f"light{i}", 1, 0, 1, 0, 50, 50) for i in range(900)]
+    rows += [(0, f"low{i:02}", 50, 50, 20, 1 + i % 8, 50, 50) for i in range(16)] + [(0, f"high{i:02}", 50, 50, 1 + i % 8, 20, 50, 50) for i in range(16)]
+    rows += [(0, "even", 50, 50, 20, 20, 50, 50), (0, "one_class", 0, 90, 2, 20, 50, 50)]
+    stats = spark.createDataFrame(rows, "fold int, token string, weight_0 long, weight_1 long, orders_0 long, orders_1 long, all_0 long, all_1 long")
+    got = {r.token: r.level for r in text.select_by_rules(stats, ["fold"]).collect()}
+    assert set(got) == {f"{k}{i:02}" for k in ("low", "high") for i in range(16)} | {"one_class"}
+    assert {v for k, v in got.items() if k.startswith("low")} == {0, 1, 2, 3, 4} and {v for k, v in got.items() if k.startswith("high")} == {5, 6, 7, 8, 9}
+    assert got["low00"] == got["low08"] == 0 and got["high00"] == 9
+    assert not [k for k in {r.token for r in text.select_by_rules(stats, ["fold"], least_share=0.25).collect()} if k in ("low00", "high00", "one_class")]
+    assert text.select_by_rules(stats, ["fold"], n_ends=2).count() < len(got)
+
+
 def test_as_of_strict_and_inner(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 1, "a"), (1, 5, "b")], "k int, rt int, v string")

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.tokens import ngrams, tokens
+from weftline.operators import binning
 from weftline.operators.joins import leave_one_out
+from weftline.sources.tables import kept
 
 
 def fold_of(id_: Column, n: int) -> Column:
@@ -51,6 +53,52 @@ def select_levels(stats: DataFrame, by: list[str], least_orders: int, n_ends: in
     return x.withColumn("level", (F.least(F.floor(rank * n_levels / size), F.lit(n_levels - 1)) + F.col("side") * n_levels).cast("int")).drop("low", "high", "many", "side")
 
 
+def oof_weights(rows: DataFrame, id_: str, n_folds: int) -> DataFrame:
+    """(fold, token, weight_0, weight_1, orders_0, orders_1, all_0, all_1): sums over the rows of the other folds, -1 all rows; all_* count rows with and without tokens.
+
+    Of (id, words, target), a row per id. A row's words are sorted by themselves
+    to see which is the first of its kind, so that no (id, token) is ever dealt out.
+    """
+    fold = fold_of(F.col(id_), n_folds).alias("fold")
+    is_ = lambda k: F.col("target") == k
+    sorted_ = rows.withColumn("words", F.sort_array("words")).withColumn("fold", fold)
+    marked = F.transform("words", lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get("words", i - 1) != t)).alias("first")))
+    each = sorted_.select("fold", "target", F.inline(marked))
+    per = each.groupBy("token", "fold").agg(F.count_if("first").alias("orders"), *[F.count_if(is_(k)).alias(f"weight_{k}") for k in (0, 1)], *[F.count_if(F.col("first") & is_(k)).alias(f"orders_{k}") for k in (0, 1)])
+    per = kept(per, "token-folds")
+    stats = leave_one_out(per, ["token"], "fold", ["orders", "weight_0", "weight_1", "orders_0", "orders_1"]).drop("orders")
+    n = rows.groupBy(F.lit(0).alias("one"), fold).agg(F.count("*").alias("n"), *[F.count_if(is_(k)).alias(f"all_{k}") for k in (0, 1)])
+    totals = leave_one_out(n, ["one"], "fold", ["n", "all_0", "all_1"]).drop("one", "n")
+    return stats.join(F.broadcast(totals), "fold")  # a row per fold
+
+
+def select_by_rules(stats: DataFrame, by: list[str], least_share: float = 0.005, low: float = 0.9, high: float = 1.1, weight_quantile: float = 0.95, n_ends: int = 5000, n_levels: int = 5, per_class: bool = False) -> DataFrame:
+    """(by..., token, orders, lift, level) of oof_weights' rows: tokens that are heavy, in enough rows and of a lift outside low to high.
+
+    Heavy is a weight above its quantile: the sum of both classes, or with
+    ``per_class`` either class's own. Of these, n_ends at each end of the lift
+    order and the n_ends in most rows stay. Levels are quantile bins of lift: 0
+    to n_levels - 1 below ``low``, n_levels on above ``high``. A side whose lifts
+    are all equal is its first level.
+    """
+    x = stats.withColumns({"weight": F.col("weight_0") + F.col("weight_1"), "orders": F.col("orders_0") + F.col("orders_1"), "all": F.col("all_0") + F.col("all_1")})
+    x = x.withColumn("lift", F.try_divide(F.col("orders_1") / F.col("orders"), F.col("all_1") / F.col("all")))
+    weights = ["weight_0", "weight_1"] if per_class else ["weight"]
+    limits = x.groupBy(*by).agg(*[F.percentile(c, F.lit(weight_quantile)).alias(f"{c}_limit") for c in weights])  # holds a count per distinct weight
+    x = x.join(F.broadcast(limits), by)  # a row per group
+    heavy = F.lit(False)
+    for c in weights:
+        heavy |= F.col(c) > F.col(f"{c}_limit")
+    x = x.where(heavy & (F.col("orders") > least_share * F.col("all")) & ((F.col("lift") < low) | (F.col("lift") > high)))
+    w = W.partitionBy(*by)
+    x = x.withColumns({"first": F.row_number().over(w.orderBy("lift", "token")), "last": F.row_number().over(w.orderBy(F.col("lift").desc(), F.col("token").desc())), "many": F.row_number().over(w.orderBy(F.col("orders").desc(), "token"))})
+    x = x.where((F.col("first") <= n_ends) | (F.col("last") <= n_ends) | (F.col("many") <= n_ends)).withColumn("side", (F.col("lift") > high).cast("int"))
+    # at most 3 n_ends rows a group are left
+    edges = x.groupBy(*by, "side").agg(F.array_distinct(F.percentile("lift", F.array(*[F.lit(i / n_levels) for i in range(n_levels + 1)]))).alias("edges"))
+    x = x.join(F.broadcast(edges), [*by, "side"])  # two rows per group
+    return x.select(*by, "token", "orders", "lift", (binning.bin_of_quantile(F.col("lift"), F.col("edges")) - 1 + F.col("side") * n_levels).cast("int").alias("level"))
+
+
 def lookbacks(age_days: Column, spans: list[int]) -> Column:
     """A row for each span that an age lies within; spans overlap."""
     return F.explode(F.filter(F.array(*[F.lit(s) for s in spans]), lambda s: age_days <= s))

@@ -324,6 +324,34 @@ def token_select_levels(spark, sf_dir):
     return text.select_levels(_oof(spark, sf_dir), ["fold"], 20, 30, 5).select("fold", "token", "orders", "bad", "level")
 
 
+def _rules_sql(share: float, heavy: str) -> str:
+    """Selection by the reference's conditions, sums over the other folds taken directly."""
+    cuts = ", ".join(repr(i / 5) for i in range(6))
+    return f"""WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM documents), b AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL), d AS (SELECT doc_id, doc_id % 5 AS fold, toxic AS target FROM documents JOIN labels USING (doc_id)),
+    f AS (SELECT DISTINCT fold FROM d UNION ALL SELECT -1), a AS (SELECT f.fold, count(*) AS n_all, sum(target) AS bad_all FROM f JOIN d ON f.fold <> d.fold GROUP BY 1),
+    p AS (SELECT f.fold, token, count(*) AS orders, sum(target) AS bad, sum(n * (1 - target)) AS w0, sum(n * target) AS w1, sum(n) AS w FROM b JOIN d USING (doc_id) JOIN f ON f.fold <> d.fold GROUP BY ALL),
+    q AS (SELECT fold, quantile_cont(w0, 0.95) AS q0, quantile_cont(w1, 0.95) AS q1, quantile_cont(w, 0.95) AS q FROM p GROUP BY 1),
+    c AS (SELECT fold, token, orders, (bad / orders) / (bad_all / n_all) AS lift FROM p JOIN q USING (fold) JOIN a USING (fold) WHERE {heavy} AND orders > {share} * n_all),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY lift, token) AS low, row_number() OVER (PARTITION BY fold ORDER BY lift DESC, token DESC) AS high, row_number() OVER (PARTITION BY fold ORDER BY orders DESC, token) AS many FROM c WHERE lift < 0.9 OR lift > 1.1),
+    k AS (SELECT *, (lift > 1.1)::INT AS side FROM r WHERE low <= 5000 OR high <= 5000 OR many <= 5000), e AS (SELECT fold, side, list_distinct(quantile_cont(lift, [{cuts}])) AS e FROM k GROUP BY ALL)
+    SELECT fold, token, orders::BIGINT AS orders, lift, (greatest(1, len(list_filter(e, lambda x: x < lift))) - 1 + side * 5)::INT AS level FROM k JOIN e USING (fold, side)"""
+
+
+def _rule_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("target")), "doc_id")
+    return text.oof_weights(d.select("doc_id", "target", tokens.tokens(F.col("text")).alias("words")), "doc_id", 5)
+
+
+@query("token_select_rules", _rules_sql(0.005, "w > q"))
+def token_select_rules(spark, sf_dir):
+    return text.select_by_rules(_rule_stats(spark, sf_dir), ["fold"])
+
+
+@query("token_select_rules_by_class", _rules_sql(0.03, "(w0 > q0 OR w1 > q1)"))
+def token_select_rules_by_class(spark, sf_dir):
+    return text.select_by_rules(_rule_stats(spark, sf_dir), ["fold"], least_share=0.03, per_class=True)
+
+
 SPANS = (3, 7, 15, 30)
 LOOK_SQL = "m AS (SELECT user_id, max(ts) AS t, max((event_type = 'error')::INT) AS target FROM events GROUP BY 1), e AS (SELECT user_id, event_type AS item, target, floor((epoch_us(t) - epoch_us(ts)) / 86400e6) AS age FROM events JOIN m USING (user_id)), y AS (SELECT DISTINCT user_id, item, target, span FROM e, (SELECT unnest([3, 7, 15, 30]) AS span) WHERE age <= span)"
 LOOK_OOF = "p AS (SELECT span, item, user_id % 5 AS fold, count(*) AS orders, sum(target) AS bad FROM y GROUP BY ALL), a AS (SELECT span, item, sum(orders) AS orders, sum(bad) AS bad FROM p GROUP BY ALL), f AS (SELECT DISTINCT fold FROM p)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -98,3 +100,11 @@ def binary_objects(spark: SparkSession, path: str, keys: DataFrame, key: str) ->
 def pages_of(total: int, size: int) -> list[int]:
     """Page numbers of a paged listing."""
     return list(range(1, -(-total // size) + 1))
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the cluster's shared folder and read again, so that what uses it twice doesn't work it out twice."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weftline-')}/{tag}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
