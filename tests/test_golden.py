@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import times, tokens
 from weftline.operators import binning, drift, joins, ranking, text, woe
+from weftline.plans import registry
 from weftline.sources import tables
 
 
@@ -96,6 +97,17 @@ def test_tokens_are_selected_by_rules(spark):
     assert text.select_by_rules(stats, ["fold"], n_ends=2).count() < len(got)
 
 
+def test_every_number_of_bins_is_tried(spark):
+    woes = {20: [0, 1, 0.5], 7: [0, 1, 2], 6: [0, 1, 2], 4: [0, 1]}
+    rows = [("f", n, i, float(w)) for n, ws in woes.items() for i, w in enumerate(ws)] + [("g", n, i, float(w)) for n, ws in {9: [0, 5, 4, 3], 5: [0, 1, -2, 3]}.items() for i, w in enumerate(ws)]
+    got = {r.feature: r for r in woe.monotone_choice(spark.createDataFrame(rows, "feature string, n int, bin int, woe double"), by_majority=True).collect()}
+    assert got["f"].n == 7 and got["f"].is_monotone and got["g"].n == 5 and not got["g"].is_monotone
+    many = {r.n: r.edges for r in binning.quantile_edges_of(frame(spark, range(101)), list(range(4, 21))).collect()}
+    assert sorted(many) == list(range(4, 21)) and many[7] == pytest.approx([i * 100 / 7 for i in range(8)])
+    q = registry.queries()["monotone_binning_all"](spark, "/root/testdata/sf0.001")
+    assert {r.feature: r.n for r in q.collect()}["l_extendedprice"] == 7
+
+
 def test_as_of_strict_and_inner(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 1, "a"), (1, 5, "b")], "k int, rt int, v string")

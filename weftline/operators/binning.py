@@ -36,6 +36,15 @@ def quantile_edges(long: DataFrame, n: int, by: list[str] | None = None, value:
     return quantiles(long, [i / n for i in range(n + 1)], by, value).select(*by, F.array_distinct("q").alias("edges"))
 
 
+def quantile_edges_of(long: DataFrame, ns: list[int], by: list[str] | None = None, value: str = "value") -> DataFrame:
+    """(by..., n, edges): quantile_edges for several n, from one pass at the union of their fractions."""
+    by = by or ["feature"]
+    at = sorted({i / n for n in ns for i in range(n + 1)})
+    place = {f: k for k, f in enumerate(at)}
+    each = [F.struct(F.lit(n).alias("n"), F.array_distinct(F.array(*[F.col("q")[place[i / n]] for i in range(n + 1)])).alias("edges")) for n in ns]
+    return quantiles(long, at, by, value).select(*by, F.inline(F.array(*each)))
+
+
 def opened(edges: Column) -> Column:
     """The outer edges become infinite."""
     return F.when(F.size(edges) >= 2, F.concat(F.array(F.lit(float("-inf"))), F.slice(edges, F.lit(2), F.size(edges) - 2), F.array(F.lit(float("inf"))))).otherwise(edges)

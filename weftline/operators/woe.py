@@ -64,11 +64,16 @@ def information_value(table: DataFrame, feature: list[str] | None = None) -> Dat
     return table.groupBy(*(feature or ["feature"])).agg(F.sum("iv").alias("iv"))
 
 
-def monotone_choice(tables: DataFrame) -> DataFrame:
-    """(feature, n, is_monotone): of (feature, n, bin, woe), the largest n whose woe rises or falls throughout, else the one that breaks least."""
+def monotone_choice(tables: DataFrame, by_majority: bool = False) -> DataFrame:
+    """(feature, n, is_monotone): of (feature, n, bin, woe), the largest n whose woe rises or falls throughout, else the one that breaks least.
+
+    What breaks are the falls or the rises, whichever sum is less; or, by
+    majority, whichever are fewer, the falls where they are as many.
+    """
     w = W.partitionBy("feature", "n").orderBy("bin")
     step = tables.withColumn("d", F.col("woe") - F.lag("woe").over(w))
-    per = step.groupBy("feature", "n").agg(F.sum(F.greatest(F.col("d"), F.lit(0.0))).alias("up"), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).alias("down"))
-    per = per.withColumn("broken", F.coalesce(F.least("up", "down"), F.lit(0.0)))
+    per = step.groupBy("feature", "n").agg(F.sum(F.greatest(F.col("d"), F.lit(0.0))).alias("up"), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).alias("down"), F.count_if(F.col("d") >= 0).alias("rises"), F.count_if(F.col("d") < 0).alias("falls"))
+    broken = F.when(F.col("rises") >= F.col("falls"), F.col("down")).otherwise(F.col("up")) if by_majority else F.least("up", "down")
+    per = per.withColumn("broken", F.coalesce(broken, F.lit(0.0)))
     best = F.min(F.struct((F.col("broken") > 1e-12).cast("int").alias("bad"), F.when(F.col("broken") > 1e-12, F.col("broken")).otherwise(0.0).alias("broken"), (-F.col("n")).alias("m")))
     return per.groupBy("feature").agg(best.alias("b")).select("feature", (-F.col("b.m")).alias("n"), (F.col("b.bad") == 0).alias("is_monotone"))

@@ -114,12 +114,12 @@ def safe_bins(spark, sf_dir):
     return binning.safe_edges(long_sample(spark, sf_dir), 10).select("feature", "rung")
 
 
-def _monotone_sql() -> str:
+def _monotone_sql(ns=(4, 6, 8, 10), broken="least(sum(greatest(d, 0)), sum(greatest(-d, 0)))") -> str:
     parts = []
-    for n in (4, 6, 8, 10):
+    for n in ns:
         parts.append(f"SELECT * FROM (WITH {binned_sql(n)}, {COUNT_SQL} SELECT feature, {n} AS n, bin, {GUARD_SQL} AS woe FROM s WHERE bin > 0)")
     return f"""WITH t AS ({' UNION ALL '.join(parts)}), d AS (SELECT *, woe - lag(woe) OVER (PARTITION BY feature, n ORDER BY bin) AS d FROM t),
-    p AS (SELECT feature, n, coalesce(least(sum(greatest(d, 0)), sum(greatest(-d, 0))), 0) AS broken FROM d GROUP BY ALL),
+    p AS (SELECT feature, n, coalesce({broken}, 0) AS broken FROM d GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY (broken > 1e-12)::INT, CASE WHEN broken > 1e-12 THEN broken ELSE 0 END, -n) AS k FROM p)
     SELECT feature, n, broken <= 1e-12 AS is_monotone FROM r WHERE k = 1"""
 
@@ -134,6 +134,16 @@ def monotone_binning(spark, sf_dir):
     return woe.monotone_choice(tables)
 
 
+@query("monotone_binning_all", _monotone_sql(range(4, 21), "CASE WHEN count(*) FILTER (d >= 0) >= count(*) FILTER (d < 0) THEN sum(greatest(-d, 0)) ELSE sum(greatest(d, 0)) END"))
+def monotone_binning_all(spark, sf_dir):
+    """Every number of bins from 20 down to 4, from counts per distinct value."""
+    long = long_sample(spark, sf_dir).where("value IS NOT NULL")
+    per = woe.counts(long, ["feature", "value"])
+    rows = binned(per, binning.quantile_edges_of(long, list(range(4, 21))))  # 17 rows per feature
+    table_ = rows.groupBy("feature", "n", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return woe.monotone_choice(woe.bin_table(table_, feature=["feature", "n"]).select("feature", "n", "bin", "woe"), by_majority=True)
+
+
 SETS_SQL = "c AS (SELECT feature, bin, train, sum((target = 0)::INT) AS good, sum((target = 1)::INT) AS bad FROM binned GROUP BY ALL), s AS (SELECT *, good / sum(good) OVER (PARTITION BY feature, train) AS g, bad / sum(bad) OVER (PARTITION BY feature, train) AS b FROM c)"
 
 
