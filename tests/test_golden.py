@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import times, tokens
-from weftline.operators import binning, drift, joins, ranking, text, woe
+from weftline.operators import binning, drift, joins, ranking, select, text, woe
 from weftline.plans import registry
 from weftline.sources import tables
 
@@ -108,6 +108,13 @@ def test_every_number_of_bins_is_tried(spark):
     assert {r.feature: r.n for r in q.collect()}["l_extendedprice"] == 7
 
 
+def test_gate_comes_before_pruning(spark):
+    stats = spark.createDataFrame([("weak", 0.0002, 0.5, 0.0), ("strong", 0.5, 0.45, 0.0), ("twin", 0.4, 0.39, 0.0), ("drifts", 0.9, 0.9, 0.3), ("beside", 0.3, 0.29, 0.0), ("lost", 0.3, 0.1, 0.0)], "feature string, iv_train double, iv_valid double, csi double")
+    pairs = spark.createDataFrame([("strong", "twin", -0.9), ("drifts", "beside", 0.95), ("beside", "strong", 0.2)], "first string, second string, corr double")
+    got = {r.feature: (r.gated, r.selected) for r in select.gate_and_prune(stats, pairs).collect()}
+    assert {f for f, x in got.items() if x[0]} == {"strong", "twin", "beside"} and {f for f, x in got.items() if x[1]} == {"strong", "beside"} and len(got) == 6
+
+
 def test_as_of_strict_and_inner(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 1, "a"), (1, 5, "b")], "k int, rt int, v string")

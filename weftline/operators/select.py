@@ -27,3 +27,10 @@ def prune(ranked: DataFrame, pairs: DataFrame, most: float = 0.8) -> DataFrame:
     other = ranked.select(F.col("feature").alias("partner"), F.col("iv").alias("partner_iv"))
     lost = both.join(other, "partner").join(ranked, "feature").where((F.col("partner_iv") > F.col("iv")) | ((F.col("partner_iv") == F.col("iv")) & (F.col("partner") < F.col("feature")))).select("feature").distinct()
     return ranked.select("feature").join(lost.withColumn("out", F.lit(True)), "feature", "left").select("feature", F.col("out").isNull().alias("selected"))
+
+
+def gate_and_prune(stats: DataFrame, pairs: DataFrame, most: float = 0.8) -> DataFrame:
+    """(feature, iv_train, iv_valid, csi, gated, selected): the gate first, then only pairs of gated features decide."""
+    good = gate(stats)
+    left = prune(good.select("feature", F.col("iv_train").alias("iv")), pairs, most)
+    return stats.join(left, "feature", "left").select("feature", "iv_train", "iv_valid", "csi", F.col("selected").isNotNull().alias("gated"), F.coalesce("selected", F.lit(False)).alias("selected"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from weftline.operators import binning, clean, drift, ranking, woe
 from weftline.operators.prefix import running, with_totals
-from weftline.plans.base import SAMPLE_SQL, binned, binned_sql, long_sample, long_sql, sample
+from weftline.plans.base import FEATURES, SAMPLE_SQL, binned, binned_sql, long_sample, long_sql, sample
 from weftline.plans.registry import query
-from weftline.sources.tables import table
+from weftline.sources.tables import kept, table
 
 COUNT_SQL = "c AS (SELECT feature, bin, sum((target = 0)::INT)::BIGINT AS good, sum((target = 1)::INT)::BIGINT AS bad FROM binned GROUP BY ALL), s AS (SELECT *, good / sum(good) OVER (PARTITION BY feature) AS g, bad / sum(bad) OVER (PARTITION BY feature) AS b FROM c)"
 GUARD_SQL = "CASE WHEN b = 0 THEN 1.0 WHEN g = 0 THEN -1.0 ELSE ln(g / b) END"
@@ -366,6 +366,24 @@ def feature_gate(spark, sf_dir):
     return prune(iv, pairs, 0.8)
 
 
+def _gate_sql() -> str:
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM sample" for a in FEATURES for b in FEATURES if a != b)
+    return f"""WITH {binned_sql(10, 'train = 1')}, {SETS_SQL}, i AS (SELECT feature, sum(CASE WHEN train = 1 THEN (g - b) * {GUARD_SQL} END) AS iv_train, sum(CASE WHEN train = 0 THEN (g - b) * {GUARD_SQL} END) AS iv_valid FROM s GROUP BY feature),
+    n AS (SELECT feature, bin, sum(train) AS a, sum(1 - train) AS z FROM binned GROUP BY ALL), h AS (SELECT *, a / sum(a) OVER (PARTITION BY feature) AS p, z / sum(z) OVER (PARTITION BY feature) AS q FROM n),
+    v AS (SELECT feature, sum(CASE WHEN p > 0 AND q > 0 THEN (p - q) * ln(p / q) END) AS csi FROM h GROUP BY feature), k AS ({pairs}),
+    y AS (SELECT * FROM i JOIN v USING (feature) WHERE iv_train > 0.01 AND iv_valid > 0.01 AND iv_valid / iv_train > 0.7 AND csi < 0.2),
+    l AS (SELECT y.feature FROM y JOIN k ON k.a = y.feature JOIN y o ON o.feature = k.b WHERE abs(c) >= 0.8 AND (o.iv_train > y.iv_train OR (o.iv_train = y.iv_train AND o.feature < y.feature)))
+    SELECT feature, iv_train, iv_valid, csi, feature IN (SELECT feature FROM y) AS gated, feature IN (SELECT feature FROM y) AND feature NOT IN (SELECT feature FROM l) AS selected FROM i JOIN v USING (feature)"""
+
+
+@query("feature_gate_all", _gate_sql())
+def feature_gate_all(spark, sf_dir):
+    from weftline.operators.select import correlated_pairs, gate_and_prune
+
+    stats = iv_train_valid(spark, sf_dir).join(csi_raw(spark, sf_dir).withColumnRenamed("psi", "csi"), "feature")
+    return gate_and_prune(kept(stats, "gate-stats"), correlated_pairs(sample(spark, sf_dir), list(FEATURES)))
+
+
 @query(
     "bin_upper_edges",
     f"""WITH {long_sql()}, v AS (SELECT feature, list_sort(list(value)) AS v FROM long WHERE value IS NOT NULL GROUP BY feature),
