@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, htmltext, langid, minhash, queries_models, textvec, vectors
+from weftline.llm import bpe, langid, minhash, queries_models, textvec, vectors
 from weftline.llm.blocks import forest
 from weftline.llm.components import components
 
@@ -137,36 +137,6 @@ def test_codes_are_balanced():
     assert (abs(bits.mean(axis=0) - 0.5) < 0.1).all()
 
 
-# pages
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=/>Home</a> <a href=/b>About</a></nav><div class="cookie-notice">We use cookies</div>
-<article><h1>Head &amp; more</h1><p>First <b>para</b>{i}<br>on &lt;two&gt; lines<p>Second &eacute; para<script>if (a<b) "</p>"</script></p><aside>side</aside><div class="comments"><p>reader says</p></div></article>
-<form>Search <input></form><footer>&copy; host</footer></body></html>"""
-
-
-def test_article_of_a_page():
-    found = htmltext.blocks_of(PAGE.format(i=1))
-    verdicts, _ = htmltext.settle(found)
-    assert [b[0] for b, v in zip(found, verdicts, strict=True) if v == 1] == ["Head & more", "First para1 on <two> lines", "Second é para"]
-
-
-def test_host_repeats_decide_where_structure_does_not(spark):
-    plate = "<div>Home About Contact Privacy Imprint Terms Press Jobs Help Map</div>"
-    pages = [(i, f"http://h.example/{i}", f"<body>{plate}<div>{' '.join(f'u{i}x{k}' for k in range(20))}</div>{plate}</body>") for i in range(6)]
-    pages += [(10, None, None), (11, "http://h.example/z", ""), (12, "http://other.example", f"<body>{plate}</body>"), (13, "http://h.example/p", PAGE.format(i=2))]
-    d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r.page_id: r for r in htmltext.extract(d).collect()}
-    assert got[3].text == " ".join(f"u3x{k}" for k in range(20)) and got[3].n_chars == len(got[3].text)
-    assert got[10].text == got[11].text == "" and got[12].text.startswith("Home")  # one page repeats nothing
-    assert got[13].text.startswith("Head & more\n\n")
-    assert htmltext.extract(d.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("page, want", [("a < b", ["a < b"]), ("<p>x<p>y", ["x", "y"]), ("<a title='x>y'>z</a>", ["z"]), ("<!-- c --><b>k", ["k"]), ("<", ["<"]), ("<script>never ends", [])])
-def test_odd_markup(page, want):
-    assert [b[0] for b in htmltext.blocks_of(page)] == want
-
-
 # tokens
 
 def test_tokens_match_the_library(spark):

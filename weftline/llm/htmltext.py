@@ -1,17 +1,27 @@
-"""Main text of web pages: page structure and a suffix array over each host's token streams.
-
-A page becomes blocks. Structure settles what it can: text inside an article is
-kept, and menus, forms, adverts and the like go. For everything outside an
-article, and for blocks made of links inside one, the host decides: the token
-streams of its pages form one suffix array, and substrings of LONG or more
-tokens that occur on distinct pages cover boilerplate. Undecided blocks that are
-covered go, unique runs stay.
-
-The array is built in pieces. Suffixes are named by their first LONG tokens by
-prefix doubling; names are hashes, so they agree between tasks. A task sorts its
-pages' suffixes by host and name, and only one row per run of equal names leaves
-it, with the least and the greatest page. The runs are merged by a partial
-aggregate, so no host, however large, is ever gathered in one place.
+"""Main text of web pages by a suffix array over each host's token streams.
+
+Structure parses a page into blocks with a region each, the path of elements and
+class names that they stand in, and settles only what HTML itself settles:
+scripts, styles, forms, navigation, footers and asides are no text, an article
+is. Everything else is open, and the host decides.
+
+The token streams of a host's pages form one suffix array. A suffix is written
+as FIRST tokens and the names of the pieces behind them, each twice as long, so
+that sorted neighbours share as many leading units as their common prefix is
+long. Suffixes begin at every token of an open block and where any other block
+begins; those of other blocks end with their block. Equal suffixes of a task are
+one row from the start. Rows meet by host
+and first tokens, so a host is sliced by prefix and never sits in one task; in a
+slice the sorted rows and the common prefixes of neighbours (the LCP array) give
+the intervals of suffixes that distinct pages share, and how long they are.
+
+Repeats decide in three ways. An open region whose tokens are covered by repeats
+for the greater part, on hosts with enough pages to tell, is a template: its
+blocks go, wherever they stand; one that is hardly ever covered keeps them. On
+pages without an article, blocks that repeats cover go and unique runs stay.
+Inside an article a passage may repeat, as copies and quotations do, and stays,
+unless it stands on nearly every page of its host. Where no host is large enough
+to tell, or the share lies between, class names decide about a region.
 """
 
 from __future__ import annotations
@@ -27,11 +37,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.runtime import kept, small_batches
+from weftline.llm.runtime import BROADCAST_ROWS, checked_broadcast, kept, small_batches
 from weftline.llm.textvec import mix64
 
-#: Tokens of the shortest repeated substring that counts, a power of two; share of a block's tokens that must be covered.
-LONG, COVERED = 8, 0.8
+#: Tokens of the shortest repeated substring that counts: as many stand at the head of a suffix, one unit each.
+FIRST = 6
+#: Where the pieces behind the first tokens end. The last one goes on to the end of its block.
+ENDS = (12, 24, 48)
+UNITS = FIRST + len(ENDS)
+
+#: Share of a block's tokens that repeats must cover; a host tells about regions from so many pages on.
+COVERED, TELLING_PAGES = 0.8, 20
+#: A region is a template from this covered share of its tokens on, and differs from page to page below that one.
+TEMPLATE, UNIQUE = 0.5, 0.05
+#: Share of a host's pages that an article's passage must stand on to be the host's and not the article's.
+HOST_WIDE = 0.8
+
+#: Elements deeper than this are treated as their parents, as browsers do (fixed value).
+DEEPEST = 512
+
+#: Suffixes that a task holds before it merges equal ones.
+HELD = 200_000
 
 #: Element names by what they mean for text (fixed values).
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -42,14 +68,20 @@ BLOCK = frozenset(
 )
 CELLS = frozenset({"td", "th", "br"})
 SOLID = BLOCK - {"p", "li", "dt", "dd", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class, id and role that mark what isn't the article, or what is (fixed values).
-NOT_ARTICLE = frozenset(
+#: Words of class, id and role for what differs from page to page and is no article text: repeats can't show it (fixed values).
+READERS = frozenset("comment comments disqus reply replies respond related recommended recommendations form search login".split())
+#: Words for what a site repeats: they count only where no host is large enough to tell (fixed values).
+SITE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer masthead cookie cookies consent gdpr notice notices popup modal overlay "
-    "newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager toolbar contentinfo complementary alert dialog form".split()
+    "newsletter subscribe subscription signup sharing share social pagination pager toolbar contentinfo complementary alert dialog".split()
 )
 IS_ARTICLE = frozenset("articlebody article post entry story content main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+#: What a block is before repeats are asked: text of an article, gone, or open; open with a class name that a site's own parts have.
+ARTICLE, OUT, OPEN, DOUBTED = 1, 0, -1, -2
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|([^<]+|<)", re.S)
+_LOOSE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^<>]*+)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _WORDS = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
@@ -60,49 +92,69 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _marks(tag: str, attributes: str) -> int:
-    """-1 for an element that can't be the article, 1 for one that is, 0 else."""
+def _marks(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """(-1 for an element that holds no article text, 1 for an article, 0 else; whether its names are those of a site's own parts; its names)."""
     if tag in GONE:
-        return -1
-    found = 1 if tag in ("article", "main") else 0
+        return -1, False, ""
+    found, doubted, names = 1 if tag in ("article", "main") else 0, False, ""
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
                 words = _WORDS.findall(value)
-                if not NOT_ARTICLE.isdisjoint(words) and tag not in ("html", "body", "article", "main"):
-                    return -1
-                if tag in SOLID and tag not in ("html", "body") and not IS_ARTICLE.isdisjoint(words):
+                if name == "class":
+                    names = ".".join(words)
+                if tag not in ("html", "body", "article", "main"):
+                    if not READERS.isdisjoint(words):
+                        return -1, False, names
+                    doubted = doubted or not SITE.isdisjoint(words)
+                if not doubted and tag in SOLID and tag not in ("html", "body") and not IS_ARTICLE.isdisjoint(words):
                     found = max(found, 1)
             elif name == "itemprop" and value == "articlebody":
                 found = 1
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                return -1
-    return found
+                return -1, False, names
+    return (0 if doubted else found), doubted, names
+
+
+class _State:
+    """An open element and what holds for the text in it."""
+
+    __slots__ = ("tag", "inside", "gone", "doubted", "link", "path")
 
+    def __init__(self, tag: str, inside: bool, gone: bool, doubted: bool, link: bool, path: int):
+        self.tag, self.inside, self.gone, self.doubted, self.link, self.path = tag, inside, gone, doubted, link, path
 
-def blocks_of(page: str | None) -> list[tuple[str, bool, bool, float]]:
-    """(text, in the article, dropped by structure, share of it inside links) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, mark, in the article, dropped, in a link
+
+_ROOT = _State("", False, False, False, False, 0)
+
+
+def blocks_of(page: str | None) -> list[tuple[str, int, int, float]]:
+    """(text, kind, region, share of it inside links) of each block with text, in page order. Linear in the page's length."""
+    out: list[tuple[str, bool, bool, bool, int, float]] = []
+    stack: list[_State] = []
+    counts: dict[str, int] = {}
     parts: list[str] = []
     linked: list[str] = []
     page = page or ""
 
-    def end_block(inside: bool, dropped: bool) -> None:
+    def end_block() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 size = len(" ".join("".join(linked).split()))
-                out.append((text, inside, dropped, size / len(text)))
+                out.append((text, now.inside, now.gone, now.doubted, now.path, size / len(text)))
             parts.clear()
             linked.clear()
 
-    inside = dropped = link = False
-    at, end = 0, len(page)
+    now, scan = _ROOT, _TOKEN
+    at, end, last_bracket = 0, len(page), page.rfind(">")
     while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:  # an opening bracket that never closes is text
+        m = scan.match(page, at)
+        if m is None or (m[4] == "<" and scan is _TOKEN and at < last_bracket and page[at + 1 : at + 2].isalpha()):
+            scan = _LOOSE  # a quotation mark that never closes: tags end at the next bracket from here on
+            m = scan.match(page, at)
+        if m is None:
             parts.append("&lt;" if page[at] == "<" else page[at])
             at += 1
             continue
@@ -111,7 +163,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool, float]]:
         if text is not None:
             text = html.unescape(text)
             parts.append(text)
-            if link:
+            if now.link:
                 linked.append(text)
             continue
         tag = m[2]
@@ -123,155 +175,354 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool, float]]:
             if tag == "br":
                 continue
         if m[1]:
-            if any(s[0] == tag for s in stack):
-                if tag in BLOCK or any(s[0] in BLOCK for s in stack[max(i for i, s in enumerate(stack) if s[0] == tag) :]):
-                    end_block(inside, dropped)
-                elif stack[-1][3] != (stack[-2][3] if len(stack) > 1 else False):
-                    end_block(inside, dropped)
-                while stack.pop()[0] != tag:
-                    pass
+            if counts.get(tag):
+                closing, before = tag in BLOCK, now
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    closing = closing or stack[k].tag in BLOCK
+                    k -= 1
+                after = stack[k - 1] if k else _ROOT
+                if closing or before.gone != after.gone:
+                    end_block()
+                for s in stack[k:]:
+                    counts[s.tag] -= 1
+                del stack[k:]
             elif tag in BLOCK:
-                end_block(inside, dropped)
+                end_block()
         else:
             if tag in BLOCK:
-                end_block(inside, dropped)
-                for k in range(len(stack) - 1, -1, -1):  # a paragraph ends where the next block starts
-                    if stack[k][0] == "p" or (stack[k][0] == tag and tag in ("li", "dt", "dd", "tr", "option")):
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SOLID:
-                        break
+                end_block()
+                if counts.get("p") or (tag in ("li", "dt", "dd", "tr", "option") and counts.get(tag)):
+                    for k in range(len(stack) - 1, -1, -1):  # a paragraph ends where the next block starts
+                        if stack[k].tag == "p" or (stack[k].tag == tag and tag in ("li", "dt", "dd", "tr", "option")):
+                            for s in stack[k:]:
+                                counts[s.tag] -= 1
+                            del stack[k:]
+                            break
+                        if stack[k].tag in SOLID:
+                            break
+            now = stack[-1] if stack else _ROOT
             if tag in VOID:
                 continue
-            _, _, was_inside, was_dropped, was_link = stack[-1] if stack else ("", 0, False, False, False)
-            mark = _marks(tag, m[3])
-            if tag == "header" and was_inside:
-                mark = 0
-            if mark < 0 and not was_dropped:
-                end_block(inside, dropped)
+            mark, doubted, names = _marks(tag, m[3])
+            gone = mark < 0 or (tag == "header" and not now.inside)
+            if gone and not now.gone:
+                end_block()
             if tag in RAW and not m[3].endswith("/"):
                 close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
                 at = close.end() if close else end
                 continue
-            stack.append((tag, mark, was_inside or mark > 0, was_dropped or mark < 0 or (tag == "header" and not was_inside), was_link or tag == "a"))
-        _, _, inside, dropped, link = stack[-1] if stack else ("", 0, False, False, False)
-    end_block(inside, dropped)
-    return out
+            if len(stack) >= DEEPEST:
+                continue
+            inside = now.inside or (mark > 0 and not now.doubted)
+            path = now.path
+            if tag in BLOCK and tag not in ("html", "body"):
+                path = xxhash.xxh64_intdigest(f"{path:x}/{tag}.{names}") >> 1
+            # names of a site's own parts inside an article are believed: an article isn't measured by region
+            stack.append(_State(tag, inside, now.gone or gone or (doubted and now.inside), now.doubted or doubted, now.link or tag == "a", path))
+            counts[tag] = counts.get(tag, 0) + 1
+        now = stack[-1] if stack else _ROOT
+    end_block()
+    return [(text, OUT if gone else ARTICLE if inside else DOUBTED if doubted else OPEN, path, links) for text, inside, gone, doubted, path, links in out]
 
 
-def settle(found: list[tuple[str, bool, bool, float]]) -> tuple[list[int], list[int]]:
-    """(verdicts, streams) per block: 1 kept, 0 dropped, -1 up to the host's repeats; and whether its tokens enter the host's stream."""
-    has_article = any(inside and not dropped for _, inside, dropped, _ in found)
-    verdicts, streams = [], []
-    for _, inside, dropped, links in found:
-        if dropped:
-            verdicts.append(0)
-        elif has_article:
-            verdicts.append(0 if not inside else -1 if links > 0.5 else 1)
-        else:
-            verdicts.append(0 if links > 0.9 else -1)
-        streams.append(int(verdicts[-1] != 1))
-    return verdicts, streams
+def _ids(text: str) -> list[int]:
+    return [xxhash.xxh32_intdigest(w) or 1 for w in text.split()]
 
 
-def _token_ids(text: str) -> list[int]:
-    return [xxhash.xxh64_intdigest(w) for w in text.split()]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def names(tokens: np.ndarray) -> np.ndarray:
-    """The name of every suffix of a stream with LONG or more tokens, by prefix doubling; a shorter stream has one."""
-    if not len(tokens):
-        return np.zeros(0, np.int64)
-    if len(tokens) < LONG:
-        tokens = np.concatenate([tokens, np.zeros(LONG - len(tokens), np.uint64)])
-    name, k = mix64(tokens), 1
-    while k < LONG:
-        name = mix64(name[:-k] * np.uint64(0x9E3779B97F4A7C15) + name[k:])
-        k *= 2
-    return name.view(np.int64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    if n:
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+    return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def suffix_keys(tokens: np.ndarray, at: np.ndarray, block_end: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, ends) of the suffixes that begin at ``at`` and end at ``limit``: n x UNITS numbers of 32 bits, and where each piece ends.
+
+    Two suffixes share their first k units exactly if they share the tokens of
+    these units (but for a hash collision); units past the limit are 0. A suffix
+    has FIRST tokens at least.
+    """
+    n, size = len(tokens), len(at)
+    padded = np.concatenate([tokens.astype(np.uint64), np.zeros(FIRST, np.uint64)])
+    units = np.zeros((size, UNITS), dtype=">u4")
+    ends = np.zeros((size, UNITS), dtype=np.int64)
+    for k in range(FIRST):
+        units[:, k] = padded[at + k]
+        ends[:, k] = at + k + 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens.astype(np.uint64)) * _powers(_STEP, n), dtype=np.uint64)])
+    back = _powers(_BACK, n + 1)
+    start = at + FIRST
+    for k, reach in enumerate(ENDS):
+        stop = np.minimum(at + reach, limit)
+        if k == len(ENDS) - 1:
+            stop = np.maximum(stop, block_end)
+        name = mix64((sums[stop] - sums[start]) * back[start] + np.uint64(1))
+        units[:, FIRST + k] = np.where(stop > start, np.maximum(name >> np.uint64(32), np.uint64(1)), np.uint64(0))
+        ends[:, FIRST + k] = stop
+        start = stop
+    return units, ends
+
+
+def _stream(found: list[tuple[str, int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, where suffixes begin, where their blocks end, where they end, their blocks' numbers) of a page; none of fewer than FIRST tokens."""
+    tokens: list[int] = []
+    at: list[int] = []
+    stop: list[int] = []
+    block: list[int] = []
+    for i, (text, kind, _, _) in enumerate(found):
+        ids = _ids(text)
+        n, size = len(tokens), len(ids)
+        tokens += ids
+        begins = range(n, n + size) if kind < 0 else (n,)
+        at += begins
+        stop += [n + size] * len(begins)
+        block += [i] * len(begins)
+    a, stops, blocks = (np.array(x, dtype=np.int64) for x in (at, stop, block))
+    limit = np.where(np.array([b[1] for b in found] or [0])[blocks] < 0, len(tokens), stops)
+    keep = a + FIRST <= limit
+    return np.array(tokens, dtype=np.uint64), a[keep], stops[keep], limit[keep], blocks[keep]
+
+
+def _names(units: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row of units."""
+    out = np.zeros(len(units), dtype=np.uint64)
+    for k in range(UNITS):
+        out = mix64(out * _STEP + units[:, k].astype(np.uint64) + np.uint64(k + 1))
+    return out.view(np.int64)
+
+
+_PARSED = "struct<blocks:array<string>, kinds:array<tinyint>, regions:array<bigint>, links:array<float>, units:binary, ends:array<int>, begins:array<int>, places:array<int>>"
+
+
+def _parse(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Pages as blocks, and their suffixes. The texts of blocks that are gone aren't kept."""
+    for pages in series:
         rows = []
-        for page in batch["page"]:
+        for page in pages:
             found = blocks_of(page)
-            verdicts, streams = settle(found)
-            stream = [t for b, s in zip(found, streams, strict=True) if s for t in _token_ids(b[0])]
-            text = "\n\n".join(b[0] for b, v in zip(found, verdicts, strict=True) if v == 1)
-            open_ = -1 in verdicts
-            rows.append((None if open_ else text, [b[0] for b in found] if open_ else None, verdicts if open_ else None, streams if open_ else None, names(np.array(stream, dtype=np.uint64)).tolist()))
-        yield pd.DataFrame(rows, columns=["text", "blocks", "verdicts", "streams", "names"])
+            if not any(b[1] == ARTICLE for b in found):  # no article: long runs of links are no text
+                found = [(text, OUT if links > 0.9 else kind, region, links) for text, kind, region, links in found]
+            tokens, at, stop, limit, block = _stream(found)
+            units, ends = suffix_keys(tokens, at, stop, limit)
+            reach = np.concatenate([ends[:, FIRST - 1 :] - at[:, None]], axis=1).astype(np.int32)
+            rows.append(([b[0] if b[1] else "" for b in found], [b[1] for b in found], [b[2] for b in found], [b[3] for b in found], units.tobytes(), reach.ravel().tolist(), at.tolist(), block.tolist()))
+        yield pd.DataFrame(rows, columns=["blocks", "kinds", "regions", "links", "units", "ends", "begins", "places"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, units) -> the suffixes, equal ones of a task once, with the least and greatest page and the number of pages."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> pa.RecordBatch:
+        host, page, units = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((page, *(units[:, k] for k in range(UNITS - 1, -1, -1)), host))
+        host, page, units = host[order], page[order], units[order]
+        first = np.r_[True, (host[1:] != host[:-1]) | (units[1:] != units[:-1]).any(axis=1)]
+        other = first | np.r_[True, page[1:] != page[:-1]]
+        begin = np.flatnonzero(first)
+        last = np.r_[begin[1:], len(host)] - 1
+        head = mix64(_names(np.where(np.arange(UNITS) < FIRST, units[begin], 0)).view(np.uint64) ^ host[begin].view(np.uint64)).view(np.int64)
+        key = pa.array([u.tobytes() for u in units[begin].astype(">u4")], pa.binary())  # sorts as the numbers do
+        return pa.RecordBatch.from_arrays(
+            [pa.array(host[begin]), pa.array(head), key, pa.array(page[begin]), pa.array(page[last]), pa.array(np.add.reduceat(other, begin).astype(np.int64))], names=["host", "head", "key", "low", "high", "pages"]
+        )
 
+    for batch in batches:
+        found = [np.frombuffer(u or b"", dtype=">u4").reshape(-1, UNITS) for u in batch.column(2).to_pylist()]
+        n = [len(u) for u in found]
+        if not sum(n):
+            continue
+        held.append((np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n), np.concatenate(found)))
+        size += sum(n)
+        if size >= HELD:
+            yield merged()
+            held, size = [], 0
+    if size:
+        yield merged()
 
-_PARSED = "struct<text:string, blocks:array<string>, verdicts:array<int>, streams:array<int>, names:array<bigint>>"
 
+def repeats(host: np.ndarray, units: np.ndarray, low: np.ndarray, high: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, pieces, pages) of sorted suffixes that distinct pages share: one row of each that is repeated.
+
+    pieces counts what is shared: 1 for the first tokens, one more for each
+    piece behind them; pages is on how many the whole suffix stands.
+    """
+    same = np.zeros(len(host), dtype=np.int64)  # the LCP array, in units
+    equal = np.logical_and.accumulate((units[1:] == units[:-1]) & (host[1:] == host[:-1])[:, None], axis=1)
+    same[1:] = equal.sum(axis=1)
+    pieces = np.zeros(len(host), dtype=np.int64)
+    for k in range(FIRST, UNITS + 1):
+        begin = np.flatnonzero(same < k)
+        shared = np.minimum.reduceat(low, begin) != np.maximum.reduceat(high, begin)
+        of = np.cumsum(same < k) - 1
+        pieces[shared[of]] = k - FIRST + 1
+    begin = np.flatnonzero(same < UNITS)
+    rows = begin[pieces[begin] > 0]
+    return rows, pieces[rows], np.add.reduceat(pages, begin)[pieces[begin] > 0]
+
+
+def _array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes of a slice -> (host, name, pieces, pages) of those that distinct pages share. Suffixes of one head stay together."""
+    rest: list[pa.RecordBatch] = []
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        host, low, high, pages = (table.column(c).to_numpy() for c in ("host", "low", "high", "pages"))
+        units = np.frombuffer(b"".join(table.column("key").to_pylist()), dtype=">u4").reshape(-1, UNITS)
+        rows, pieces, n = repeats(host, units, low, high, pages)
+        return pa.RecordBatch.from_arrays([pa.array(host[rows]), pa.array(_names(units[rows])), pa.array(pieces), pa.array(n)], names=["host", "name", "pieces", "pages"])
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffix array of a batch's streams, a row for each run of equal names within a host."""
     for batch in batches:
-        lists = batch.column(2)
-        size = np.asarray(lists.value_lengths().fill_null(0))
-        name = lists.flatten().to_numpy()
-        if not len(name):
+        if not batch.num_rows:
             continue
-        host = np.repeat(batch.column(0).to_numpy(), size)
-        page = np.repeat(batch.column(1).to_numpy(), size)
-        array = np.lexsort((page, name, host))
-        host, name, page = host[array], name[array], page[array]
-        first = np.r_[True, (host[1:] != host[:-1]) | (name[1:] != name[:-1])]
-        last = np.r_[first[1:], True]
-        yield pa.RecordBatch.from_arrays([pa.array(host[first]), pa.array(name[first]), pa.array(page[first]), pa.array(page[last])], names=["host", "name", "low", "high"])
+        host, head = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = np.flatnonzero((host[1:] != host[:-1]) | (head[1:] != head[:-1]))
+        if rest and (rest[-1].column(0)[-1].as_py(), rest[-1].column(1)[-1].as_py()) != (host[0], head[0]):
+            yield found(pa.Table.from_batches(rest))
+            rest = []
+        if len(cut):
+            yield found(pa.Table.from_batches([*rest, batch.slice(0, cut[-1] + 1)]))
+            rest = [batch.slice(cut[-1] + 1)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield found(pa.Table.from_batches(rest))
+
+
+_PLACES = "row bigint, host bigint, name bigint, region bigint, block int, start int, end6 int, end12 int, end24 int, end48 int"
+
+
+def _places(article: bool):
+    """(row, host, kinds, regions, units, ends, begins, places) -> where the suffixes of open blocks begin, or of an article's, with their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            out = []
+            for i in range(batch.num_rows):
+                place = np.array(columns["places"][i].as_py(), dtype=np.int64)
+                if not len(place):
+                    continue
+                kinds = np.array(columns["kinds"][i].as_py(), dtype=np.int64)[place]
+                want = kinds == ARTICLE if article else kinds < 0
+                if not want.any():
+                    continue
+                units = np.frombuffer(columns["units"][i].as_py(), dtype=">u4").reshape(-1, UNITS)[want]
+                ends = np.array(columns["ends"][i].as_py(), dtype=np.int32).reshape(-1, len(ENDS) + 1)[want]
+                start = np.array(columns["begins"][i].as_py(), dtype=np.int32)[want]
+                region = np.array(columns["regions"][i].as_py(), dtype=np.int64)[place[want]]
+                n = len(start)
+                out.append((np.full(n, columns["row"][i].as_py()), np.full(n, columns["host"][i].as_py()), _names(units), region, place[want].astype(np.int32), start, *ends.T))
+            if out:
+                arrays = [np.ascontiguousarray(np.concatenate(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[c.split()[0] for c in _PLACES.split(", ")])
+
+    return run
+
+
+def _shown(found: list[tuple[str, int, int]], covered: dict[int, float], templates: frozenset, unique: frozenset, wide: frozenset) -> str:
+    """The text of a page: which of its (text, kind, region) stay, given what repeats say."""
+    article = any(kind == ARTICLE for _, kind, _ in found)
+    keep = []
+    for i, (text, kind, region) in enumerate(found):
+        if kind == ARTICLE:
+            stays = i not in wide
+        elif kind == OUT or region in templates:
+            stays = False
+        elif region in unique:
+            stays = article or covered.get(i, 0.0) < COVERED
+        else:
+            stays = not article and kind != DOUBTED and covered.get(i, 0.0) < COVERED
+        if stays:
+            keep.append(text)
+    return "\n\n".join(keep)
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of pages with undecided blocks, given which names of their streams are repeated."""
-    for batch in batches:
-        out = []
-        for blocks, verdicts, streams, all_names, again in zip(batch["blocks"], batch["verdicts"], batch["streams"], batch["names"], batch["again"], strict=True):
-            repeated = set() if again is None else set(again)
-            sizes = [len(b.split()) if s else 0 for b, s in zip(blocks, streams, strict=True)]
-            covered = np.zeros(sum(sizes) + LONG, dtype=np.int64)
-            for i, n in enumerate(all_names):
-                if n in repeated:
-                    covered[i : i + LONG] = 1
-            keep, at = [], 0
-            for block, verdict, size in zip(blocks, verdicts, sizes, strict=True):
-                share = covered[at : at + size].mean() if size else 0.0
-                at += size
-                if verdict == 1 or (verdict == -1 and share < COVERED):
-                    keep.append(block)
-            out.append("\n\n".join(keep))
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out})
-
-
-def extract(pages: DataFrame) -> DataFrame:
+def _verdicts(evidence) -> tuple[frozenset, frozenset]:
+    """(regions that are templates, regions that differ from page to page) of (region, tokens, covered tokens)."""
+    rows = list(evidence)
+    return frozenset(r for r, n, covered in rows if covered >= TEMPLATE * n), frozenset(r for r, n, covered in rows if covered < UNIQUE * n)
+
+
+def extract(pages: DataFrame, regions_at_once: int = BROADCAST_ROWS, telling_pages: int = TELLING_PAGES) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     A null html gives an empty text, a null url the host ''. Rows that repeat a
-    page_id are one page when repeats are counted. An empty table gives an empty
-    result.
+    page_id are one page when repeats are counted, and one row each in the
+    result. Very long pages are read in linear time. An empty table gives an
+    empty result; further columns are ignored. What repeats say about regions is
+    sent to tasks if it has no more than ``regions_at_once`` rows, and joined
+    otherwise; the result is the same.
     """
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
 
     @F.pandas_udf(_PARSED)
     def parse(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from _parse(pd.DataFrame({"page": s}) for s in series)
+        yield from _parse(series)
 
     @F.pandas_udf("string")
     def host(series: pd.Series) -> pd.Series:
         return series.map(host_of)
 
-    parsed = rows.select("page_id", "url", F.xxhash64(F.coalesce(host("url"), F.lit(""))).alias("host"), parse("html").alias("p")).select("page_id", "url", "host", "p.*")
+    parsed = rows.select("page_id", "url", F.xxhash64(F.coalesce(host("url"), F.lit(""))).alias("host"), parse("html").alias("p")).select("page_id", "url", "host", F.xxhash64("page_id", "url", "p.blocks", "p.units").alias("row"), "p.*")
     parsed = kept(parsed, "html-parsed")
-    settled = parsed.where("blocks IS NULL").select("page_id", "url", "text")
-    unsettled = parsed.where("blocks IS NOT NULL")
-    heads = parsed.select("host", F.coalesce("page_id", F.lit(-1)).alias("page"), "names").mapInArrow(_heads, "host bigint, name bigint, low bigint, high bigint")
-    repeated = heads.groupBy("host", "name").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "name")
-    repeated = kept(repeated, "html-repeats")
-    key = F.xxhash64("page_id", "url", "blocks")
-    suffixes = unsettled.select(key.alias("row"), "host", F.explode(F.array_distinct("names")).alias("name"))
-    again = suffixes.join(repeated, ["host", "name"]).groupBy("row").agg(F.collect_set("name").alias("again"))
-    finished = unsettled.withColumn("row", key).join(again, "row", "left").select("page_id", "url", "blocks", "verdicts", "streams", "names", "again").mapInPandas(_finish, "page_id bigint, url string, text string")
-    return settled.union(finished).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    one_page = F.coalesce("page_id", F.lit(-1))
+    suffixes = parsed.select("host", one_page.alias("page"), "units").mapInArrow(_suffixes, "host bigint, head bigint, key binary, low bigint, high bigint, pages bigint")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    array = suffixes.repartition(n_parts, "host", "head").sortWithinPartitions("host", "head", "key")
+    found = kept(array.mapInArrow(_array, "host bigint, name bigint, pieces bigint, pages bigint"), "html-repeats")
+    hosts = kept(parsed.groupBy("host").agg(F.count_distinct(one_page).alias("host_pages")), "html-hosts")
+
+    # how much of each open block is covered, from the repeats that begin in it
+    streams = parsed.select("row", "host", "kinds", "regions", "units", "ends", "begins", "places")
+    open_ = streams.where(F.exists("kinds", lambda k: k < 0)).mapInArrow(_places(False), _PLACES)
+    hits = open_.join(found.select("host", "name", "pieces"), ["host", "name"], "left").dropDuplicates(["row", "block", "start"])
+    reach = F.element_at(F.array("end6", "end12", "end24", "end48"), F.col("pieces").cast("int"))
+    span = F.when(F.col("pieces").isNotNull(), F.struct("start", (F.col("start") + reach).alias("stop")))
+    spans = hits.groupBy("row", "host", "region", "block").agg(F.min("start").alias("first"), (F.max("start") + 1).alias("last"), F.sort_array(F.collect_list(span)).alias("spans"))
+    step = lambda done, s: F.struct((done.n + F.greatest(F.least(s.stop, F.col("last")) - F.greatest(s.start, done.upto), F.lit(0))).alias("n"), F.greatest(done.upto, s.stop).alias("upto"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step).n
+    spans = kept(spans.select("row", "host", "region", "block", (F.col("last") - F.col("first")).alias("tokens"), covered.alias("covered")), "html-spans")
+    telling = hosts.where(F.col("host_pages") >= telling_pages)
+    evidence = spans.where(F.col("tokens") >= FIRST).join(checked_broadcast(telling, regions_at_once), "host")
+    evidence = kept(evidence.groupBy("region").agg(F.sum("tokens").alias("tokens"), F.sum("covered").alias("covered")), "html-regions")
+
+    # passages of articles that stand on nearly all pages of their host
+    wide = kept(found.join(telling, "host").where(F.col("pages") >= HOST_WIDE * F.col("host_pages")).select("host", "name").distinct(), "html-wide")
+    has_article = F.exists("kinds", lambda k: k == ARTICLE)
+    parts = parsed.select("page_id", "url", "row", "blocks", "kinds", "regions", has_article.alias("article"))
+    none = F.lit(None)
+    if wide.isEmpty():
+        parts = parts.withColumn("wide", none.cast("array<int>"))
+    else:
+        of_articles = streams.mapInArrow(_places(True), _PLACES).join(checked_broadcast(wide, regions_at_once), ["host", "name"])
+        parts = parts.join(checked_broadcast(kept(of_articles.groupBy("row").agg(F.collect_set("block").alias("wide")), "html-wide-rows"), regions_at_once), "row", "left")
+    shares = spans.join(parsed.where(~has_article).select("row").distinct(), "row").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("block", (F.col("covered") / F.col("tokens")).alias("share")))).alias("covered"))
+    whole = parts.where("article").withColumn("covered", none.cast("map<int,double>")).unionByName(parts.where("NOT article").join(shares, "row", "left"))
+    if evidence.limit(regions_at_once + 1).count() <= regions_at_once:
+        templates, unique = _verdicts((r["region"], r["tokens"], r["covered"]) for r in evidence.collect())  # bounded by regions_at_once
+        known = whole.withColumn("said", none.cast("array<struct<region:bigint,tokens:bigint,covered:bigint>>"))
+    else:
+        templates, unique = frozenset(), frozenset()
+        asked = streams.select("row", F.explode(F.array_distinct("regions")).alias("region")).distinct().join(evidence, "region")
+        known = whole.join(asked.groupBy("row").agg(F.collect_list(F.struct("region", "tokens", "covered")).alias("said")), "row", "left")
+
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for texts, kinds, regions, wide_ones, shares_, said in zip(b["blocks"], b["kinds"], b["regions"], b["wide"], b["covered"], b["said"], strict=True):
+                t, k = (templates, unique) if said is None else _verdicts((r["region"], r["tokens"], r["covered"]) for r in said)
+                out.append(_shown(list(zip(texts, kinds, regions, strict=True)), dict(shares_ or ()), t, k, frozenset(() if wide_ones is None else wide_ones)))
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out})
+
+    shown = known.select("page_id", "url", "blocks", "kinds", "regions", "wide", "covered", "said").mapInPandas(show, "page_id bigint, url string, text string")
+    return shown.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
