@@ -380,14 +380,11 @@ def oof_item_dictionary(spark, sf_dir):
     return flat.groupBy("item").agg(F.count_distinct("user_id").alias("n_orders"), F.round(F.sum("w"), 6).alias("weight"), F.sum("target").alias("bad"))
 
 
-@query("partition_overwrite")
+@query("partition_overwrite", "SELECT o_orderstatus, count(*) AS n, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE max(o_totalprice) END AS top FROM orders GROUP BY 1")
 def partition_overwrite(spark, sf_dir):
-    import tempfile
+    from weftline.sources.tables import fresh_path, write_partitions
 
-    from weftline.sources.tables import write_partitions
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{folder}/orders-by-status"
+    path = fresh_path(spark, "orders-by-status")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     write_partitions(o, path, ["o_orderstatus"])
     write_partitions(o.where("o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0)), path, ["o_orderstatus"])

@@ -102,9 +102,34 @@ def pages_of(total: int, size: int) -> list[int]:
     return list(range(1, -(-total // size) + 1))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a session in one process gets a folder of its own; on a
+    cluster that would be a disk of one machine, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="weftline-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder. What lies there is deleted when the application ends."""
+    app = f"{shared_folder(spark)}/weftline-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(app)
+    files_ = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files_.mkdirs(place)
+    files_.deleteOnExit(place)
+    return f"{app}/{tag}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Written to the cluster's shared folder and read again, so that what uses it twice doesn't work it out twice."""
+    """Written to the shared folder and read again: lineage ends there, a lost executor costs nothing, and what uses it twice doesn't work it out twice."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weftline-')}/{tag}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    path = fresh_path(spark, tag) + ".parquet"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
