@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import kept, shared_folder
+
+__all__ = ["checked_broadcast", "documents", "held_out", "kept", "n_words", "shared_folder", "small_batches", "words"]
+
 #: What counts as white space between words, in regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,27 +17,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of one side that may be broadcast; each is a few dozen bytes.
 BROADCAST_ROWS = 200_000
 
-#: Rows of an Arrow batch: long texts then stay within a worker's memory.
-ARROW_ROWS = 512
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a folder of our own where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes of an Arrow batch: long texts then stay within a worker's memory.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -45,8 +27,9 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that reach a Python worker at once."""
+    """Bound the rows and bytes that reach a Python worker at once, for all later queries of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:
