@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 #: Splits a text before merging (fixed value: the vocabulary's own pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Text that is split at once, in characters; a piece that reaches its end waits for more.
-SEGMENT = 1 << 16
+#: Text that is read at once, in characters; a piece that reaches its end waits for more.
+SEGMENT = 1 << 14
 
-#: Where single blanks part a text, no piece crosses them. Found: a blank beside other white space, or at an end.
-_UNEVEN = re.compile(r"\s | \s|^ | $")
+#: Where single blanks part a text, no piece crosses them. Found: a blank beside other white space, or at the end.
+_UNEVEN = re.compile(r"\s | \s| $")
 
 _PIECES = regex.compile(PATTERN)
 _SAME = {kind: regex.compile(p) for kind, p in (("letter", r"\p{L}+"), ("digit", r"\p{N}+"), ("space", r"\s+"), ("other", r"[^\s\p{L}\p{N}]+"))}
@@ -93,7 +93,7 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.open = b""
-        self.window = 2 * vocabulary.lookahead + 256
+        self.window = 2 * vocabulary.lookahead + 1
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of data on its own: the lowest rank first, the leftmost of equals."""
@@ -126,12 +126,6 @@ class Transducer:
             at = end
         self.open = self.open[at:]
 
-    def whole(self, data: bytes) -> list[int]:
-        """Ids of a piece that is here from its first byte to its last."""
-        if len(data) < self.window:
-            return self.merged(data)
-        return [*self.feed(data), *self.flush()]
-
     def flush(self) -> list[int]:
         ids = self.merged(self.open)
         self.open = b""
@@ -171,8 +165,8 @@ class Encoder:
         self.blanked = _Memo(self._blanked, limit)
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of one whole piece."""
-        return _packed(self.transducer.whole(piece.encode("utf-8", "surrogatepass")))
+        """Ids of one whole piece, which the transducer takes in and ends."""
+        return _packed([*self.transducer.feed(piece.encode("utf-8", "surrogatepass")), *self.transducer.flush()])
 
     def _blanked(self, word: str) -> bytes:
         """Ids of a blank and a run without blanks; words of letters, or with one mark behind, need no splitting."""
@@ -209,13 +203,14 @@ class Encoder:
             for p in found[: len(found) - len(tail)]:
                 yield from self.piece(p)
             held = "".join(tail)
-            if len(held) >= SEGMENT:
+            if len(held) >= max(SEGMENT, 16):
                 yield from (i for p in tail[:-1] for i in self.piece(p))
-                last = tail[-1]
-                run = next(k for k, c in _SAME.items() if c.fullmatch(last[-1]))
-                keep = 1 if run == "space" else 0
-                yield from self.transducer.feed(last[: len(last) - keep].encode("utf-8", "surrogatepass"))
-                held = last[len(last) - keep :]
+                held = last = tail[-1]
+                if len(last) >= 8:  # longer than any contraction, whose mark and letters may lie apart
+                    run = next(k for k, c in _SAME.items() if c.fullmatch(last[-1]))
+                    keep = 1 if run == "space" else 0
+                    yield from self.transducer.feed(last[: len(last) - keep].encode("utf-8", "surrogatepass"))
+                    held = last[len(last) - keep :]
         if run is not None:
             yield from self.transducer.feed(held.encode("utf-8", "surrogatepass"))
             yield from self.transducer.flush()
@@ -225,30 +220,55 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the strings of added tokens become their ids."""
-        return np.frombuffer(self.encode_packed(text), dtype=np.uint32).tolist()
+        return np.frombuffer(b"".join(self.chunks(text)), dtype=np.uint32).tolist()
 
-    def encode_packed(self, text: str) -> bytes:
-        """As encode, four bytes per id in the machine's order."""
-        out: list[bytes] = []
+    def chunks(self, text: str) -> Iterator[bytes]:
+        """Ids of a text as they become final, four bytes per id in the machine's order, at most a few segments' worth at once."""
         at = 0
         for m in self.v.split_added.finditer(text) if self.v.split_added else ():
-            self._extend(out, text[at : m.start()])
-            out.append(_packed([self.v.added[m[0]]]))
+            yield from self._between(text, at, m.start())
+            yield _packed([self.v.added[m[0]]])
             at = m.end()
-        self._extend(out, text[at:])
-        return b"".join(out)
-
-    def _extend(self, out: list[bytes], text: str) -> None:
-        if len(text) > SEGMENT:
-            out.append(_packed(self.plain(text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT))))
-        elif _UNEVEN.search(text):
-            known = self.known
-            out.extend([known[p] for p in _PIECES.findall(text)])
-        elif text:
-            first, *rest = text.split(" ")
-            known, blanked = self.known, self.blanked
-            out.extend([known[p] for p in _PIECES.findall(first)])
-            out.extend([blanked[w] for w in rest])
+        yield from self._between(text, at, len(text))
+
+    def _between(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Chunks of text[at:end], which holds no added token. Read in segments that end before a single blank; where there is none, cut anywhere."""
+        while at < end:
+            cut = _cut(text, at, min(end, at + SEGMENT)) if end - at > SEGMENT else end
+            if cut > at:
+                yield self._segment(text[at:cut])
+                at = cut
+                continue
+            stop = at + SEGMENT  # no blank to cut at: pieces may be longer than a segment
+            while stop < end and (cut := _cut(text, stop - 1, min(end, stop + SEGMENT), False)) <= stop - 1:
+                stop = min(end, stop + SEGMENT)
+            stop = max(cut, stop) if stop < end else end
+            some: list[int] = []
+            for i in self.plain(text[k : min(stop, k + SEGMENT)] for k in range(at, stop, SEGMENT)):
+                some.append(i)
+                if len(some) >= SEGMENT:
+                    yield _packed(some)
+                    some = []
+            yield _packed(some)
+            at = stop
+
+    def _segment(self, text: str) -> bytes:
+        known, blanked = self.known, self.blanked
+        if _UNEVEN.search(text):
+            return b"".join([known[p] for p in _PIECES.findall(text)])
+        first, *rest = text.split(" ")
+        return b"".join([*[known[p] for p in _PIECES.findall(first)], *[blanked[w] for w in rest]])
+
+
+def _cut(text: str, low: int, high: int, last: bool = True) -> int:
+    """The last place in (low, high), or the first, where a single blank stands between characters that aren't white space; low if there is none."""
+    at = high - 1 if last else low
+    while True:
+        at = text.rfind(" ", low + 1, at) if last else text.find(" ", at + 1, high - 1)
+        if at < 0:
+            return low
+        if not text[at - 1].isspace() and not text[at + 1].isspace():
+            return at
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> Iterator[str]:
@@ -262,6 +282,26 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> Iterator[str]:
         yield text
 
 
+class Digests:
+    """Takes in a text's ids as they are emitted: their number, their digest and that of the text that they decode to."""
+
+    def __init__(self, token: dict[int, bytes]):
+        self.token, self.n = token, 0
+        self.ids, self.shown = hashlib.sha256(), hashlib.sha256()
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def take(self, chunk: bytes) -> None:
+        ids = np.frombuffer(chunk, dtype=np.uint32)
+        self.n += len(ids)
+        self.ids.update(ids.astype("<u4", copy=False).tobytes())
+        token = self.token
+        self.shown.update(self.machine.decode(b"".join([token[i] for i in ids.tolist()])).encode())
+
+    def end(self) -> tuple[int, str, str]:
+        self.shown.update(self.machine.decode(b"", True).encode())
+        return self.n, self.ids.hexdigest(), self.shown.hexdigest()
+
+
 def round_trip(text: Column, path: str, with_ids: bool = False) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256[, ids]) of a text; a null text is empty. path must exist on every executor."""
     ids_type = ", ids array<int>" if with_ids else ""
@@ -274,14 +314,12 @@ def round_trip(text: Column, path: str, with_ids: bool = False) -> Column:
         for texts in batches:
             rows = []
             for text in texts:
-                ids = np.frombuffer(encoder.encode_packed(text or ""), dtype=np.uint32)
-                shown = hashlib.sha256()
-                machine = codecs.getincrementaldecoder("utf-8")("replace")
-                for a in range(0, len(ids), 4096):
-                    shown.update(machine.decode(b"".join([token[i] for i in ids[a : a + 4096].tolist()])).encode())
-                shown.update(machine.decode(b"", True).encode())
-                row = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), shown.hexdigest())
-                rows.append((*row, ids.astype(np.int32)) if with_ids else row)
+                digests, all_ids = Digests(token), []
+                for chunk in encoder.chunks(text or ""):
+                    digests.take(chunk)
+                    if with_ids:
+                        all_ids.append(chunk)
+                rows.append((*digests.end(), np.frombuffer(b"".join(all_ids), dtype=np.uint32).astype(np.int32)) if with_ids else digests.end())
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return run(text)
