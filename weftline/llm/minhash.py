@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import blocks, textvec
@@ -86,27 +86,36 @@ def _bytes(rows: np.ndarray) -> pa.Array:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = probes()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        row, texts = batch.column(0), batch.column(1)
         for a, b, data, starts in textvec.chunks(texts):
             h, r = textvec.shingles(*textvec.word_hashes(data, starts), SHINGLE)
             n = b - a
             size = np.bincount(r, minlength=n)
-            lo, hi = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            np.add.at(lo, r, textvec.mix64(h + np.uint64(1)))
-            np.add.at(hi, r, textvec.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            lo, hi = _names_of_sets(h, r, n)
             sig = signatures(h, r, n, order)
             keys = _bytes(band_keys(sig))
             small = _bytes((textvec.mix64(sig) >> np.uint64(56)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(size, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), keys, small], names=["doc_id", "n", "lo", "hi", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([row.slice(a, n), pa.array(size, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), keys, small], names=["row", "n", "lo", "hi", "bands", "sig"])
+
+
+def _names_of_sets(h: np.ndarray, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each row's set, whatever the order of its hashes."""
+    lo, hi = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    np.add.at(lo, r, textvec.mix64(h + np.uint64(1)))
+    np.add.at(hi, r, textvec.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return lo, hi
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lo, text) -> (id, hashes) of the texts whose set is the one that lo names."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, wanted, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
         for a, b, data, starts in textvec.chunks(texts):
             h, r = textvec.shingles(*textvec.word_hashes(data, starts), SHINGLE)
+            lo, _ = _names_of_sets(h, r, b - a)
             ends = np.r_[0, np.cumsum(np.bincount(r, minlength=b - a))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "hashes"])
+            found = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "hashes"])
+            yield found.filter(pa.array(lo.view(np.int64) == wanted[a:b]))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +127,20 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, hashes) of some documents. Only their texts are read into sets."""
-    wanted = docs.join(checked_broadcast(ids, 2_000_000), docs.doc_id == ids.id, "left_semi")
-    return kept(wanted.select("doc_id", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
+def _text_key() -> Column:
+    return F.xxhash64(F.lit(17), "text")
+
+
+def _full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, hashes) of some classes. Only the text of each class's representative is read into a set."""
+    asked = kept(ids.join(reps.select("id", "lo", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "id"), "nd-asked")
+    wanted = docs.select("doc_id", "text", _text_key().alias("text_key")).join(checked_broadcast(asked, 2_000_000), (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    return kept(wanted.select("id", "lo", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the (a, b) whose full sets are alike enough."""
-    sets = _full_sets(kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "nd-ids"), docs)
+    sets = _full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), reps, docs)
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b"))
     both = pairs.join(right, "b").join(left, "a")
@@ -146,41 +160,48 @@ def _sides(rows: DataFrame, group: str, less: int, more: int) -> DataFrame:
     return few.union(all_)
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sketches, links or None): a row per document with its set's size and class, and the confirmed links between classes.
+def classes(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(sketches, classes, links or None): a row per document with its set's size and name, a row per distinct set, and the confirmed links between these.
 
-    docs has doc_id and text. Rows that share a doc_id are looked at one by one;
-    documents without words have no class.
+    docs has doc_id and text; ``row`` is carried along with each document. A
+    class has a number of its own, so ids may repeat or be null; its
+    representative is the document of least doc_id. Documents without words have
+    no class.
     """
     small_batches(docs.sparkSession)
-    sketches = kept(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id bigint, n bigint, lo bigint, hi bigint, bands binary, sig binary"), "nd-sketch")
-    reps = kept(sketches.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n")), "nd-classes")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    mine = F.struct(F.col("doc_id"), _text_key().alias("text_key"), (F.lit(None).cast("struct<a:bigint,b:bigint>") if row is None else row).alias("own"))
+    told = docs.select(mine.alias("row"), "text")
+    sketches = kept(told.mapInArrow(_sketch, f"row {told.schema['row'].dataType.simpleString()}, n bigint, lo bigint, hi bigint, bands binary, sig binary").select("row.*", "n", "lo", "hi", "bands", "sig"), "nd-sketch")
+    # numbered in the written table, so that a number stays what it is
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
+    reps = kept(sketches.where("n > 0").groupBy("lo", "hi").agg(first, F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "nd-classes")
     buckets = reps.select("id", "bands").mapInArrow(_keys, "key bigint, id bigint")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = kept(buckets.join(shared, "key").select("key", "id", "n"), "nd-buckets")
     fame = kept(live.groupBy("id").agg(F.sum("n").alias("fame")), "nd-fame")
     if fame.isEmpty():
-        return sketches, None
+        return sketches, reps, None
     live = kept(live.join(fame, "id").select("key", "id", "fame"), "nd-live")
     # the member that shares most buckets is the same in nearly all buckets of a group, so stars repeat few pairs
     # written first: a join above an aggregate of the same exchange couldn't split a large bucket
     centre = kept(live.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre")), "nd-centres")
     rest = kept(live.join(centre, "key").where("id <> centre"), "nd-rest")
     tried = kept(_ordered(rest).distinct(), "nd-star")
-    links = kept(_confirmed(tried, docs), "nd-links")
+    links = kept(_confirmed(tried, reps, docs), "nd-links")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = kept(components(links).withColumnRenamed("component", "label"), "nd-labels")
     marked = rest.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sides = _sides(marked, "key", LESS, MORE).join(reps.select("id", "n", "sig"), "id").select("key", "i", "j", "less", "id", "label", "n", "sig")
     likely = kept(blocks.together(sides, ["key", "i", "j"], n_parts).mapInArrow(_likely, "a bigint, b bigint").distinct(), "nd-likely")
     if likely.isEmpty():
-        return sketches, links
+        return sketches, reps, links
     family = components(likely.union(links)).withColumnRenamed("component", "family")
     members = family.join(labels, "id", "left").select("family", "id", F.coalesce("label", "id").alias("label"))
     sides = kept(_sides(members, "family", LESS_SETS, MORE_SETS), "nd-family")
-    sets = _full_sets(kept(sides.select("id").distinct(), "nd-ids"), docs)
+    sets = _full_sets(sides.select("id").distinct(), reps, docs)
     met = blocks.together(sides.join(sets, "id").select("family", "i", "j", "less", "id", "label", "hashes"), ["family", "i", "j"], n_parts)
-    return sketches, kept(links.union(met.mapInArrow(_met, "a bigint, b bigint")), "nd-links")
+    return sketches, reps, kept(links.union(met.mapInArrow(_met, "a bigint, b bigint")), "nd-links")
 
 
 def _edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -244,21 +265,59 @@ def _ordered(star: DataFrame) -> DataFrame:
     return star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
 
 
+def _groups(reps: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(lo, hi, component): the number of a class that its whole group of classes shares."""
+    if links is None:
+        return reps.select("lo", "hi", F.col("id").alias("component"))
+    return kept(reps.select("lo", "hi", "id").join(components(links), "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component")), "nd-reps")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
     component_id is the least doc_id that links reach; documents without words
-    (empty or null texts) have 0 shingles and are linked with nothing. Rows that
-    repeat a doc_id repeat its result. An empty table gives an empty result.
+    (empty or null texts) have 0 shingles and are linked with nothing. A doc_id
+    may repeat: every row is looked at by its own text. Documents without a
+    doc_id take part, but name a group only if none of it has one; then
+    component_id is null. Long texts are read whole, rows that are alike are
+    linked, and an empty table gives an empty result.
+    """
+    sketches, reps, links = classes(docs)
+    groups = _groups(reps, links)
+    least = groups.join(reps.select("lo", "hi", F.col("rep.doc_id").alias("least")), ["lo", "hi"])
+    named = kept(least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("lo", "hi", "component_id", F.lit(True).alias("grouped")), "nd-names")
+    done = sketches.select("doc_id", F.col("n").alias("n_shingles"), "lo", "hi", (F.col("n") > 0).alias("has")).join(named, ["lo", "hi"], "left")
+    done = done.select("doc_id", "n_shingles", F.when(F.col("has") & F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _row_names(docs: DataFrame) -> Column:
+    """128 bits that name a row by all of its columns."""
+    plain = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    columns = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema]
+    # a null isn't hashed: whether a column is null is hashed beside it
+    columns += [c.isNull() for c in columns]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(23), *columns).alias("b"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each group of linked rows the one of least doc_id, of equals any one. Columns and their names are as in docs.
+
+    Decided row by row: two texts under one doc_id are two documents, rows
+    without a doc_id come last, and rows without words all stay. A row that is
+    alike in every column with others is one document, and stays once.
     """
-    sketches, links = classes(docs)
-    reps = sketches.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("id"))
-    if links is not None:
-        groups = components(links)
-        reps = reps.join(groups, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component"))
-    else:
-        reps = reps.withColumnRenamed("id", "component")
-    reps = kept(reps, "nd-reps")
-    done = sketches.select("doc_id", F.col("n").alias("n_shingles"), "lo", "hi").join(reps, ["lo", "hi"], "left")
-    done = done.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    name = _row_names(docs)
+    sketches, reps, links = classes(docs.select(F.col("doc_id"), F.col("text"), name.alias("own_name")), F.col("own_name"))
+    grouped = sketches.where("n > 0").select("lo", "hi", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own").alias("me")).join(_groups(reps, links), ["lo", "hi"])
+    grouped = kept(grouped.groupBy("component", "me").agg(F.count("*").alias("alike")), "nd-rows")
+    best = kept(grouped.groupBy("component").agg(F.min("me").alias("best"), F.count("*").alias("others"), F.sum("alike").alias("rows")).where("rows > 1"), "nd-best")
+    rest = grouped.join(best, "component")
+    gone = kept(rest.where("me <> best").select("me.own.a", "me.own.b").distinct(), "nd-gone")
+    again = kept(rest.where("me = best AND alike > 1").select("me.own.a", "me.own.b").distinct(), "nd-again")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.a.alias("a"), name.b.alias("b"))
+    rows = rows.join(checked_broadcast(gone, 2_000_000), ["a", "b"], "left_anti")
+    if not again.isEmpty():
+        once = rows.join(checked_broadcast(again, 2_000_000), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")).select("row", "a", "b")
+        rows = rows.join(checked_broadcast(again, 2_000_000), ["a", "b"], "left_anti").unionByName(once)
+    return rows.select("row.*")
