@@ -135,6 +135,6 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = WEIGHTS, share: float = SHARE,
 def take(docs: DataFrame, cycle: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, slices: int = SLICES) -> DataFrame:
     """The mixed documents: each row of docs as often as the mix takes it, with docs' columns. Texts are not shuffled."""
     per_source = plan(sizes(docs, seed), cycle, share, cap, slices)
-    work = _draw_columns(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"), seed, "doc_id", "text").withColumn("size", n_words(F.col("text"))).drop("text")
+    work = _draw_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source"), seed, "doc_id", "text").withColumn("size", n_words(F.col("text"))).drop("text")
     done = _copies(_place(work, per_source, slices)).where(F.col("copies") > 0)
     return done.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
