@@ -1,7 +1,9 @@
 """Documents to training tokens: language, toxicity, near-duplicates, mixing, encoding.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of
-documents; run() applies them one after another, and whoever drives STAGES
+Each stage takes (spark, docs, sf_dir), docs with doc_id, text, lang and source
+and any other columns. Null and empty texts have no letter and go in the first
+stage; very long ones are read whole. Rows that are alike are one document from
+the third stage on. All stages but the last return the columns of documents; run() applies them one after another, and whoever drives STAGES
 writes each result and reads it again as the next stage's docs.
 """
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bpe, langid, minhash, mixing, toxicity
 from weftline.llm.queries_models import vocabulary_path
-from weftline.llm.runtime import checked_broadcast, kept, small_batches
+from weftline.llm.runtime import kept, small_batches
 
 
 def _judged(docs: DataFrame, judgement, keep) -> DataFrame:
@@ -21,8 +23,10 @@ def _judged(docs: DataFrame, judgement, keep) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no known language, go; profiles are learned from these documents."""
+    """Documents without a letter, or of no known language, go; profiles are learned from these documents. Where none has a lang, only the former go."""
     profiles = langid.learn(docs.select("doc_id", "text", "lang"))
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return _judged(docs, langid.predict(F.col("text"), profiles), lambda said: said.lang != langid.UNKNOWN)
 
 
@@ -34,10 +38,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least doc_id."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = kept(found.where(~F.coalesce("kept", F.lit(True))).select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
-    return docs.join(checked_broadcast(gone, 2_000_000), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """One document of each group of near-duplicates stays, that with the least doc_id. Decided row by row: ids may repeat or be null."""
+    return minhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Hashes, trees and tokens can't be expressed in SQL; tests hold every stage against a brute-force version.
+#: Learned profiles and trees, and tokens, can't be expressed in SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
