@@ -142,3 +142,24 @@ def test_mixing(spark):
     taken = mixing.take(d)
     assert taken.columns == d.columns and taken.count() == sum(r.copies for r in got)
     assert mixing.mix(d.limit(0)).count() == 0
+
+
+def test_inclusion_follows_size(spark):
+    sizes = [1 + i % 24 for i in range(960)] + [3000]  # the long one is certain
+    rows = [(1000 * k + i, "w " * n, f"s{k:03d}") for k in range(15) for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), cycle=(1,), share=0.5).toPandas()
+    scale = (0.5 * sum(sizes) - 3000) / sum(n * n for n in sizes[:-1])
+    drawn = got.groupby("size")["copies"].mean()
+    assert got.copies.max() == 1 and drawn[3000] == 1
+    assert max(abs(drawn[n] - scale * n) for n in range(1, 25)) < 0.06
+    per_source = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (per_source.target - per_source.taken).between(0, 2).all()  # fixed in words
+
+
+def test_mixing_takes_rows_that_are_alike_together(spark):
+    rows = [(1, "a b c", "x")] * 40 + [(i, "w " * (i % 9 + 1), "x") for i in range(2, 300)] + [(i, "v " * 500, "y") for i in range(300, 420)] + [(None, "n o", "y"), (421, "long " * 30_000, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("odds", F.lit("clash")).withColumn("a.b", F.lit(1))
+    got = mixing.mix(d).toPandas()
+    assert len(got) == len(rows) and got[got.doc_id == 1].copies.nunique() == 1
+    taken = mixing.take(d)
+    assert taken.columns == d.columns and taken.count() == got.copies.sum()

@@ -1,9 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document's expected number of copies is a whole part, which is certain, and a
-rest between 0 and 1, which is its inclusion probability in the draw. The draw
-ranks a source's documents by random odds over inclusion odds and takes the
-first ones until the words that are still missing are there.
+A document's copies are whole ones, which are certain, and one more that is
+drawn. The words that a source still misses after the whole copies are shared
+out by size: a document's inclusion probability is proportional to its words, at
+most 1, and such that the expected words are those that are missing. Documents
+of probability 1 are certain too. The draw ranks the others by random odds over
+inclusion odds and takes them in this order until the words are there: the
+sample's size is fixed in words. What the last document that fits leaves open
+goes to the first later one of each size class, the largest class first.
 """
 
 from __future__ import annotations
@@ -20,12 +24,9 @@ WEIGHTS = (3, 1, 2)
 #: The mix is this share of all words; no source gives more than CAP times its words.
 SHARE, CAP = 1.5, 2
 
-#: Slices of a source's order that are added up before any of them is sorted.
+#: Slices of the order, for each factor of e in the odds: about one in 4 * SLICES documents of a source at most. They are added up, and only one is sorted.
 SLICES = 1024
 
-#: Later documents that may fill the gap which the last fitting place leaves.
-FILLS = 2
-
 SEED = 20240607
 
 
@@ -52,69 +53,87 @@ def _weights(position: Column, cycle: tuple[int, ...]) -> Column:
 
 
 def _draw_columns(docs: DataFrame, seed: int, key: str, text: str) -> DataFrame:
-    """Adds text_hash and u, the uniform number of a document's random odds."""
+    """Adds mix_u, the uniform number of a document's random odds."""
     mark = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))
     u = (F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return docs.withColumns({"mix_hash": F.xxhash64(F.col(text)), "mix_u": u})
+    return docs.withColumns({"mix_u": u})
 
 
 def plan(sized: DataFrame, cycle: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
     """One row per source: what decides, for any of its documents, how often it is taken.
 
-    sized has doc_id, mix_hash, mix_u, size and source. The result has
-    mix_source, source_size, target, certain, rest, and where the draw stops: all
-    slices before cut_slice, in it all places up to cut_place, and filled, at
-    most FILLS later documents that fit into the gap that is left there.
+    sized has doc_id, mix_u, size and source. The result has mix_source,
+    source_size, target, certain, missing and scale (a document's probability is
+    scale times its size), and where the draw stops: at odds up to cut_odds, and
+    at the odds in ``filled``, one document for each size class at most.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = totals.withColumn("rank_of_source", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     wanted = targets(ranked.withColumn("weight", _weights(F.col("rank_of_source"), cycle)), share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = wanted.withColumns({"certain": F.least(F.floor(ratio + 1e-9), F.lit(cap)).cast("long")}).withColumn("rest", F.greatest(ratio - F.col("certain"), F.lit(0.0)))
-    wanted = kept(wanted.withColumnRenamed("source", "mix_source").select("mix_source", "rank_of_source", "source_size", "target", "certain", "rest"), "mix-targets")
-    placed = _place(sized, wanted, slices).where("slice IS NOT NULL")
+    wanted = wanted.withColumn("missing", F.when(F.col("rest") > 1e-12, F.col("rest") * F.col("source_size")))
+    wanted = kept(wanted.withColumnRenamed("source", "mix_source").select("mix_source", "rank_of_source", "source_size", "target", "certain", "missing"), "mix-targets")
+    wanted = kept(wanted.join(checked_broadcast(_scales(sized, wanted)), "rank_of_source", "left"), "mix-scales")
+    placed = _place(sized, wanted, slices).where("odds IS NOT NULL")
 
-    sums = placed.groupBy("rank_of_source", "slice").agg(F.sum("size").alias("words"), F.max(F.col("rest") * F.col("source_size")).alias("missing"))
+    sums = placed.groupBy("rank_of_source", "slice").agg(F.sum("size").alias("words"), F.max("missing").alias("missing"))
     upto = W.partitionBy("rank_of_source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     cut = sums.withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0))).where((F.col("below") <= F.col("missing")) & (F.col("below") + F.col("words") > F.col("missing")))
     cut = kept(cut.select(F.col("rank_of_source").alias("r"), F.col("slice").alias("cut_slice"), (F.col("missing") - F.col("below")).alias("left")), "mix-cuts")
 
-    # rows that are alike share a place and are taken together
+    # rows that are alike share their odds and are taken together
     at_cut = placed.join(checked_broadcast(cut), (F.col("rank_of_source") == F.col("r")) & (F.col("slice") == F.col("cut_slice")))
-    at_cut = at_cut.groupBy("r", "left", "place").agg(F.sum("size").alias("words"))
-    running = F.sum("words").over(W.partitionBy("r").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    reached = at_cut.withColumn("running", running).where(F.col("running") <= F.col("left")).groupBy("r").agg(F.max("place").alias("cut_place"), F.max("running").alias("got"))
-    gaps = kept(cut.join(reached, "r", "left").select("r", "cut_slice", F.coalesce("cut_place", F.lit(-1.0)).alias("cut_place"), (F.col("left") - F.coalesce("got", F.lit(0))).alias("gap"), F.array().cast("array<struct<id:bigint,hash:bigint>>").alias("filled")), "mix-gaps")
-    for turn in range(FILLS):
-        later = placed.join(checked_broadcast(gaps), F.col("rank_of_source") == F.col("r")).where((F.col("slice") >= F.col("cut_slice")) & (F.col("place") > F.col("cut_place")) & (F.col("size") <= F.col("gap")))
-        me = F.struct(F.col("doc_id").alias("id"), F.col("mix_hash").alias("hash"))
-        later = later.where(~F.array_contains("filled", me)).groupBy("r", "doc_id", "mix_hash", "place", "gap").agg(F.sum("size").alias("words")).where(F.col("words") <= F.col("gap"))
-        best = later.groupBy("r").agg(F.max(F.struct("words", -F.col("place"), "doc_id", "mix_hash")).alias("best"))
-        gaps = kept(
-            gaps.join(best, "r", "left").select("r", "cut_slice", "cut_place", (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"), F.when(F.col("best").isNull(), F.col("filled")).otherwise(F.array_append("filled", F.struct(F.col("best.doc_id").alias("id"), F.col("best.mix_hash").alias("hash")))).alias("filled")),
-            f"mix-gaps{turn}",
-        )
-    return kept(wanted.join(gaps.drop("gap"), F.col("rank_of_source") == F.col("r"), "left").drop("r"), "mix-plan")
+    at_cut = at_cut.groupBy("r", "left", "odds").agg(F.sum("size").alias("words"))
+    running = F.sum("words").over(W.partitionBy("r").orderBy("odds").rowsBetween(W.unboundedPreceding, 0))
+    reached = at_cut.withColumn("running", running).where(F.col("running") <= F.col("left")).groupBy("r").agg(F.max("odds").alias("cut_odds"), F.max("running").alias("got"))
+    gaps = kept(cut.join(reached, "r", "left").select("r", "cut_slice", F.coalesce("cut_odds", F.lit(-1.0)).alias("cut_odds"), (F.col("left") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
+
+    later = placed.join(checked_broadcast(gaps), F.col("rank_of_source") == F.col("r")).where((F.col("slice") >= F.col("cut_slice")) & (F.col("odds") > F.col("cut_odds")))
+    first = kept(later.where(F.col("size") <= F.col("gap")).groupBy("r", "gap", F.length(F.bin("size")).alias("class")).agg(F.min("odds").alias("first_odds")), "mix-first")
+    alike = placed.join(checked_broadcast(first), (F.col("rank_of_source") == F.col("r")) & (F.col("odds") == F.col("first_odds"))).groupBy("r", "gap", "class", "odds").agg(F.sum("size").cast("double").alias("words"))
+    start = F.struct(F.col("gap"), F.array().cast("array<double>").alias("filled"))
+    fits = lambda got, c: F.when(c.words <= got.gap, F.struct((got.gap - c.words).alias("gap"), F.array_append(got.filled, c.odds).alias("filled"))).otherwise(got)
+    tried = alike.groupBy("r", "gap").agg(F.sort_array(F.collect_list(F.struct("class", "odds", "words")), asc=False).alias("tried"))  # a row per class
+    fills = tried.select("r", F.aggregate("tried", start, fits).filled.alias("filled"))
+    stops = gaps.join(fills, "r", "left").select("r", "cut_slice", "cut_odds", F.coalesce("filled", F.array().cast("array<double>")).alias("filled"))
+    return kept(wanted.join(stops, F.col("rank_of_source") == F.col("r"), "left").drop("r"), "mix-plan")
+
+
+def _scales(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rank_of_source, scale): the sum of least(1, scale * size) * size over a source's documents is what it misses.
+
+    Documents above a size have probability 1. From the largest size down, that
+    size is the first for which the rest, dealt by size, gives no probability
+    above 1. Only the distinct sizes of a source are ordered; sums are exact.
+    """
+    per = sized.where("size > 0").join(checked_broadcast(wanted.where("missing IS NOT NULL")), F.col("source").eqNullSafe(F.col("mix_source"))).groupBy("rank_of_source", "missing", "size").agg(F.count("*").alias("n"))
+    words, squares = F.col("n") * F.col("size"), F.col("n").cast("decimal(38,0)") * F.col("size") * F.col("size")
+    by = W.partitionBy("rank_of_source").orderBy("size")
+    per = per.withColumns({"above": F.coalesce(F.sum(words).over(by.rowsBetween(1, W.unboundedFollowing)), F.lit(0)), "below": F.sum(squares).over(by.rowsBetween(W.unboundedPreceding, 0)).cast("double")})
+    per = per.withColumn("scale", (F.col("missing") - F.col("above")) / F.col("below"))
+    fair = per.where(F.col("scale") * F.col("size") <= 1.0)
+    return kept(fair.groupBy("rank_of_source").agg(F.max_by("scale", "size").alias("scale")), "mix-scale")
 
 
 def _place(sized: DataFrame, per_source: DataFrame, slices: int) -> DataFrame:
-    """Joins the sources' numbers and adds place, random odds over inclusion odds squeezed into (0, 1), and its slice."""
+    """Joins the sources' numbers and adds odds, random odds over inclusion odds, and their slice; null where nothing is drawn."""
     joined = sized.join(checked_broadcast(per_source), F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    odds = (F.col("mix_u") / (1 - F.col("mix_u"))) * ((1 - F.col("rest")) / F.col("rest"))
-    place = F.when((F.col("rest") > 1e-12) & (F.col("rest") < 1) & (F.col("size") > 0), odds / (1 + odds))
-    return joined.withColumn("place", place).withColumn("slice", F.floor(F.col("place") * slices).cast("int"))
+    chance = F.col("scale") * F.col("size")
+    odds = F.when(chance >= 1, 0.0).otherwise((F.col("mix_u") / (1 - F.col("mix_u"))) * ((1 - chance) / chance))
+    drawn = joined.withColumn("odds", F.when(F.col("missing").isNotNull() & (F.col("size") > 0), odds))
+    return drawn.withColumn("slice", F.when(F.col("odds") > 0, F.floor(F.ln("odds") * slices).cast("int")).when(F.col("odds") == 0, F.lit(-(1 << 30))))
 
 
 def _copies(placed: DataFrame) -> DataFrame:
-    me = F.struct(F.col("doc_id").alias("id"), F.col("mix_hash").alias("hash"))
-    drawn = F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice")) | ((F.col("slice") == F.col("cut_slice")) & (F.col("place") <= F.col("cut_place"))) | F.array_contains("filled", me)
-    return placed.withColumn("copies", F.col("certain") + F.when(F.col("place").isNotNull() & drawn, 1).otherwise(0))
+    drawn = F.col("cut_slice").isNull() | (F.col("odds") <= F.col("cut_odds")) | (F.col("slice") < F.col("cut_slice")) | F.array_contains("filled", F.col("odds"))
+    return placed.withColumn("copies", F.col("certain") + F.when(F.col("odds").isNotNull() & drawn, 1).otherwise(0))
 
 
 def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, size and the numbers of the draw, written once: the text is read here and nowhere else."""
     drawn = _draw_columns(docs.select("doc_id", "text", "source"), seed, "doc_id", "text")
-    return kept(drawn.select("doc_id", "source", n_words(F.col("text")).alias("size"), "mix_hash", "mix_u"), "mix-sizes")
+    return kept(drawn.select("doc_id", "source", n_words(F.col("text")).alias("size"), "mix_u"), "mix-sizes")
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, slices: int = SLICES) -> DataFrame:
@@ -122,10 +141,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = WEIGHTS, share: float = SHARE,
 
     size counts words, and a null text has none; a null source is a source of
     its own, the last in order. A document is taken whole, floor(target /
-    source_size) times for certain and once more if it is drawn; documents
-    without words are never drawn. Draws depend on the seed, the key and the
-    text alone, so reruns agree; rows that are alike in these are drawn
-    together. An empty table gives an empty result.
+    source_size) times for certain and once more if it is drawn, with a
+    probability proportional to its words; documents without words are never
+    drawn. Very long texts count with all their words, so one may be certain.
+    Draws depend on the seed, the key and the text alone, so reruns agree; rows
+    that are alike in these are drawn together, also where the draw stops. Other
+    columns are ignored. An empty table gives an empty result.
     """
     sized = sizes(docs, seed)
     done = _copies(_place(sized, plan(sized, cycle, share, cap, slices), slices))

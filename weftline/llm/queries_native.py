@@ -90,7 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     (('0x' || substr(md5('20240607|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, ([3, 1, 2][k % 3 + 1])::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim FROM s),
@@ -98,18 +98,20 @@ v AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER
 f AS (SELECT level FROM v WHERE level * weight <= lim ORDER BY source_size / weight, k LIMIT 1),
 t AS (SELECT source, source_size, k, coalesce(least(lim, f.level * weight), lim) AS target FROM v LEFT JOIN f ON TRUE),
 q AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9), 2)::BIGINT AS certain FROM t),
-z AS (SELECT *, greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - certain, 0)::DOUBLE AS rest FROM q),
-o AS (SELECT d.*, z.* EXCLUDE (source), (u / (1 - u)) * ((1 - rest) / nullif(rest, 0)) AS odds FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
-p AS (SELECT *, CASE WHEN rest > 1e-12 AND rest < 1 AND size > 0 THEN odds / (1 + odds) END AS place FROM o),
-c AS (SELECT k, doc_id, h, place, max(rest * source_size) AS missing, sum(size) AS words FROM p WHERE place IS NOT NULL GROUP BY ALL),
-m AS (SELECT *, sum(words) OVER (PARTITION BY k ORDER BY place) AS cum FROM c),
-g1 AS (SELECT k, max(missing) - coalesce(max(CASE WHEN cum <= missing THEN cum END), 0) AS gap FROM m GROUP BY k),
-b1 AS (SELECT * FROM (SELECT m.k, doc_id, h, words, row_number() OVER (PARTITION BY m.k ORDER BY words DESC, place) AS n FROM m JOIN g1 ON m.k = g1.k WHERE cum > missing AND words <= gap) WHERE n = 1),
-g2 AS (SELECT g1.k, gap - coalesce(words, 0) AS gap FROM g1 LEFT JOIN b1 ON g1.k = b1.k),
-b2 AS (SELECT * FROM (SELECT m.k, m.doc_id, m.h, m.words, row_number() OVER (PARTITION BY m.k ORDER BY m.words DESC, m.place) AS n FROM m JOIN g2 ON m.k = g2.k LEFT JOIN b1 ON b1.k = m.k AND b1.doc_id = m.doc_id AND b1.h = m.h WHERE cum > missing AND m.words <= gap AND b1.k IS NULL) WHERE n = 1),
-x AS (SELECT k, doc_id, h FROM m WHERE cum <= missing UNION SELECT k, doc_id, h FROM b1 UNION SELECT k, doc_id, h FROM b2)
-SELECT p.doc_id, p.size, p.source, p.source_size, p.target, ((p.certain + (p.place IS NOT NULL AND x.k IS NOT NULL)::BIGINT) * p.size)::BIGINT AS taken
-FROM p LEFT JOIN x ON x.k = p.k AND x.doc_id = p.doc_id AND x.h = p.h
+z AS (SELECT *, greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - certain, 0)::DOUBLE AS rest, CASE WHEN rest > 1e-12 THEN rest * source_size END AS missing FROM q),
+y AS (SELECT k, missing, size, count(*) AS n FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source WHERE size > 0 AND missing IS NOT NULL GROUP BY ALL),
+x AS (SELECT k, size, (missing - coalesce(sum(n * size) OVER (PARTITION BY k ORDER BY size ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT) / (sum(n::HUGEINT * size * size) OVER (PARTITION BY k ORDER BY size ROWS UNBOUNDED PRECEDING))::DOUBLE AS scale FROM y),
+l AS (SELECT k, max_by(scale, size) AS scale FROM x WHERE scale * size <= 1.0 GROUP BY k),
+p AS (SELECT d.*, z.* EXCLUDE (source), scale * size AS chance, CASE WHEN missing IS NOT NULL AND size > 0 THEN CASE WHEN chance >= 1 THEN 0.0::DOUBLE ELSE (u / (1 - u)) * ((1 - chance) / chance) END END AS odds FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source LEFT JOIN l ON l.k = z.k),
+c AS (SELECT k, odds, max(size) AS size, max(missing) AS missing, sum(size) AS words FROM p WHERE odds IS NOT NULL GROUP BY ALL),
+m AS (SELECT *, sum(words) OVER (PARTITION BY k ORDER BY odds) AS cum FROM c),
+g AS (SELECT k, max(missing) - coalesce(max(CASE WHEN cum <= missing THEN cum END), 0) AS gap FROM m GROUP BY k),
+b AS (SELECT m.k, length(bin(size)) AS class, min_by(words, odds)::DOUBLE AS words, min(odds) AS odds FROM m JOIN g ON m.k = g.k WHERE cum > missing AND size <= gap GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY class DESC) AS n FROM b),
+a AS (SELECT k, 0::BIGINT AS n, gap, NULL::DOUBLE AS odds FROM g UNION ALL SELECT o.k, o.n, CASE WHEN words <= gap THEN gap - words ELSE gap END, CASE WHEN words <= gap THEN o.odds END FROM a JOIN o ON o.k = a.k AND o.n = a.n + 1),
+e AS (SELECT k, odds FROM m WHERE cum <= missing UNION SELECT k, odds FROM a WHERE odds IS NOT NULL)
+SELECT p.doc_id, p.size, p.source, p.source_size, p.target, ((p.certain + (e.k IS NOT NULL)::BIGINT) * p.size)::BIGINT AS taken
+FROM p LEFT JOIN e ON e.k = p.k AND e.odds = p.odds
 """
 
 QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_mixing": op10_mixing, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting}
