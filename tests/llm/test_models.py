@@ -68,6 +68,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_whose_ids_repeat_or_are_null(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(1, t), (2, t), (2, "another text of words that nobody else has"), (None, t + " eleven"), (None, "no id and no partner at all"), (4, None), (5, "x " * 40_000), (6, "x " * 50_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lo", F.lit("clash")).withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(d).collect()}
+    assert got == {(1, 7): (1, True), (2, 7): (1, False), (2, 5): (2, True), (None, 8): (1, False), (None, 4): (None, True), (4, 0): (4, True), (5, 1): (5, True), (6, 1): (5, False)}
+    left = minhash.one_of_each(d)
+    assert left.columns == d.columns
+    assert sorted(((r.doc_id or 0, (r.text or "")[:7]) for r in left.collect())) == [(0, "no id a"), (1, "one two"), (2, "another"), (4, ""), (5, "x x x x")]
+    assert minhash.one_of_each(d.union(d).repartition(5)).count() == 6  # rows alike in all columns are one document; the one without words stays twice
+
+
+def test_buckets_beyond_a_block(spark):
+    """A passage that many unlike texts share fills buckets beyond a block; near copies lie among them."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(words, 60))
+    rows = [f"{passage} {' '.join(rng.choice(words, 25))}" for _ in range(700)]
+    rows += [r + " tail" for r in rows[:40]] + [" ".join(r.split()[:-2]) for r in rows[100:130]]
+    rows = list(enumerate(rows))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d).collect()}
+    assert got == brute_components(word_sets(rows))
+
+
 def test_near_duplicates_of_nothing_and_of_repeats(spark):
     d = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "other words in here now")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()) == [(1, 1), (1, 1), (2, 2)]
@@ -130,6 +155,43 @@ def test_vectors_near_the_limit_are_found(spark):
     assert min(recall) >= 0.98  # tables of one rotation give 0.952 here
 
 
+def linked_vectors():
+    """Groups around centres whose members are between 0.90 and 1 of each other, repeats, and vectors alone."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(30):
+        centre = rng.normal(size=64)
+        for _ in range(int(rng.integers(1, 14))):
+            rows.append((centre + rng.normal(size=64) * float(rng.choice([0.05, 0.2, 0.3]))).tolist())
+    rows += [rows[3], rows[3], rows[40]]
+    return [(i, v, i % 2) for i, v in enumerate(rows)] + [(900, None, 0), (901, [0.0] * 64, 1), (902, rows[5], None)]
+
+
+def test_vectors_exactly_against_the_statement(spark):
+    import duckdb
+
+    rows = linked_vectors()
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("weight", F.lit("clash")).withColumn("id", F.lit(1))
+    con = duckdb.connect()
+    con.register("frame", d.select("vec_id", "embedding", "label").toArrow())
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM frame")
+    want = {r[0]: r[1:] for r in con.execute(queries_models.OP4_SQL).fetchall()}
+    assert sum(w[0] for w in want.values()) > 200
+    exact = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(d, joint=0).collect()}
+    assert exact == want
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(d).collect()}
+    assert all(found[i] <= want[i][0] for i in want) and sum(found.values()) >= 0.97 * sum(w[0] for w in want.values())
+
+
+def test_vectors_whose_ids_repeat_or_are_null(spark):
+    a, b, c = np.random.default_rng(2).normal(size=(3, 64)).tolist()
+    near = (np.array(b) * 1.01).tolist()
+    rows = [(1, a, 0), (1, b, 0), (2, near, 0), (None, c, 0), (None, c, 0), (3, a, 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in vectors.near_vectors(d).collect()))
+    assert got == [(-1, 1, -1, True), (-1, 1, -1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_codes_are_balanced():
     x = np.random.default_rng(1).normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -23,7 +23,7 @@ from weftline.llm import blocks
 from weftline.llm.components import components
 from weftline.llm.runtime import kept, small_batches
 
-#: Vectors that the rotation is learned on at most, in the order of a hash of their ids; rounds of learning.
+#: Vectors that the rotation is learned on at most, in the order of a hash of label and vector; rounds of learning.
 SAMPLE_ROWS, ROUNDS = 20_000, 40
 
 #: Bits of a code, and of its chunks.
@@ -37,8 +37,8 @@ ROTATIONS = 2
 
 LEAST_COSINE = 0.93
 
-#: Rows of a block; two meet at a time.
-BLOCK = 128
+#: Rows of a block; two meet at a time, as one product of matrices. A member of a bucket goes to one block for each so many members.
+BLOCK = 1024
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +81,20 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
 
     Only vectors of equal label and length are compared. Null labels, and
     vectors that are null, empty, zero or not finite, link with nothing. Rows
-    that are alike in label and vector link with each other. vec_id should be
-    unique. An empty table gives an empty result. A table of the index takes
-    ``joint`` chunks of a code together; there are tables for each of ``rotations``.
+    that are alike in label and vector link with each other. A vec_id may repeat
+    or be null: links are between rows, and the least vec_id names a component,
+    null if it has none. Long vectors are compared whole. Other columns are
+    ignored. An empty table gives an empty result. A table of the index takes
+    ``joint`` chunks of a code together; there are tables for each of
+    ``rotations``. With ``joint`` 0 the one table has all vectors of a label: the
+    result is exact, for the work of comparing all of them.
     """
     spark = rows.sparkSession
     small_batches(spark)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     sound = kept(rows.where(_is_sound()).withColumn("same", F.xxhash64("label", "embedding")).withColumn("same2", F.xxhash64(F.lit(1), "embedding", "label")), "vec-sound")
-    unique = kept(sound.groupBy("same", "same2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")), "vec-unique")
-    some = unique.select("id", "embedding").orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(sample_rows).toPandas()["embedding"]  # bounded by sample_rows
+    unique = kept(sound.groupBy("same", "same2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")).withColumn("id", F.monotonically_increasing_id()), "vec-unique")
+    some = unique.select("same", "same2", "embedding").orderBy("same", "same2").limit(sample_rows).toPandas()["embedding"]  # bounded by sample_rows
     if not len(some):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     usual = some.map(len).mode().iloc[0]
@@ -99,7 +103,7 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
     learned = [learn_rotation(x, seed=7 + r) for r in range(rotations)]
 
     n_chunks = BITS // CHUNK
-    tables = [tuple(r * n_chunks + c for c in t) for r in range(rotations) for t in combinations(range(n_chunks), joint)]
+    tables = [tuple(r * n_chunks + c for c in t) for r in range(rotations if joint else 1) for t in combinations(range(n_chunks), joint)]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +116,8 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
                 code = np.concatenate([codes(v, *how) for how in learned], axis=1)
                 n_tables = len(tables)
                 places = np.zeros((len(v), n_tables), dtype=np.int64)
-                for c in np.array(tables).T:
-                    places = places << CHUNK | code[:, c]
+                for c in range(joint):
+                    places = places << CHUNK | code[:, [t[c] for t in tables]]
                 places += np.arange(n_tables) << 32
                 yield pa.RecordBatch.from_pandas(
                     pd.DataFrame(
@@ -146,13 +150,14 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE, sample_row
 
     links = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    per = unique.select("same", "same2", "id", "weight").join(links, "id", "left").join(groups, "id", "left")
-    per = kept(per.select("same", "same2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vec-classes")
+    per = unique.select("same", "same2", "id", "least", "weight").join(links, "id", "left").join(groups, "id", "left")
+    per = kept(per.select("same", "same2", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "vec-classes")
+    per = per.join(per.groupBy("component").agg(F.min("least").alias("component_id")), "component").drop("least", "component")
     linked = sound.select("vec_id", "same", "same2").join(per, ["same", "same2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~_is_sound())
     alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     done = linked.union(alone)
-    return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _ranker(least_cosine: float, tables: list[tuple[int, ...]]):
