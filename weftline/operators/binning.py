@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from weftline.operators.prefix import running, with_totals
 
 
-def quantiles(long: DataFrame, fractions: list[float], by: list[str], value: str = "value") -> DataFrame:
+def quantiles(long: DataFrame, fractions: list[float], by: list[str], value: str = "value", rows: str | None = None) -> DataFrame:
     """(by..., q): exact, linearly interpolated quantiles at the fractions.
 
     Positions are found in the running counts of the distinct values, so neither
-    a column nor its distinct values are ever gathered in one task.
+    a column nor its distinct values are ever gathered in one task. ``rows``
+    names a column with the number of rows that a row stands for.
     """
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    n = F.count("*") if rows is None else F.sum(rows)
+    counts = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(n.alias("_n"))
     run = running(with_totals(counts, {"_total": "_n"}, by), "_v", {"_upto": "_n"}, by)
     at = F.transform(F.array(*[F.lit(f) for f in fractions]), lambda f, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * f).alias("pos")))
     here = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
@@ -30,19 +32,19 @@ def quantiles(long: DataFrame, fractions: list[float], by: list[str], value: str
     return got.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", edge.alias("edge")))), lambda x: x.edge).alias("q"))
 
 
-def quantile_edges(long: DataFrame, n: int, by: list[str] | None = None, value: str = "value") -> DataFrame:
+def quantile_edges(long: DataFrame, n: int, by: list[str] | None = None, value: str = "value", rows: str | None = None) -> DataFrame:
     """(by..., edges): the distinct quantiles at 0, 1/n, ..., 1."""
     by = by or ["feature"]
-    return quantiles(long, [i / n for i in range(n + 1)], by, value).select(*by, F.array_distinct("q").alias("edges"))
+    return quantiles(long, [i / n for i in range(n + 1)], by, value, rows).select(*by, F.array_distinct("q").alias("edges"))
 
 
-def quantile_edges_of(long: DataFrame, ns: list[int], by: list[str] | None = None, value: str = "value") -> DataFrame:
+def quantile_edges_of(long: DataFrame, ns: list[int], by: list[str] | None = None, value: str = "value", rows: str | None = None) -> DataFrame:
     """(by..., n, edges): quantile_edges for several n, from one pass at the union of their fractions."""
     by = by or ["feature"]
     at = sorted({i / n for n in ns for i in range(n + 1)})
     place = {f: k for k, f in enumerate(at)}
     each = [F.struct(F.lit(n).alias("n"), F.array_distinct(F.array(*[F.col("q")[place[i / n]] for i in range(n + 1)])).alias("edges")) for n in ns]
-    return quantiles(long, at, by, value).select(*by, F.inline(F.array(*each)))
+    return quantiles(long, at, by, value, rows).select(*by, F.inline(F.array(*each)))
 
 
 def opened(edges: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Slices that a table's order is cut into; each is sorted by itself.
-SLICES = 24
+#: Slices that a table's order is cut into, times the shuffle partitions of the session; each is sorted by itself.
+SLICES_PER_PARTITION = 2
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Adds, for each new name: column, the sum over rows up to this one in the order of a numeric column.
 
     df has one row per (by, order). The order is cut at approximate quantiles
@@ -18,6 +18,7 @@ def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | Non
     totals, a few rows, and only a slice's own rows are sorted together.
     """
     by = by or []
+    slices = slices or max(8, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(10 * slices)).alias("_cuts"))
     # a row per group: each holds slices - 1 numbers
     cut = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import binning, clean
-from weftline.sources.tables import table
+from weftline.sources.tables import kept, table
 
 FEATURES = ("l_extendedprice", "l_quantity", "l_discount", "c_acctbal")
 SPLIT = "1998-01-01"
@@ -27,6 +27,11 @@ def long_sample(spark: SparkSession, sf_dir: str, negative_missing: bool = True,
     return x.withColumn("value", clean.present(F.col("value"), negative_missing))
 
 
+def value_counts(spark: SparkSession, sf_dir: str, negative_missing: bool = True, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(feature, value, target, train, n): how many rows have each value. Written once; edges, bins and measures all follow from it."""
+    return kept(long_sample(spark, sf_dir, negative_missing, features).groupBy("feature", "value", "target", "train").agg(F.count("*").alias("n")), "value-counts")
+
+
 def binned(long: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds bin by quantile edges; 0 is the bin of missing values. Edges are a row per feature."""
     return long.join(F.broadcast(edges), "feature").withColumn("bin", F.coalesce(binning.bin_of_quantile(F.col("value"), F.col("edges")), F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import binning, clean, drift, ranking, woe
 from weftline.operators.prefix import running, with_totals
-from weftline.plans.base import FEATURES, SAMPLE_SQL, binned, binned_sql, long_sample, long_sql, sample
+from weftline.plans.base import FEATURES, SAMPLE_SQL, binned, binned_sql, long_sample, long_sql, sample, value_counts
 from weftline.plans.registry import query
 from weftline.sources.tables import kept, table
 
@@ -16,8 +16,8 @@ GUARD_SQL = "CASE WHEN b = 0 THEN 1.0 WHEN g = 0 THEN -1.0 ELSE ln(g / b) END"
 
 
 def counted(spark, sf_dir, n=10, negative_missing=True):
-    long = long_sample(spark, sf_dir, negative_missing)
-    return woe.counts(binned(long, binning.quantile_edges(long, n)), ["feature", "bin"])
+    per = value_counts(spark, sf_dir, negative_missing)
+    return woe.counts(binned(per, binning.quantile_edges(per, n, rows="n")), ["feature", "bin"], weight=F.col("n"))
 
 
 @query("woe_table", f"WITH {binned_sql()}, {COUNT_SQL} SELECT feature, bin::INT AS bin, good, bad, {GUARD_SQL} AS woe, (g - b) * {GUARD_SQL} AS iv FROM s")
@@ -32,8 +32,8 @@ def iv_by_feature(spark, sf_dir):
 
 @query("qcut_edges", f"WITH {binned_sql()} SELECT feature, bin::INT AS bin, count(*) AS n, min(value) AS lo, max(value) AS hi FROM binned GROUP BY ALL")
 def qcut_edges(spark, sf_dir):
-    long = long_sample(spark, sf_dir)
-    return binned(long, binning.quantile_edges(long, 10)).groupBy("feature", "bin").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    per = value_counts(spark, sf_dir)
+    return binned(per, binning.quantile_edges(per, 10, rows="n")).groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
 LIB_LONG = "long AS (SELECT 'price' AS feature, l_extendedprice AS value FROM lineitem UNION ALL SELECT 'constant', 5.0 FROM lineitem UNION ALL SELECT 'spike', CASE WHEN l_orderkey % 100 = 0 AND l_linenumber = 1 THEN 3.0 ELSE 0.0 END FROM lineitem)"
@@ -126,22 +126,21 @@ def _monotone_sql(ns=(4, 6, 8, 10), broken="least(sum(greatest(d, 0)), sum(great
 
 @query("monotone_binning", _monotone_sql())
 def monotone_binning(spark, sf_dir):
-    long = long_sample(spark, sf_dir).where("value IS NOT NULL")
-    tables = None
-    for n in (4, 6, 8, 10):
-        t = woe.bin_table(woe.counts(binned(long, binning.quantile_edges(long, n)), ["feature", "bin"])).select("feature", F.lit(n).alias("n"), "bin", "woe")
-        tables = t if tables is None else tables.union(t)
-    return woe.monotone_choice(tables)
+    return woe.monotone_choice(_tables_by_number(spark, sf_dir, [4, 6, 8, 10]))
+
+
+def _tables_by_number(spark, sf_dir, ns):
+    """(feature, n, bin, woe) for every number of bins, from one pass over counts per distinct value."""
+    per = kept(value_counts(spark, sf_dir).where("value IS NOT NULL").groupBy("feature", "value").agg(F.sum(F.when(F.col("target") == 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("target") == 0, 0).otherwise(F.col("n"))).alias("bad"), F.sum("n").alias("rows")), "class-counts")
+    rows = binned(per, binning.quantile_edges_of(per, ns, rows="rows"))  # a row per feature and number
+    found = rows.groupBy("feature", "n", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return woe.bin_table(found, feature=["feature", "n"]).select("feature", "n", "bin", "woe")
 
 
 @query("monotone_binning_all", _monotone_sql(range(4, 21), "CASE WHEN count(*) FILTER (d >= 0) >= count(*) FILTER (d < 0) THEN sum(greatest(-d, 0)) ELSE sum(greatest(d, 0)) END"))
 def monotone_binning_all(spark, sf_dir):
     """Every number of bins from 20 down to 4, from counts per distinct value."""
-    long = long_sample(spark, sf_dir).where("value IS NOT NULL")
-    per = woe.counts(long, ["feature", "value"])
-    rows = binned(per, binning.quantile_edges_of(long, list(range(4, 21))))  # 17 rows per feature
-    table_ = rows.groupBy("feature", "n", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return woe.monotone_choice(woe.bin_table(table_, feature=["feature", "n"]).select("feature", "n", "bin", "woe"), by_majority=True)
+    return woe.monotone_choice(_tables_by_number(spark, sf_dir, list(range(4, 21))), by_majority=True)
 
 
 SETS_SQL = "c AS (SELECT feature, bin, train, sum((target = 0)::INT) AS good, sum((target = 1)::INT) AS bad FROM binned GROUP BY ALL), s AS (SELECT *, good / sum(good) OVER (PARTITION BY feature, train) AS g, bad / sum(bad) OVER (PARTITION BY feature, train) AS b FROM c)"
@@ -149,9 +148,9 @@ SETS_SQL = "c AS (SELECT feature, bin, train, sum((target = 0)::INT) AS good, su
 
 @query("iv_train_valid", f"WITH {binned_sql(10, 'train = 1')}, {SETS_SQL} SELECT feature, sum(CASE WHEN train = 1 THEN (g - b) * {GUARD_SQL} END) AS iv_train, sum(CASE WHEN train = 0 THEN (g - b) * {GUARD_SQL} END) AS iv_valid FROM s GROUP BY feature")
 def iv_train_valid(spark, sf_dir):
-    long = long_sample(spark, sf_dir)
-    rows = binned(long, binning.quantile_edges(long.where("train = 1"), 10))
-    t = woe.bin_table(woe.counts(rows, ["feature", "train", "bin"]), feature=["feature", "train"])
+    per = value_counts(spark, sf_dir)
+    rows = binned(per, binning.quantile_edges(per.where("train = 1"), 10, rows="n"))
+    t = woe.bin_table(woe.counts(rows, ["feature", "train", "bin"], weight=F.col("n")), feature=["feature", "train"])
     return t.groupBy("feature").agg(F.sum(F.when(F.col("train") == 1, F.col("iv"))).alias("iv_train"), F.sum(F.when(F.col("train") == 0, F.col("iv"))).alias("iv_valid"))
 
 
@@ -169,9 +168,9 @@ SHARE_SQL = "n AS (SELECT feature, bin, sum(train) AS a, sum(1 - train) AS z FRO
 
 
 def _shares(spark, sf_dir, only_train, n=10):
-    long = long_sample(spark, sf_dir)
-    edges = binning.quantile_edges(long.where("train = 1") if only_train else long, n)
-    return drift.shares(binned(long, edges), F.col("train") == 1)
+    per = value_counts(spark, sf_dir)
+    edges = binning.quantile_edges(per.where("train = 1") if only_train else per, n, rows="n")
+    return drift.shares(binned(per, edges), F.col("train") == 1, weight=F.col("n"))
 
 
 @query("csi_guard", f"WITH {binned_sql()}, {SHARE_SQL} SELECT feature, sum((p - q) * CASE WHEN q = 0 THEN 1.0 WHEN p = 0 THEN -1.0 ELSE ln(p / q) END) AS psi FROM s GROUP BY feature")
@@ -255,8 +254,8 @@ def univariate_alpha(spark, sf_dir):
     SELECT feature, train, sum((g - b) * ln((g + 0.001) / (b + 0.001))) AS iv, max(abs(cg - cb)) AS ks FROM s GROUP BY ALL""",
 )
 def univariate_sets(spark, sf_dir):
-    long = long_sample(spark, sf_dir)
-    c = woe.counts(binned(long, binning.quantile_edges(long.where("train = 1"), 10)), ["feature", "train", "bin"])
+    per = value_counts(spark, sf_dir)
+    c = woe.counts(binned(per, binning.quantile_edges(per.where("train = 1"), 10, rows="n")), ["feature", "train", "bin"], weight=F.col("n"))
     by = ["feature", "train"]
     iv = woe.information_value(woe.bin_table(c, "lambda", by), by)
     return iv.join(ranking.univariate(c, by).groupBy(*by).agg(F.max("ks").alias("ks")), by)
@@ -338,10 +337,11 @@ def prob_to_score(spark, sf_dir):
 
 @query("period_offset_report", f"WITH {binned_sql(10, 'train = 1')}, n AS (SELECT feature, bin, train, count(*) AS n, avg(target) AS bad_rate FROM binned GROUP BY ALL) SELECT feature, bin::INT AS bin, sum(CASE WHEN train = 1 THEN n ELSE 0 END)::BIGINT AS n_base, sum(CASE WHEN train = 0 THEN n ELSE 0 END)::BIGINT AS n_now, max(CASE WHEN train = 0 THEN bad_rate END) - max(CASE WHEN train = 1 THEN bad_rate END) AS shift FROM n GROUP BY ALL")
 def period_offset_report(spark, sf_dir):
-    long = long_sample(spark, sf_dir)
-    rows = binned(long, binning.quantile_edges(long.where("train = 1"), 10))
-    base, now = F.col("train") == 1, F.col("train") == 0
-    return rows.groupBy("feature", "bin").agg(F.count_if(base).alias("n_base"), F.count_if(now).alias("n_now"), (F.avg(F.when(now, F.col("target"))) - F.avg(F.when(base, F.col("target")))).alias("shift"))
+    per = value_counts(spark, sf_dir)
+    rows = binned(per, binning.quantile_edges(per.where("train = 1"), 10, rows="n"))
+    base, now, n = F.col("train") == 1, F.col("train") == 0, F.col("n")
+    of = lambda c, v: F.sum(F.when(c, v))
+    return rows.groupBy("feature", "bin").agg(F.coalesce(of(base, n), F.lit(0)).alias("n_base"), F.coalesce(of(now, n), F.lit(0)).alias("n_now"), (of(now, n * F.col("target")) / of(now, n) - of(base, n * F.col("target")) / of(base, n)).alias("shift"))
 
 
 @query("corr_matrix", f"WITH {SAMPLE_SQL} SELECT corr(l_extendedprice, l_quantity) AS price_quantity, corr(l_extendedprice, l_discount) AS price_discount, corr(l_quantity, c_acctbal) AS quantity_balance FROM sample")
@@ -359,9 +359,9 @@ def corr_matrix(spark, sf_dir):
 def feature_gate(spark, sf_dir):
     from weftline.operators.select import correlated_pairs, prune
 
-    long = long_sample(spark, sf_dir)
-    rows = binned(long, binning.quantile_edges(long.where("train = 1"), 10))
-    iv = woe.information_value(woe.bin_table(woe.counts(rows.where("train = 1"), ["feature", "bin"])))
+    per = value_counts(spark, sf_dir)
+    rows = binned(per, binning.quantile_edges(per.where("train = 1"), 10, rows="n"))
+    iv = woe.information_value(woe.bin_table(woe.counts(rows.where("train = 1"), ["feature", "bin"], weight=F.col("n"))))
     pairs = correlated_pairs(sample(spark, sf_dir), ["l_extendedprice", "l_quantity"])
     return prune(iv, pairs, 0.8)
 

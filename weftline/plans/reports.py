@@ -152,8 +152,7 @@ def missing_rate_monitor(spark, sf_dir):
 )
 def datasource_weekly(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("week", times.week_start(F.col("ts")))
-    lists = e.groupBy("user_id", "event_type", "week").agg(F.collect_list("value").alias("v"))
-    sizes = lists.select("event_type", "week", F.size("v").alias("n"), F.size(F.filter("v", lambda x: x > 50)).alias("n_high"))
+    sizes = e.groupBy("user_id", "event_type", "week").agg(F.count("value").alias("n"), F.count_if(F.col("value") > 50).alias("n_high"))
     weekly = sizes.groupBy("event_type", "week").agg(F.avg("n").alias("mean_size"), F.avg("n_high").alias("mean_high"))
     return weekly.withColumn("k", F.dense_rank().over(W.orderBy(F.col("week").desc()))).where("k BETWEEN 2 AND 9").drop("k")  # a row per type and week
 
@@ -172,8 +171,13 @@ def summary_rollup(spark, sf_dir):
 
 @query("distribution_compare", "SELECT l_linestatus, round(avg(l_extendedprice), 6) AS mean, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1")
 def distribution_compare(spark, sf_dir):
-    v = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, 0.5), 6).alias("median"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    from weftline.operators.binning import quantiles
+
+    x = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_extendedprice").alias("value"))
+    v = F.col("value")
+    ends = x.groupBy("l_linestatus").agg(F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    middle = quantiles(x, [0.5], ["l_linestatus"])  # no column is gathered in one buffer
+    return ends.join(middle, "l_linestatus").select("l_linestatus", "mean", F.round(F.col("q")[0], 6).alias("median"), "lo", "hi")
 
 
 @query("json_extract", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -999.0) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.none') AS DOUBLE), -999.0) AS none FROM events")
