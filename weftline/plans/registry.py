@@ -39,3 +39,4 @@ def oracle_sql() -> dict[str, str]:
 from weftline.plans import bins  # noqa: E402, F401  registers its queries
 from weftline.plans import rows  # noqa: E402, F401
 from weftline.plans import reports  # noqa: E402, F401
+from weftline.plans import measures  # noqa: E402, F401
