@@ -48,6 +48,24 @@ def any_format(text: Column) -> Column:
     )
 
 
+def shifted(c: Column, hours: Column | int) -> Column:
+    """A wall clock some hours ahead, or behind; no summer time."""
+    h = F.lit(hours) if isinstance(hours, int) else hours
+    return c + F.make_dt_interval(hours=h.cast("int"))
+
+
+def any_local_format(text: Column, hours: int) -> Column:
+    """Seconds (10 digits) and milliseconds (13) moved by a country's hours, ``Mon Jan 01 10:00:00 GMT+08:00 2024`` (34 characters) as the moment it names; else the end of 2099."""
+    n = F.length(text)
+    moved = F.make_dt_interval(hours=F.lit(hours))
+    return F.coalesce(
+        F.when(n == 10, F.timestamp_seconds(text.try_cast("bigint")) + moved),
+        F.when(n == 13, F.timestamp_seconds(F.floor(text.try_cast("bigint") / 1000)) + moved),
+        F.when(n == 34, F.try_to_timestamp(F.substring(text, 5, 100), F.lit("MMM dd HH:mm:ss 'GMT'XXX yyyy"))),
+        F.to_timestamp(F.lit("2099-12-31 23:59:59")),
+    )
+
+
 def periods_back(reference: Column, n: int, days: int) -> Column:
     """n periods of ``days`` days before a date, the latest first: array of struct(start, end), both included."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.date_sub(reference, ((i + 1) * days).cast("int")).alias("start"), F.date_sub(reference, (i * days + 1).cast("int")).alias("end")))

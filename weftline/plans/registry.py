@@ -41,3 +41,4 @@ from weftline.plans import rows  # noqa: E402, F401
 from weftline.plans import reports  # noqa: E402, F401
 from weftline.plans import measures  # noqa: E402, F401
 from weftline.plans import loanbook  # noqa: E402, F401
+from weftline.plans import shapes  # noqa: E402, F401
