@@ -31,9 +31,15 @@ def test_frequency_edges(spark):
     assert binning.frequency_edges(counted, 10).first().edges == [-math.inf, *map(float, range(1, 10)), math.inf]
 
 
-def test_adaptive_edges():
-    assert len(binning.adaptive_score_edges(0, 1000, 10)) <= 22
-    assert binning.score_edges(0, 35, 10) == [-math.inf, 10, 20, 30, math.inf]
+def test_adaptive_edges(spark):
+    one = spark.range(1)
+    of = lambda c: one.select(c.alias("e")).first().e
+    lit = lambda x: F.lit(float(x))
+    assert of(binning.adaptive_edge_array(lit(0), lit(1000), 10.0)) == [0.0, *[80.0 * k for k in range(1, 13)], math.inf]
+    assert of(binning.adaptive_edge_array(lit(0), lit(30), 40.0)) == [0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, math.inf]
+    assert of(binning.adaptive_edge_array(lit(0), lit(3), 3.0)) == [0.0, 3.0, math.inf]  # half of it is below 2
+    assert of(binning.score_edge_array(lit(0), lit(35), 10.0)) == [-math.inf, 10, 20, 30, math.inf]
+    assert of(binning.score_edge_array(lit(1), lit(3), 10.0)) == [-math.inf, math.inf]
 
 
 def test_woe_guards(spark):

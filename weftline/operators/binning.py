@@ -130,20 +130,24 @@ def code_of(value: Column, codes: dict[str, int]) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[value], F.lit(0)) if codes else F.lit(0)
 
 
-def score_edges(low: float, high: float, cut: float) -> list[float]:
+def _multiples(low: Column, high: Column, cut: Column) -> Column:
+    """Multiples of cut above low and up to high."""
+    first, last = F.floor(low / cut) + 1, F.floor(high / cut)
+    return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * cut)).otherwise(F.array().cast("array<double>"))
+
+
+def score_edge_array(low: Column, high: Column, cut: float) -> Column:
     """Multiples of cut above low and up to high between infinite ends."""
-    first, last = int(low // cut) + 1, int(high // cut)
-    return [float("-inf"), *[k * cut for k in range(first, last + 1)], float("inf")]
-
-
-def adaptive_score_edges(low: float, high: float, cut: float, least: int = 5, most: int = 20) -> list[float]:
-    """cut is halved while there are fewer than ``least`` edges (not below 2) and doubled while there are more than ``most``; from 0 to infinity."""
-    inner = lambda c: [k * c for k in range(int(low // c) + 1, int(high // c) + 1)]
-    while len(inner(cut)) < least and cut / 2 >= 2:
-        cut /= 2
-    while len(inner(cut)) > most:
-        cut *= 2
-    return [0.0, *[e for e in inner(cut) if e > 0], float("inf")]
+    return F.concat(F.array(F.lit(float("-inf"))), _multiples(low, high, F.lit(cut)), F.array(F.lit(float("inf"))))
+
+
+def adaptive_edge_array(low: Column, high: Column, cut: float, least: int = 5, most: int = 20) -> Column:
+    """cut is halved while there are fewer than ``least`` edges and half of it isn't below 2, then doubled while there are more than ``most``; from 0 to infinity."""
+    n = lambda c: F.floor(high / c) - F.floor(low / c)
+    steps = 64
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(float(cut)), lambda c, _: F.when((n(c) < least) & (c / 2 >= 2), c / 2).otherwise(c))
+    doubled = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), halved, lambda c, _: F.when(n(c) > most, c * 2).otherwise(c))
+    return F.concat(F.array(F.lit(0.0)), F.filter(_multiples(low, high, doubled), lambda e: e > 0), F.array(F.lit(float("inf"))))
 
 
 def weighted_edges(df: DataFrame, score: str, weight: str, n: int) -> DataFrame:

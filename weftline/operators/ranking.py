@@ -62,6 +62,35 @@ def confusion(rows: DataFrame, score: str, target: str, threshold: float) -> Dat
     return n.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), "precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
+def weighted_box(per: DataFrame, n: int) -> DataFrame:
+    """(bin, bad, good, badrate, population_pct, cumsum_pct, median) of (score, bad, good, n) per distinct score.
+
+    Bands of equal weight end at the greatest whole point in them, half up.
+    Scores below 0 are missing: a bin -1 of their own, whose median is -9999979.
+    Shares are summed up from the other end where the bad rate rises more often
+    than it falls.
+    """
+    from weftline.operators.binning import quantiles
+
+    w = F.col("bad") + F.col("good")
+    normal = per.where("score >= 0").withColumn("w", w)
+    run = running(with_totals(normal, {"t": "w"}), "score", {"u": "w"})
+    band = F.least(F.floor(F.col("u") * n / F.col("t")), F.lit(n - 1))
+    tops = run.where(band < n - 1).groupBy(band.alias("band")).agg(F.max(F.floor(F.col("score") + 0.5)).alias("top"))
+    edges = tops.agg(F.collect_set("top").alias("edges"))  # a value per band
+    binned = normal.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("score"))))
+    medians = quantiles(binned.select("bin", F.col("score").alias("value"), "n"), [0.5], ["bin"], rows="n").select("bin", F.col("q")[0].alias("median"))
+    box = binned.groupBy("bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).join(medians, "bin")
+    gone = per.where("score < 0 OR score IS NULL").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 0")
+    box = box.select("bin", "bad", "good", "median").unionByName(gone.select(F.lit(-1).alias("bin"), "bad", "good", F.lit(-9999979.0).alias("median")))
+    box = box.withColumn("badrate", F.try_divide(F.col("bad"), w))  # a row per band from here on
+    step = F.when((F.col("bin") >= 0) & (F.lag("bin").over(W.orderBy("bin")) >= 0), F.col("badrate") - F.lag("badrate").over(W.orderBy("bin")))
+    box = box.withColumn("step", step).withColumn("falling", F.count_if(F.col("step") < 0).over(W.partitionBy()) >= F.count_if(F.col("step") >= 0).over(W.partitionBy()))
+    box = box.withColumns({"population_pct": w / F.sum(w).over(W.partitionBy()), "place": F.when(F.col("falling"), F.col("median")).otherwise(-F.col("median"))})
+    rest = W.orderBy("place").rowsBetween(0, W.unboundedFollowing)
+    return box.select("bin", "bad", "good", "badrate", "population_pct", F.sum("population_pct").over(rest).alias("cumsum_pct"), "median")
+
+
 def points(probability: Column, base: float = 550.0, doubling: float = 60.0) -> Column:
     """A probability as a score: base minus doubling per doubling of the odds, half to even."""
     return F.bround(F.lit(base) - F.lit(doubling) / F.ln(F.lit(2.0)) * F.ln(probability / (1 - probability)), 0)

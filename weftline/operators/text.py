@@ -27,6 +27,17 @@ def bag(docs: DataFrame, id_: str, text: str, n: int, latest: int | None = None)
     return docs.select(id_, F.explode(ngrams(words, n)).alias("token")).groupBy(id_, "token").agg(F.count("*").alias("n"))
 
 
+def latest_bag(messages: DataFrame, id_: str, order: list[str], sender: str, body: str, latest: int = 3000, longest: int = 3) -> DataFrame:
+    """(id, kind, token, n): n-grams (gram1, gram2, ...) and senders of each id's ``latest`` messages; n-grams don't cross messages."""
+    w = W.partitionBy(id_).orderBy(*[F.col(c).desc() for c in order])
+    new = messages.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= latest)
+    words = tokens(F.col(body))
+    kinds = [(f"gram{k}", ngrams(words, k)) for k in range(1, longest + 1)] + [("sender", F.array(sender))]
+    of = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"))
+    each = F.flatten(F.array(*[F.transform(c, of(kind)) for kind, c in kinds]))
+    return new.select(id_, F.inline(each)).groupBy(id_, "kind", "token").agg(F.count("*").alias("n"))
+
+
 def token_stats(bags: DataFrame, targets: DataFrame, id_: str) -> DataFrame:
     """(token, n_0, n_1, orders_0, orders_1) over labelled rows; a class that lacks a token gets 0."""
     x = bags.join(targets, id_)

@@ -69,10 +69,10 @@ def score_bins_fixed(spark, sf_dir):
 )
 def score_bins_adaptive(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("score"))
-    low, high = o.agg(F.min("score"), F.max("score")).first()
-    edges = binning.adaptive_score_edges(low, high, 10.0)
-    first = int(edges[1] // (edges[2] - edges[1])) if len(edges) > 3 else 1
-    return o.groupBy((binning.bin_of(F.col("score"), F.array(*[F.lit(e) for e in edges]), True) - 1 + (first - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    edges = o.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).select(binning.adaptive_edge_array(F.col("lo"), F.col("hi"), 10.0).alias("edges"))
+    width = F.col("edges")[2] - F.col("edges")[1]
+    first = F.floor(F.col("edges")[1] / width) - 1
+    return o.crossJoin(F.broadcast(edges)).groupBy((binning.bin_of(F.col("score"), F.col("edges"), True) - 1 + first).cast("long").alias("bin")).agg(F.count("*").alias("n"))  # one row of edges
 
 
 @query(

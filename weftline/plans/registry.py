@@ -42,3 +42,5 @@ from weftline.plans import reports  # noqa: E402, F401
 from weftline.plans import measures  # noqa: E402, F401
 from weftline.plans import loanbook  # noqa: E402, F401
 from weftline.plans import shapes  # noqa: E402, F401
+from weftline.plans import stores  # noqa: E402, F401
+from weftline.plans import scores  # noqa: E402, F401

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: File name endings that a directory scan accepts (fixed values).
-SUFFIXES = ("csv", "parquet", "pkl", "pickle", "feather", "xlsx", "xls", "json")
+SUFFIXES = (".feather", ".fth", ".pqt", ".parquet", ".csv", ".xlsx", ".pickle", ".pkl")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +27,28 @@ def files(spark: SparkSession, paths: Iterable[str], file_format: str = "parquet
 
 
 def named_between(spark: SparkSession, path: str, flags: Iterable[str], start: str, end: str, file_format: str = "parquet") -> DataFrame:
-    """Files of a directory whose names hold one of the flags and a date from start to end, both included."""
+    """Rows of a directory's data files whose names hold one of the flags and a date from start to end, both included; adds file_name."""
     df = spark.read.format(file_format).option("recursiveFileLookup", "true").load(path)
     name = F.col("_metadata.file_name")
     day = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1)
-    wanted = F.lit(False)
+    wanted, known = F.lit(False), F.lit(False)
     for flag in flags:
         wanted = wanted | name.contains(flag)
-    return df.where(wanted & (day >= start) & (day <= end))
+    for suffix in SUFFIXES:
+        known = known | name.endswith(suffix)
+    return df.select("*", name.alias("file_name")).where(wanted & known & (day >= start) & (day <= end))
+
+
+def write_named(df: DataFrame, folder: str, name: str, file_format: str = "parquet", **options: str) -> None:
+    """One small file of a given name, as daily extracts are; df is one task's work."""
+    spark = df.sparkSession
+    part = f"{folder}/.{uuid.uuid4().hex}"
+    df.coalesce(1).write.format(file_format).options(**options).save(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files_ = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files_.listStatus(path(part)) if s.getPath().getName().startswith("part-")]
+    files_.rename(found[0], path(f"{folder}/{name}"))
+    files_.delete(path(part), True)
 
 
 def partition_values(path: Column) -> Column:
@@ -65,7 +79,26 @@ def write_partitions(df: DataFrame, path: str, by: list[str], codec: str = "zstd
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").csv(path)
+    """CSV whose header begins with a byte order mark, so that spreadsheets read it as UTF-8."""
+    first, *others = df.columns
+    df.select(F.col(f"`{first}`").alias("\ufeff" + first), *[F.col(f"`{c}`") for c in others]).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with or without a byte order mark."""
+    return spark.read.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path)
+
+
+def is_url(c: Column) -> Column:
+    """Has a scheme and a host."""
+    return F.coalesce(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+"), F.lit(False))
+
+
+def fetch(df: DataFrame, url: str, make_client: Callable[[], Callable[[dict], str]], tries: int = 3) -> DataFrame:
+    """call_per_row for addresses; what is no address isn't called and stays with an error."""
+    good = call_per_row(df.where(is_url(F.col(url))), make_client, tries=tries)
+    bad = df.where(~is_url(F.col(url))).select("*", F.lit(None).cast("string").alias("response"), F.lit("no address").alias("error"))
+    return good.unionByName(bad)
 
 
 def call_per_row(df: DataFrame, make_client: Callable[[], Callable[[dict], str]], result: str = "response", error: str = "error", tries: int = 3) -> DataFrame:
@@ -91,10 +124,29 @@ def call_per_row(df: DataFrame, make_client: Callable[[], Callable[[dict], str]]
     return df.mapInPandas(run, schema)
 
 
-def binary_objects(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
-    """Objects of a store by key: key, content."""
-    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return objects.select(F.element_at(F.split("path", "/"), -1).alias(key), "content").join(keys, key, "left_semi")
+def binary_objects(spark: SparkSession, buckets: list[str], keys: DataFrame, key: str) -> DataFrame:
+    """(key, bucket, content, text) of a store's objects from the first bucket that has the key; text is null for pictures (.jpg)."""
+    found = None
+    for i, bucket in enumerate(buckets):
+        objects = spark.read.format("binaryFile").load(f"{bucket}/*")
+        part = objects.select(F.element_at(F.split("path", "/"), -1).alias(key), F.lit(i).alias("bucket"), "content")
+        found = part if found is None else found.unionByName(part)
+    wanted = found.join(keys.select(key).distinct(), key, "left_semi")
+    first = wanted.groupBy(key).agg(F.min("bucket").alias("bucket"))
+    got = wanted.join(first, [key, "bucket"])
+    return got.withColumn("text", F.when(~F.col(key).endswith(".jpg"), F.col("content").cast("string")))
+
+
+def paged(spark: SparkSession, total: int, size: int, make_client: Callable[[], Callable[[int], list[dict]]], schema: str) -> DataFrame:
+    """All rows of a paged listing: a row per page number, dealt out, each task asking for its own pages."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for batch in batches:
+            for page in batch["page"]:
+                yield pd.DataFrame(client(int(page)))
+
+    pages = spark.range(1, -(-total // size) + 1, numPartitions=min(64, max(1, -(-total // size)))).withColumnRenamed("id", "page")
+    return pages.mapInPandas(run, schema)
 
 
 def pages_of(total: int, size: int) -> list[int]:
