@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ranking import ks_auc, per_score
+from weftline.sources.tables import kept
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -26,7 +27,7 @@ def _measured(scored: DataFrame, target: str, train: str) -> DataFrame:
 
 def grid(df: DataFrame, features: list[str], target: str, train: str, settings: list[dict], seed: int = 42) -> DataFrame:
     """(setting, train, ks, auc) for each setting of the trees; the rows are assembled once."""
-    x = _assembled(df, features).cache()
+    x = _assembled(kept(df, "grid-rows"), features)
     out = []
     for i, s in enumerate(settings):
         model = GBTClassifier(featuresCol="x", labelCol=target, seed=seed, **s).fit(x.where(F.col(train) == 1))
@@ -34,6 +35,15 @@ def grid(df: DataFrame, features: list[str], target: str, train: str, settings:
     return reduce(DataFrame.unionByName, out)
 
 
+def scored(df: DataFrame, features: list[str], target: str, train: str, path: str, seed: int = 42, **settings) -> DataFrame:
+    """df's rows with a model's probability p and the set they belong to, written to ``path`` and read back."""
+    x = _assembled(df, features)
+    model = GBTClassifier(featuresCol="x", labelCol=target, seed=seed, **settings).fit(x.where(F.col(train) == 1))
+    part = F.when(F.col(train) == 1, "train").otherwise("valid").alias("sample_type")
+    model.transform(x).select(*df.columns, vector_to_array("probability")[1].alias("p"), part).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def importances(df: DataFrame, features: list[str], target: str, seed: int = 42, **settings) -> list[tuple[str, float]]:
     model = GBTClassifier(featuresCol="x", labelCol=target, seed=seed, **settings).fit(_assembled(df, features))
     return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])

@@ -229,15 +229,14 @@ def rule_unnest(spark, sf_dir):
 
 @query("array_lookback_filter", "WITH m AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) SELECT user_id, count(*) FILTER (epoch_us(ts) >= epoch_us(t) - 7 * 86400000000) AS n_7d, count(*) AS n FROM events JOIN m USING (user_id) GROUP BY 1")
 def array_lookback_filter(spark, sf_dir):
-    last = F.array_max(F.transform("events", lambda e: e.us))
-    return _event_lists(spark, sf_dir).withColumn("last", last).select("user_id", F.size(F.filter("events", lambda e: e.us >= F.col("last") - 7 * times.DAY_US)).cast("long").alias("n_7d"), F.size("events").cast("long").alias("n"))
+    e = table(spark, sf_dir, "events").select("user_id", times.micros(F.col("ts")).alias("us"))
+    aged = e.join(e.groupBy("user_id").agg(F.max("us").alias("last")), "user_id")
+    return aged.groupBy("user_id").agg(F.count_if(F.col("us") >= F.col("last") - 7 * times.DAY_US).alias("n_7d"), F.count("*").alias("n"))
 
 
 @query("first_per_sender", "SELECT user_id, event_type, min(epoch_us(ts)) AS first_us FROM events GROUP BY ALL")
 def first_per_sender(spark, sf_dir):
-    flat = _event_lists(spark, sf_dir).select("user_id", F.posexplode("events").alias("at", "e"))
-    w = W.partitionBy("user_id", "e.event_type").orderBy("at")
-    return flat.withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", F.col("e.event_type").alias("event_type"), F.col("e.us").alias("first_us"))
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(times.micros(F.col("ts"))).alias("first_us"))
 
 
 @query("epoch_localize", "SELECT event_id, strftime(make_timestamp(epoch_us(ts)) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local_text FROM events")
@@ -410,3 +409,24 @@ def ml_fusion(spark, sf_dir):
     from weftline.plans.base import FEATURES, sample
 
     return fusion(sample(spark, sf_dir).select("target", "train", *FEATURES[:3]), list(FEATURES[:3]), "target", "train", 2)
+
+
+@query("ml_importances")
+def ml_importances(spark, sf_dir):
+    """What each feature adds to the trees."""
+    from weftline.operators.ml import importances
+    from weftline.plans.base import FEATURES, sample
+
+    found = importances(sample(spark, sf_dir).select("target", "train", *FEATURES), list(FEATURES), "target", maxDepth=3, maxIter=3)
+    return spark.createDataFrame(found, "feature string, importance double")
+
+
+@query("ml_predictions")
+def ml_predictions(spark, sf_dir):
+    """Rows with the model's probability and their set, kept; summed up per set."""
+    from weftline.operators.ml import scored
+    from weftline.plans.base import FEATURES, sample
+    from weftline.sources.tables import fresh_path
+
+    got = scored(sample(spark, sf_dir).select("target", "train", *FEATURES), list(FEATURES), "target", "train", fresh_path(spark, "predictions"), maxDepth=3, maxIter=3)
+    return got.groupBy("sample_type").agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_p"), F.round(F.avg("target"), 4).alias("bad_rate"))

@@ -105,12 +105,12 @@ def ltv_30d(spark, sf_dir):
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL""",
 )
 def star_join(spark, sf_dir):
-    for name in ("lineitem", "orders", "customer", "nation", "region", "supplier"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"weft_{name}")
+    names = ("lineitem", "orders", "customer", "nation", "region", "supplier")
     return spark.sql(
         """SELECT n_name, r_name, count(*) AS n, cast(sum(cast(l_extendedprice AS decimal(18,2))) AS double) AS revenue
-        FROM weft_lineitem JOIN weft_orders ON l_orderkey = o_orderkey JOIN weft_customer ON o_custkey = c_custkey JOIN weft_nation ON c_nationkey = n_nationkey
-        JOIN weft_region ON n_regionkey = r_regionkey LEFT JOIN weft_supplier ON l_suppkey = s_suppkey WHERE o_orderdate < timestamp_ntz'1998-01-01' GROUP BY n_name, r_name"""
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+        JOIN {region} ON n_regionkey = r_regionkey LEFT JOIN {supplier} ON l_suppkey = s_suppkey WHERE o_orderdate < timestamp_ntz'1998-01-01' GROUP BY n_name, r_name""",
+        **{n: table(spark, sf_dir, n) for n in names},
     )
 
 

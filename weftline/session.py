@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,11 @@ def session(name: str = "weftline", master: str | None = None, partitions: int |
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it isn't installed; Python workers import it."""
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
