@@ -85,12 +85,29 @@ def test_buckets_beyond_a_block(spark):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(3000)]
     passage = " ".join(rng.choice(words, 60))
-    rows = [f"{passage} {' '.join(rng.choice(words, 25))}" for _ in range(700)]
+    rows = [f"{passage} {' '.join(rng.choice(words, 8 + i % 60))}" for i in range(1400)]
     rows += [r + " tail" for r in rows[:40]] + [" ".join(r.split()[:-2]) for r in rows[100:130]]
     rows = list(enumerate(rows))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d).collect()}
-    assert got == brute_components(word_sets(rows))
+    want = brute_components(word_sets(rows))
+    assert got == want and len(set(want.values())) < len(rows) - 60
+
+
+def test_sizes_that_may_be_linked_share_a_class():
+    for n in (4, 5, 7, 10, 99, 100, 125, 1000):
+        for m in range(n, n * 100 // minhash.PERCENT + 1):
+            a, b = (int(np.floor(np.log(k) / np.log(100 / minhash.PERCENT) + 1e-9)) for k in (n, m))
+            assert b - a <= 1, (n, m)
+
+
+def test_beyond_the_broadcast_bound_nothing_changes(spark, monkeypatch):
+    d = spark.createDataFrame(near_rows(), "doc_id long, text string")
+    want = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()}
+    left = {r.doc_id for r in minhash.one_of_each(d).collect()}
+    monkeypatch.setattr(minhash, "IDS_AT_ONCE", 0)
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()} == want
+    assert {r.doc_id for r in minhash.one_of_each(d).collect()} == left
 
 
 def test_near_duplicates_of_nothing_and_of_repeats(spark):

@@ -37,6 +37,9 @@ PERCENT = 80
 LESS, MORE = 256, 512
 LESS_SETS, MORE_SETS = 64, 128
 
+#: Rows of ids that are broadcast to find texts or rows by; beyond, the join is a shuffle.
+IDS_AT_ONCE = 2_000_000
+
 #: A pair is looked at on its full sets unless its signatures are so many standard deviations below the limit.
 DEVIATIONS = 6.0
 
@@ -134,7 +137,7 @@ def _text_key() -> Column:
 def _full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, hashes) of some classes. Only the text of each class's representative is read into a set."""
     asked = kept(ids.join(reps.select("id", "lo", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "id"), "nd-asked")
-    wanted = docs.select("doc_id", "text", _text_key().alias("text_key")).join(checked_broadcast(asked, 2_000_000), (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    wanted = docs.select("doc_id", "text", _text_key().alias("text_key")).join(checked_broadcast(asked, IDS_AT_ONCE), (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     return kept(wanted.select("id", "lo", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
 
 
@@ -148,6 +151,20 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
+def _by_size(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, id) of bucket rows (key, id, n): buckets beyond a block are parted by the size of the sets.
+
+    Sets of a similarity of PERCENT or more differ in size by no more than that
+    share, so they lie in the same class of sizes or in neighbouring ones; a set
+    goes to the bucket of its class and to that of the next one.
+    """
+    few = rows.where(F.col("n") <= MORE).select("key", "id")
+    many = rows.where(F.col("n") > MORE).select("key", "id").join(reps.select("id", "n"), "id")
+    size = F.floor(F.ln("n") / F.lit(float(np.log(100 / PERCENT))) + 1e-9)
+    parted = many.select("id", "key", F.explode(F.array(size, size + 1)).alias("size"))
+    return few.unionByName(parted.select(F.xxhash64("key", "size").alias("key"), "id"))
+
+
 def _sides(rows: DataFrame, group: str, less: int, more: int) -> DataFrame:
     """Rows of groups with more than one label, dealt into blocks (group, i, j): those outside the group's largest label against all."""
     parts = rows.groupBy(group, "label").agg(F.count("*").alias("n_label"))
@@ -182,7 +199,7 @@ def classes(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, Data
     fame = kept(live.groupBy("id").agg(F.sum("n").alias("fame")), "nd-fame")
     if fame.isEmpty():
         return sketches, reps, None
-    live = kept(live.join(fame, "id").select("key", "id", "fame"), "nd-live")
+    live = kept(live.join(fame, "id").select("key", "id", "n", "fame"), "nd-live")
     # the member that shares most buckets is the same in nearly all buckets of a group, so stars repeat few pairs
     # written first: a join above an aggregate of the same exchange couldn't split a large bucket
     centre = kept(live.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre")), "nd-centres")
@@ -191,7 +208,7 @@ def classes(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, Data
     links = kept(_confirmed(tried, reps, docs), "nd-links")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = kept(components(links).withColumnRenamed("component", "label"), "nd-labels")
-    marked = rest.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    marked = _by_size(rest.select("key", "id", "n"), reps).join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sides = _sides(marked, "key", LESS, MORE).join(reps.select("id", "n", "sig"), "id").select("key", "i", "j", "less", "id", "label", "n", "sig")
     likely = kept(blocks.together(sides, ["key", "i", "j"], n_parts).mapInArrow(_likely, "a bigint, b bigint").distinct(), "nd-likely")
     if likely.isEmpty():
@@ -316,8 +333,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = kept(rest.where("me <> best").select("me.own.a", "me.own.b").distinct(), "nd-gone")
     again = kept(rest.where("me = best AND alike > 1").select("me.own.a", "me.own.b").distinct(), "nd-again")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.a.alias("a"), name.b.alias("b"))
-    rows = rows.join(checked_broadcast(gone, 2_000_000), ["a", "b"], "left_anti")
+    rows = rows.join(checked_broadcast(gone, IDS_AT_ONCE), ["a", "b"], "left_anti")
     if not again.isEmpty():
-        once = rows.join(checked_broadcast(again, 2_000_000), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")).select("row", "a", "b")
-        rows = rows.join(checked_broadcast(again, 2_000_000), ["a", "b"], "left_anti").unionByName(once)
+        once = rows.join(checked_broadcast(again, IDS_AT_ONCE), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")).select("row", "a", "b")
+        rows = rows.join(checked_broadcast(again, IDS_AT_ONCE), ["a", "b"], "left_anti").unionByName(once)
     return rows.select("row.*")

@@ -78,7 +78,12 @@ def _let(value: Column, body) -> Column:
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs with its measurements; a null text counts as empty, all of whose measurements are 0."""
+    """One row per row of docs with its measurements; a null text counts as empty, all of whose measurements are 0.
+
+    Rows that repeat a key or a text are measured each by itself, and very long
+    texts whole. Only the key and the text are read: other columns may have any
+    name. An empty table gives an empty result.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(F.col(key).alias("doc_id"), body.alias("body"), words(F.col(text)).alias("w"), F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0).alias("lines"))
     squeezed = F.translate("body", SPACE_CHARS, "")

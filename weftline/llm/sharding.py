@@ -51,7 +51,8 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
 
     size is the text's UTF-8 bytes plus one (a null text has none) and slot
     numbers the rows of a shard from 0 without a gap. Rows of equal key, text and
-    size are alike, so reruns agree. An empty table gives an empty result; other
+    size are alike, so reruns agree. A null key counts as 0; texts of any length
+    only give their size and checksum. An empty table gives an empty result; other
     columns of docs are dropped.
     """
     body = F.coalesce(F.col(text), F.lit(""))

@@ -284,7 +284,12 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from labels.toxic of at most ``rows`` documents; with no labelled row all scores are equal and low."""
+    """Learn from labels.toxic of at most ``rows`` documents; with no labelled row all scores are equal and low.
+
+    A doc_id with several labels is toxic if any of them says so; labels without
+    an id or a value teach nothing, and neither do null or empty texts. Only
+    doc_id, text and toxic are read, so other columns may have any name.
+    """
     small_batches(docs.sparkSession)
     sample = _sample(docs, labels, rows).withColumn("part", _part(F.col("doc_id")))
     lexicon = _lexicon(sample.where("part < 2"))
@@ -308,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score(text: Column, model: Model) -> Column:
-    """struct(score, predicted) of a text; a null text scores as an empty one. Only the text goes to Python, in Arrow batches."""
+    """struct(score, predicted) of a text; a null text scores as an empty one, equal texts equally, very long ones whole. Only the text goes to Python, in Arrow batches."""
 
     @F.pandas_udf("score double, predicted int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
