@@ -179,9 +179,10 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{app}/{tag}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
+def kept(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Written to the shared folder and read again: lineage ends there, a lost executor costs nothing, and what uses it twice doesn't work it out twice."""
     spark = df.sparkSession
     path = fresh_path(spark, tag) + ".parquet"
-    df.write.parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
