@@ -59,12 +59,12 @@ def test_suffix_array_against_brute_force():
     for p, s in enumerate(streams):
         i = np.arange(len(s) - H.FIRST + 1)
         n = np.full(len(i), len(s))
-        u, _ = H.suffix_keys(np.array(s, dtype=np.uint64), i, i, n)
+        u = H.suffix_keys(np.array(s, dtype=np.uint64), i, i, n)
         units.append(u)
         pages += [p] * len(i)
         at += i.tolist()
     units, pages, at = np.concatenate(units), np.array(pages), np.array(at)
-    order = np.lexsort((pages, *(units[:, k] for k in range(H.UNITS - 1, -1, -1))))
+    order = np.lexsort((pages, *(units[:, k] for k in range(H.WIDTH - 1, -1, -1))))
     units, pages, at = units[order], pages[order], at[order]
     host = np.zeros(len(at), dtype=np.int64)
     rows, pieces, n = H.repeats(host, units, pages, pages, np.ones(len(at), dtype=np.int64))

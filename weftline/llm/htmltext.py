@@ -44,7 +44,8 @@ from weftline.llm.textvec import mix64
 FIRST = 6
 #: Where the pieces behind the first tokens end. The last one goes on to the end of its block.
 ENDS = (12, 24, 48)
-UNITS = FIRST + len(ENDS)
+#: A suffix as numbers of 16 bits: one for each of the first tokens, two for the name of each piece.
+WIDTH = FIRST + 2 * len(ENDS)
 
 #: Share of a block's tokens that repeats must cover; a host tells about regions from so many pages on.
 COVERED, TELLING_PAGES = 0.8, 20
@@ -84,12 +85,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\
 _LOOSE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^<>]*+)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _WORDS = re.compile(r"[a-z]+")
-_HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
-
-
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+#: The host of an address.
+HOST = r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def _marks(tag: str, attributes: str) -> tuple[int, bool, str]:
@@ -242,20 +239,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def suffix_keys(tokens: np.ndarray, at: np.ndarray, block_end: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units, ends) of the suffixes that begin at ``at`` and end at ``limit``: n x UNITS numbers of 32 bits, and where each piece ends.
+def suffix_keys(tokens: np.ndarray, at: np.ndarray, block_end: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The suffixes that begin at ``at`` and end at ``limit``, as n x WIDTH numbers.
 
-    Two suffixes share their first k units exactly if they share the tokens of
-    these units (but for a hash collision); units past the limit are 0. A suffix
-    has FIRST tokens at least.
+    Two suffixes share their first tokens, or a piece, exactly if they share the
+    numbers that stand for them (but for a hash collision); numbers past the
+    limit are 0. A suffix has FIRST tokens at least.
     """
     n, size = len(tokens), len(at)
-    padded = np.concatenate([tokens.astype(np.uint64), np.zeros(FIRST, np.uint64)])
-    units = np.zeros((size, UNITS), dtype=">u4")
-    ends = np.zeros((size, UNITS), dtype=np.int64)
+    units = np.zeros((size, WIDTH), dtype=">u2")
     for k in range(FIRST):
-        units[:, k] = padded[at + k]
-        ends[:, k] = at + k + 1
+        units[:, k] = (tokens[at + k] & np.uint64(0xFFFF)).astype(np.uint16)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens.astype(np.uint64)) * _powers(_STEP, n), dtype=np.uint64)])
     back = _powers(_BACK, n + 1)
     start = at + FIRST
@@ -263,11 +257,11 @@ def suffix_keys(tokens: np.ndarray, at: np.ndarray, block_end: np.ndarray, limit
         stop = np.minimum(at + reach, limit)
         if k == len(ENDS) - 1:
             stop = np.maximum(stop, block_end)
-        name = mix64((sums[stop] - sums[start]) * back[start] + np.uint64(1))
-        units[:, FIRST + k] = np.where(stop > start, np.maximum(name >> np.uint64(32), np.uint64(1)), np.uint64(0))
-        ends[:, FIRST + k] = stop
+        name = np.where(stop > start, mix64((sums[stop] - sums[start]) * back[start] + np.uint64(1)) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        units[:, FIRST + 2 * k] = (name >> np.uint64(16)).astype(np.uint16)
+        units[:, FIRST + 2 * k + 1] = (name & np.uint64(0xFFFF)).astype(np.uint16)
         start = stop
-    return units, ends
+    return units
 
 
 def _stream(found: list[tuple[str, int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,12 +287,13 @@ def _stream(found: list[tuple[str, int, int, float]]) -> tuple[np.ndarray, np.nd
 def _names(units: np.ndarray) -> np.ndarray:
     """A 64-bit name of each row of units."""
     out = np.zeros(len(units), dtype=np.uint64)
-    for k in range(UNITS):
-        out = mix64(out * _STEP + units[:, k].astype(np.uint64) + np.uint64(k + 1))
+    for k in range(0, WIDTH, 2):
+        pair = units[:, k].astype(np.uint64) << np.uint64(16) | units[:, k + 1].astype(np.uint64)
+        out = mix64(out * _STEP + pair + np.uint64(k + 1))
     return out.view(np.int64)
 
 
-_PARSED = "struct<blocks:array<string>, kinds:array<tinyint>, regions:array<bigint>, links:array<float>, units:binary, ends:array<int>, begins:array<int>, places:array<int>>"
+_PARSED = "struct<blocks:array<string>, kinds:array<tinyint>, regions:array<bigint>, units:binary, begins:array<int>, lefts:array<int>, rests:array<int>, places:array<int>>"
 
 
 def _parse(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -310,10 +305,11 @@ def _parse(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             if not any(b[1] == ARTICLE for b in found):  # no article: long runs of links are no text
                 found = [(text, OUT if links > 0.9 else kind, region, links) for text, kind, region, links in found]
             tokens, at, stop, limit, block = _stream(found)
-            units, ends = suffix_keys(tokens, at, stop, limit)
-            reach = np.concatenate([ends[:, FIRST - 1 :] - at[:, None]], axis=1).astype(np.int32)
-            rows.append(([b[0] if b[1] else "" for b in found], [b[1] for b in found], [b[2] for b in found], [b[3] for b in found], units.tobytes(), reach.ravel().tolist(), at.tolist(), block.tolist()))
-        yield pd.DataFrame(rows, columns=["blocks", "kinds", "regions", "links", "units", "ends", "begins", "places"])
+            units = suffix_keys(tokens, at, stop, limit)
+            open_ = np.array([b[1] for b in found] or [0])[block] < 0  # elsewhere only names are asked for
+            left, rest = np.where(open_, np.minimum(limit - at, ENDS[-1]), 0), np.where(open_, stop - at, 0)
+            rows.append(([b[0] if b[1] else "" for b in found], [b[1] for b in found], [b[2] for b in found], units.tobytes(), np.where(open_, at, 0).tolist(), left.tolist(), rest.tolist(), block.tolist()))
+        yield pd.DataFrame(rows, columns=["blocks", "kinds", "regions", "units", "begins", "lefts", "rests", "places"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,20 +319,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> pa.RecordBatch:
         host, page, units = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((page, *(units[:, k] for k in range(UNITS - 1, -1, -1)), host))
+        order = np.lexsort((page, *(units[:, k] for k in range(WIDTH - 1, -1, -1)), host))
         host, page, units = host[order], page[order], units[order]
         first = np.r_[True, (host[1:] != host[:-1]) | (units[1:] != units[:-1]).any(axis=1)]
         other = first | np.r_[True, page[1:] != page[:-1]]
         begin = np.flatnonzero(first)
         last = np.r_[begin[1:], len(host)] - 1
-        head = mix64(_names(np.where(np.arange(UNITS) < FIRST, units[begin], 0)).view(np.uint64) ^ host[begin].view(np.uint64)).view(np.int64)
-        key = pa.array([u.tobytes() for u in units[begin].astype(">u4")], pa.binary())  # sorts as the numbers do
+        key = pa.array([u.tobytes() for u in units[begin].astype(">u2")], pa.binary())  # sorts as the numbers do
         return pa.RecordBatch.from_arrays(
-            [pa.array(host[begin]), pa.array(head), key, pa.array(page[begin]), pa.array(page[last]), pa.array(np.add.reduceat(other, begin).astype(np.int64))], names=["host", "head", "key", "low", "high", "pages"]
+            [pa.array(host[begin]), key, pa.array(page[begin]), pa.array(page[last]), pa.array(np.add.reduceat(other, begin).astype(np.int64))], names=["host", "key", "low", "high", "pages"]
         )
 
     for batch in batches:
-        found = [np.frombuffer(u or b"", dtype=">u4").reshape(-1, UNITS) for u in batch.column(2).to_pylist()]
+        found = [np.frombuffer(u or b"", dtype=">u2").reshape(-1, WIDTH) for u in batch.column(2).to_pylist()]
         n = [len(u) for u in found]
         if not sum(n):
             continue
@@ -355,36 +350,36 @@ def repeats(host: np.ndarray, units: np.ndarray, low: np.ndarray, high: np.ndarr
     pieces counts what is shared: 1 for the first tokens, one more for each
     piece behind them; pages is on how many the whole suffix stands.
     """
-    same = np.zeros(len(host), dtype=np.int64)  # the LCP array, in units
+    same = np.zeros(len(host), dtype=np.int64)  # the LCP array, in numbers
     equal = np.logical_and.accumulate((units[1:] == units[:-1]) & (host[1:] == host[:-1])[:, None], axis=1)
     same[1:] = equal.sum(axis=1)
     pieces = np.zeros(len(host), dtype=np.int64)
-    for k in range(FIRST, UNITS + 1):
+    for piece, k in enumerate(range(FIRST, WIDTH + 1, 2), start=1):
         begin = np.flatnonzero(same < k)
         shared = np.minimum.reduceat(low, begin) != np.maximum.reduceat(high, begin)
         of = np.cumsum(same < k) - 1
-        pieces[shared[of]] = k - FIRST + 1
-    begin = np.flatnonzero(same < UNITS)
+        pieces[shared[of]] = piece
+    begin = np.flatnonzero(same < WIDTH)
     rows = begin[pieces[begin] > 0]
     return rows, pieces[rows], np.add.reduceat(pages, begin)[pieces[begin] > 0]
 
 
 def _array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes of a slice -> (host, name, pieces, pages) of those that distinct pages share. Suffixes of one head stay together."""
+    """Sorted suffixes of a slice -> (host, name, pieces, pages) of those that distinct pages share. Suffixes of one host and first tokens stay together."""
     rest: list[pa.RecordBatch] = []
 
     def found(table: pa.Table) -> pa.RecordBatch:
         host, low, high, pages = (table.column(c).to_numpy() for c in ("host", "low", "high", "pages"))
-        units = np.frombuffer(b"".join(table.column("key").to_pylist()), dtype=">u4").reshape(-1, UNITS)
+        units = np.frombuffer(b"".join(table.column("key").to_pylist()), dtype=">u2").reshape(-1, WIDTH)
         rows, pieces, n = repeats(host, units, low, high, pages)
         return pa.RecordBatch.from_arrays([pa.array(host[rows]), pa.array(_names(units[rows])), pa.array(pieces), pa.array(n)], names=["host", "name", "pieces", "pages"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        host, head = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        host, head = batch.column(0).to_numpy(), np.array([k[: 2 * FIRST] for k in batch.column(1).to_pylist()], dtype=object)
         cut = np.flatnonzero((host[1:] != host[:-1]) | (head[1:] != head[:-1]))
-        if rest and (rest[-1].column(0)[-1].as_py(), rest[-1].column(1)[-1].as_py()) != (host[0], head[0]):
+        if rest and (rest[-1].column(0)[-1].as_py(), rest[-1].column(1)[-1].as_py()[: 2 * FIRST]) != (host[0], head[0]):
             yield found(pa.Table.from_batches(rest))
             rest = []
         if len(cut):
@@ -396,11 +391,11 @@ def _array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(pa.Table.from_batches(rest))
 
 
-_PLACES = "row bigint, host bigint, name bigint, region bigint, block int, start int, end6 int, end12 int, end24 int, end48 int"
+_PLACES = "row bigint, host bigint, name bigint, region bigint, block int, start int, left int, rest int"
 
 
 def _places(article: bool):
-    """(row, host, kinds, regions, units, ends, begins, places) -> where the suffixes of open blocks begin, or of an article's, with their names."""
+    """(row, host, kinds, regions, units, begins, lefts, rests, places) -> where the suffixes of open blocks begin, or of an article's, with their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,12 +409,11 @@ def _places(article: bool):
                 want = kinds == ARTICLE if article else kinds < 0
                 if not want.any():
                     continue
-                units = np.frombuffer(columns["units"][i].as_py(), dtype=">u4").reshape(-1, UNITS)[want]
-                ends = np.array(columns["ends"][i].as_py(), dtype=np.int32).reshape(-1, len(ENDS) + 1)[want]
-                start = np.array(columns["begins"][i].as_py(), dtype=np.int32)[want]
+                units = np.frombuffer(columns["units"][i].as_py(), dtype=">u2").reshape(-1, WIDTH)[want]
+                start, left, rest = (np.array(columns[c][i].as_py(), dtype=np.int32)[want] for c in ("begins", "lefts", "rests"))
                 region = np.array(columns["regions"][i].as_py(), dtype=np.int64)[place[want]]
                 n = len(start)
-                out.append((np.full(n, columns["row"][i].as_py()), np.full(n, columns["host"][i].as_py()), _names(units), region, place[want].astype(np.int32), start, *ends.T))
+                out.append((np.full(n, columns["row"][i].as_py()), np.full(n, columns["host"][i].as_py()), _names(units), region, place[want].astype(np.int32), start, left, rest))
             if out:
                 arrays = [np.ascontiguousarray(np.concatenate(c)) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[c.split()[0] for c in _PLACES.split(", ")])
@@ -469,24 +463,23 @@ def extract(pages: DataFrame, regions_at_once: int = BROADCAST_ROWS, telling_pag
     def parse(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from _parse(series)
 
-    @F.pandas_udf("string")
-    def host(series: pd.Series) -> pd.Series:
-        return series.map(host_of)
-
-    parsed = rows.select("page_id", "url", F.xxhash64(F.coalesce(host("url"), F.lit(""))).alias("host"), parse("html").alias("p")).select("page_id", "url", "host", F.xxhash64("page_id", "url", "p.blocks", "p.units").alias("row"), "p.*")
-    parsed = kept(parsed, "html-parsed")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
+    parsed = rows.select("page_id", "url", F.xxhash64(host).alias("host"), parse("html").alias("p")).select("page_id", "url", "host", F.xxhash64("page_id", "url", "p.blocks", "p.units").alias("row"), "p.*")
+    parsed = kept(parsed, "html-parsed", "gzip")  # mostly text
     one_page = F.coalesce("page_id", F.lit(-1))
-    suffixes = parsed.select("host", one_page.alias("page"), "units").mapInArrow(_suffixes, "host bigint, head bigint, key binary, low bigint, high bigint, pages bigint")
+    suffixes = parsed.select("host", one_page.alias("page"), "units").mapInArrow(_suffixes, "host bigint, key binary, low bigint, high bigint, pages bigint")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    array = suffixes.repartition(n_parts, "host", "head").sortWithinPartitions("host", "head", "key")
+    head = F.substring("key", 1, 2 * FIRST)
+    array = suffixes.repartition(n_parts, F.col("host"), head).sortWithinPartitions("host", "key")
     found = kept(array.mapInArrow(_array, "host bigint, name bigint, pieces bigint, pages bigint"), "html-repeats")
     hosts = kept(parsed.groupBy("host").agg(F.count_distinct(one_page).alias("host_pages")), "html-hosts")
 
     # how much of each open block is covered, from the repeats that begin in it
-    streams = parsed.select("row", "host", "kinds", "regions", "units", "ends", "begins", "places")
+    streams = parsed.select("row", "host", "kinds", "regions", "units", "begins", "lefts", "rests", "places")
     open_ = streams.where(F.exists("kinds", lambda k: k < 0)).mapInArrow(_places(False), _PLACES)
     hits = open_.join(found.select("host", "name", "pieces"), ["host", "name"], "left").dropDuplicates(["row", "block", "start"])
-    reach = F.element_at(F.array("end6", "end12", "end24", "end48"), F.col("pieces").cast("int"))
+    ends = [F.lit(FIRST), *[F.least(F.lit(e), "left") for e in ENDS[:-1]], F.greatest(F.least(F.lit(ENDS[-1]), "left"), "rest")]
+    reach = F.element_at(F.array(*ends), F.col("pieces").cast("int"))
     span = F.when(F.col("pieces").isNotNull(), F.struct("start", (F.col("start") + reach).alias("stop")))
     spans = hits.groupBy("row", "host", "region", "block").agg(F.min("start").alias("first"), (F.max("start") + 1).alias("last"), F.sort_array(F.collect_list(span)).alias("spans"))
     step = lambda done, s: F.struct((done.n + F.greatest(F.least(s.stop, F.col("last")) - F.greatest(s.start, done.upto), F.lit(0))).alias("n"), F.greatest(done.upto, s.stop).alias("upto"))
