@@ -38,7 +38,7 @@ ROTATIONS = 2
 LEAST_COSINE = 0.93
 
 #: Rows of a block; two meet at a time, as one product of matrices. A member of a bucket goes to one block for each so many members.
-BLOCK = 1024
+BLOCK = 512
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
