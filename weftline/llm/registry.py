@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import queries_models, queries_native
+from weftline.llm import queries_corpus, queries_models, queries_native
 
-_MODULES = (queries_native, queries_models)
+_MODULES = (queries_native, queries_models, queries_corpus)
 
 
 def queries() -> dict:
