@@ -44,3 +44,5 @@ from weftline.plans import loanbook  # noqa: E402, F401
 from weftline.plans import shapes  # noqa: E402, F401
 from weftline.plans import stores  # noqa: E402, F401
 from weftline.plans import scores  # noqa: E402, F401
+from weftline.plans import increments  # noqa: E402, F401
+from weftline.plans import models  # noqa: E402, F401
