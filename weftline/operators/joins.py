@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Folds that a leave-one-out may have.
+MOST_FOLDS = 1_000
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], exact: bool = True, how: str = "left") -> DataFrame:
     """left with the values of the latest right row of its key before its time (or at it).
@@ -60,16 +63,19 @@ def leading_sum(key: str, micros: Column, days: int, value: Column) -> Column:
 def leave_one_out(counted: DataFrame, keys: list[str], fold: str, sums: list[str]) -> DataFrame:
     """(keys, fold, sums) for every fold without itself, and -1 for all folds; entries that nothing is left of go.
 
-    Total minus own, from one aggregate, instead of summing the other folds anew
-    for each fold.
+    Total minus own, from one shuffle on the keys: a key's own folds, MOST_FOLDS at
+    most, lie in one row with its totals, and folds that it isn't in take the totals.
     """
-    total = counted.groupBy(*keys).agg(*[F.sum(s).alias(f"all_{s}") for s in sums])
-    folds = counted.select(fold).distinct()
+    known = sorted(r[0] for r in counted.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(known) > MOST_FOLDS:
+        raise ValueError(f"{fold} has more than {MOST_FOLDS} values; folds are meant to be few")
+    kind = counted.schema[fold].dataType
     own = counted.groupBy(*keys, fold).agg(*[F.sum(s).alias(s) for s in sums])
-    wide = total.crossJoin(F.broadcast(folds)).join(own, [*keys, fold], "left")  # folds: a handful
-    left = wide.select(*keys, fold, *[(F.col(f"all_{s}") - F.coalesce(F.col(s), F.lit(0))).alias(s) for s in sums])
-    every = total.select(*keys, F.lit(-1).cast(counted.schema[fold].dataType).alias(fold), *[F.col(f"all_{s}").alias(s) for s in sums])
-    return left.where(F.col(sums[0]) > 0).unionByName(every)
+    row = own.groupBy(*keys).agg(*[F.sum(s).alias(f"_all_{s}") for s in sums], F.collect_list(F.struct(F.col(fold).alias("f"), *sums)).alias("_own"))
+    each = row.withColumn(fold, F.explode(F.array(*[F.lit(k).cast(kind) for k in [*known, -1]])))
+    mine = F.get(F.filter("_own", lambda x: x.f == F.col(fold)), F.lit(0))
+    left = each.select(*keys, fold, *[(F.col(f"_all_{s}") - F.coalesce(mine[s], F.lit(0))).alias(s) for s in sums])
+    return left.where((F.col(sums[0]) > 0) | (F.col(fold) == -1))
 
 
 def either_key_hit(left: DataFrame, listed: DataFrame, left_keys: list[str], listed_keys: list[str], when: str) -> DataFrame:

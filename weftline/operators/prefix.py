@@ -41,3 +41,24 @@ def with_totals(df: DataFrame, sums: dict[str, str], by: list[str] | None = None
 
 def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
+
+
+def last_known(df: DataFrame, order: str, value: str, name: str, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
+    """Adds, as name, the value of the last row up to this one that has one, in the order of a numeric column.
+
+    df has one row per (by, order). As running(), but for what isn't a sum: a slice
+    takes over the last known value of the slices before it.
+    """
+    by = by or []
+    slices = slices or max(8, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(10 * slices)).alias("_cuts"))
+    # a row per group: each holds slices - 1 numbers
+    cut = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))
+    sliced = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    ends = sliced.groupBy(*by, "_slice").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_end"))
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*by, "_slice", F.last("_end.v", ignorenulls=True).over(before).alias("_carried"))
+    inside = W.partitionBy(*by, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    own = sliced.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    joined = own.join(F.broadcast(carried), [*by, "_slice"])  # groups x slices rows
+    return joined.withColumn(name, F.coalesce(name, "_carried")).drop("_slice", "_carried")

@@ -77,3 +77,34 @@ def monotone_choice(tables: DataFrame, by_majority: bool = False) -> DataFrame:
     per = per.withColumn("broken", F.coalesce(broken, F.lit(0.0)))
     best = F.min(F.struct((F.col("broken") > 1e-12).cast("int").alias("bad"), F.when(F.col("broken") > 1e-12, F.col("broken")).otherwise(0.0).alias("broken"), (-F.col("n")).alias("m")))
     return per.groupBy("feature").agg(best.alias("b")).select("feature", (-F.col("b.m")).alias("n"), (F.col("b.bad") == 0).alias("is_monotone"))
+
+
+def value_classes(long: DataFrame) -> DataFrame:
+    """(feature, value, good, bad, rows) of (feature, value, target), target 1 bad; missing values are null."""
+    return long.groupBy("feature", "value").agg(F.count_if(F.col("target") == 0).alias("good"), F.count_if(F.col("target") == 1).alias("bad"), F.count("*").alias("rows"))
+
+
+def monotone_report(per: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, n, bins, crossings, broken, reason, is_bad): the number of bins that monotone_choice would take by majority, and what to hold of it.
+
+    per: value_classes; edges: (feature, n, edges). Weights are of all rows, missing
+    ones included, which have no bin of their own here. A feature that neither rises or
+    falls throughout nor crosses zero exactly once is bad, and one without values.
+    """
+    from weftline.operators import binning
+    from weftline.sources.tables import checked_broadcast
+
+    rows = per.join(checked_broadcast(edges), "feature").withColumn("bin", F.coalesce(binning.bin_of_quantile(F.col("value"), F.col("edges")), F.lit(0)))
+    counted = rows.groupBy("feature", "n", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    told = bin_table(counted, feature=["feature", "n"]).where("bin > 0").select("feature", "n", "bin", "woe")
+    w = W.partitionBy("feature", "n").orderBy("bin")  # n bins at most
+    step = told.withColumns({"d": F.col("woe") - F.lag("woe").over(w), "crossed": (F.col("woe") * F.lag("woe").over(w) < 0).cast("int")})
+    up, down = F.sum(F.greatest(F.col("d"), F.lit(0.0))), F.sum(F.greatest(-F.col("d"), F.lit(0.0)))
+    broken = F.coalesce(F.when(F.count_if(F.col("d") >= 0) >= F.count_if(F.col("d") < 0), down).otherwise(up), F.lit(0.0))
+    by = step.groupBy("feature", "n").agg(F.count("*").cast("int").alias("bins"), F.coalesce(F.sum("crossed"), F.lit(0)).cast("int").alias("crossings"), broken.alias("broken"))
+    by = by.withColumn("broken", F.when(F.col("broken") > 1e-12, F.col("broken")).otherwise(0.0))
+    best = by.groupBy("feature").agg(F.min(F.struct((F.col("broken") > 0).alias("o"), F.round("broken", 9).alias("p"), (-F.col("n")).alias("q"), "bins", "crossings", "broken")).alias("b"))
+    reason = F.when(F.col("b.bins") < 2, "one bin").when(F.col("b.broken") == 0, "monotone").when(F.col("b.crossings") == 1, "crosses zero once").when(F.col("b.crossings") == 0, "never crosses zero").otherwise("crosses zero often")
+    good = best.select("feature", (-F.col("b.q")).cast("int").alias("n"), "b.bins", "b.crossings", F.round("b.broken", 6).alias("broken"), reason.alias("reason"))
+    every = per.select("feature").distinct().join(good, "feature", "left")
+    return every.withColumns({"bins": F.coalesce("bins", F.lit(0)), "reason": F.coalesce("reason", F.lit("no values")), "is_bad": F.coalesce(F.col("reason").isin("never crosses zero", "crosses zero often"), F.lit(True))})

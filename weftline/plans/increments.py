@@ -16,7 +16,7 @@ def _delivered(spark, sf_dir):
     """Three deliveries of orders: by year, the last one with orders whose state was pending and is final now."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("year"), F.lit(1).alias("version"))
     settled = o.where("o_orderstatus = 'P'").withColumns({"o_orderstatus": F.lit("F"), "version": F.lit(2)})
-    return [o.where("year <= 1994"), o.where("year in (1995, 1996)"), o.where("year > 1996").unionByName(settled)]
+    return [o.where("year <= 1996"), o.where("year in (1997, 1998)"), o.where("year > 1998").unionByName(settled)]
 
 
 YEARS_SQL = """WITH o AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, year(o_orderdate)::INT AS year, (CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END)::INT AS version FROM orders)

@@ -141,3 +141,67 @@ def boosted_predictions(spark, sf_dir):
     path = fresh_path(spark, "boosted-predictions")
     write_partitions(binned.withColumn("p", p).select("l_orderkey", "l_linenumber", "target", F.round("p", 6).alias("p"), points(F.col("p")).alias("score"), "sample_type"), path, ["sample_type"])
     return spark.read.parquet(path)
+
+
+def _fusion_sql() -> str:
+    """Every subset's weights by elimination on the sums of products, step by step."""
+    from weftline.operators.fusion import subsets
+
+    names = list(FEATURES)
+    z = {f: f"z{i}" for i, f in enumerate(names)}
+    products = [f"sum({z[a]} * {z[b]}) AS {z[a]}_{z[b]}" for i, a in enumerate(names) for b in names[i:]]
+    out = [
+        SAMPLE_SQL,
+        "x AS (SELECT target, CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 'train' WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'test' ELSE 'valid' END AS part, " + ", ".join(f"CASE WHEN {f} >= 0 THEN {f}::DOUBLE END AS {f}" for f in names) + " FROM sample)",
+        "s AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in names) + " FROM x WHERE part = 'train')",
+        "z AS MATERIALIZED (SELECT target, part, " + ", ".join(f"coalesce(({f} - m_{f}) / s_{f}, 0) AS {z[f]}" for f in names) + " FROM x, s)",
+        "g AS MATERIALIZED (SELECT count(*)::DOUBLE AS one_one, sum(target)::DOUBLE AS one_y, " + ", ".join(f"sum({z[f]}) AS one_{z[f]}, sum({z[f]} * target) AS {z[f]}_y" for f in names) + ", " + ", ".join(products) + " FROM z WHERE part = 'train')",
+    ]
+    scored = []
+    for i, chosen in enumerate(subsets(names)):
+        columns = ["one", *[z[f] for f in chosen]]
+        at = lambda a, b, c=columns: f"{a}_{b}" if b == "y" or c.index(a) <= c.index(b) else f"{b}_{a}"
+        k, before = len(columns), f"w{i}_start"
+        out.append(f"{before} AS (SELECT " + ", ".join(f"{at(columns[r], c)} AS a{r}_{j}" for r in range(k) for j, c in enumerate([*columns, "y"])) + " FROM g)")
+        for p in range(k):
+            now = f"w{i}_{p}"
+            out.append(f"{now} AS MATERIALIZED (SELECT " + ", ".join(f"a{r}_{j}" if r == p else f"a{r}_{j} - a{r}_{p} * a{p}_{j} / a{p}_{p} AS a{r}_{j}" for r in range(k) for j in range(k + 1)) + f" FROM {before})")
+            before = now
+        terms = " + ".join(f"a{r}_{k} / a{r}_{r}" + ("" if r == 0 else f" * {columns[r]}") for r in range(k))
+        scored.append(f"SELECT {len(chosen)} AS n_scores, '{'+'.join(chosen)}' AS scores, part, target, round({terms}, 6) AS score FROM z, {before}")
+    return "WITH " + ",\n".join(out) + f""",
+p AS (SELECT n_scores, scores, part, score, count(*) FILTER (target = 0) AS n0, count(*) FILTER (target = 1) AS n1 FROM ({' UNION ALL '.join(scored)}) GROUP BY ALL),
+q AS (SELECT n_scores, scores, part, abs(sum(n1) OVER up / sum(n1) OVER al - sum(n0) OVER up / sum(n0) OVER al) AS gap FROM p WINDOW up AS (PARTITION BY scores, part ORDER BY score), al AS (PARTITION BY scores, part))
+SELECT n_scores::INT AS n_scores, scores, round(max(gap) FILTER (part = 'train'), 6) AS train_ks, round(max(gap) FILTER (part = 'test'), 6) AS test_ks, round(max(gap) FILTER (part = 'valid'), 6) AS valid_ks FROM q GROUP BY ALL"""
+
+
+def _fused(spark, sf_dir):
+    from weftline.operators import fusion
+
+    x = sample(spark, sf_dir).withColumns({"part": _part()} | {f: clean.present(F.col(f).cast("double"), True) for f in FEATURES})
+    return x, fusion.standardised(x, list(FEATURES), F.col("part") == "train")
+
+
+def _wide_ks(told):
+    return told.groupBy("n_scores", "scores").agg(*[F.round(F.max(F.when(F.col("part") == p, F.col("ks"))), 6).alias(f"{p}_ks") for p in ("train", "test", "valid")])
+
+
+@query("fusion_subsets", _fusion_sql())
+def fusion_subsets(spark, sf_dir):
+    """KS of the linear fusion of every combination of two scores or more, all from one table of products."""
+    from weftline.operators import fusion
+
+    x, z = _fused(spark, sf_dir)
+    products = fusion.gram(x.where("part = 'train'"), z, F.col("target"))
+    weights = fusion.least_squares(products, list(z), fusion.subsets(list(z)))
+    return _wide_ks(fusion.measured(x, z, weights, "target", "part"))
+
+
+@query("fusion_subsets_logistic")
+def fusion_subsets_logistic(spark, sf_dir):
+    """As fusion_subsets with logistic models; a pass an iteration for all combinations."""
+    from weftline.operators import fusion
+
+    x, z = _fused(spark, sf_dir)
+    weights = fusion.logistic(x.where("part = 'train'"), z, F.col("target"), fusion.subsets(list(z)))
+    return _wide_ks(fusion.measured(x, z, weights, "target", "part"))

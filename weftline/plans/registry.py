@@ -46,3 +46,5 @@ from weftline.plans import stores  # noqa: E402, F401
 from weftline.plans import scores  # noqa: E402, F401
 from weftline.plans import increments  # noqa: E402, F401
 from weftline.plans import models  # noqa: E402, F401
+from weftline.plans import dictionaries  # noqa: E402, F401
+from weftline.plans import columns  # noqa: E402, F401

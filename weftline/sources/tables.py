@@ -186,3 +186,12 @@ def kept(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     writer = df.write.option("compression", codec) if codec else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one side of a join that may be broadcast; each is a few dozen bytes to a few hundred.
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if df is counted and small; otherwise leave the join to a shuffle. df should be cheap to read."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
