@@ -31,7 +31,6 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
@@ -319,10 +318,10 @@ class Warc(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> WarcReader:
-        return WarcReader(self.options["path"].rstrip("/"), dict(self.options))
+        return WarcReader(self.options["path"].rstrip("/"), self.options)
 
     def writer(self, schema: object, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"].rstrip("/"), dict(self.options), overwrite)
+        return WarcWriter(self.options["path"].rstrip("/"), self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -341,40 +340,54 @@ def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
 # ---- pages
 
 
-def with_revisits(pages: DataFrame, order: list[Column], least: int = LEAST_REVISIT) -> DataFrame:
-    """Adds digest, length, record_type, record_id and refers_to: of equal payloads of ``least`` bytes or more, the first is a response and others revisit it.
+def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """Adds digest, length, record_type, record_id and refers_to: of equal payloads of ``least`` bytes or more, that of the least page_id is a response and others revisit it.
 
-    pages: page_id, payload (binary, not null) and what order names. Rows that are alike
-    in everything have one response among them. Only payloads that repeat are joined; the
-    rows of one payload meet in partial aggregates only. pages is read twice and should be
-    a stored table, whose rows keep their places.
+    pages: page_id, url, payload (binary, not null). Null page_ids come last, then the url
+    decides. Rows that are alike in all three are told apart by nothing, so they are
+    counted and made again: one response, the others revisits. Decisions rest on values
+    only, not on a row's place. Only payloads that repeat are joined; the rows of one
+    payload meet in partial aggregates only.
     """
-    spark = pages.sparkSession
-    told = pages.withColumns({"digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("bigint"), "row": F.monotonically_increasing_id()})
-    told = told.withColumn("record_id", F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":"), F.col("row").cast("string"), F.lit(">")))
-    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "row", "record_id"))
-    repeats = told.where(F.col("length") >= least).groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-    repeats = kept(repeats.select("digest", F.col("first.record_id").alias("response"), F.col("first.row").alias("response_row")), "warc-repeats")
+    who = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("url").isNull().alias("m"), F.col("url").alias("u"))
+    told = pages.withColumns({"digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("bigint"), "who": who})
+    alike = told.where(F.col("length") >= least).groupBy("digest", "who").agg(F.count("*").alias("n"))
+    repeats = alike.groupBy("digest").agg(F.sum("n").alias("all"), F.min(F.struct("who", "n")).alias("first")).where("`all` > 1")
+    name = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("first.who.p").cast("string"), F.lit("-")), F.lit(":"), F.col("digest"), F.lit(">"))
+    repeats = kept(repeats.select("digest", F.col("first.who").alias("first"), F.col("first.n").alias("alike"), name.alias("response")), "warc-repeats")
     joined = told.join(checked_broadcast(repeats), "digest", "left")
-    again = F.col("response").isNotNull() & (F.col("response_row") != F.col("row"))
-    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("response"))}).drop("response", "response_row", "row")
+    own = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":"), F.uuid(), F.lit(">"))
+    columns = [*pages.columns, "digest", "length", "record_type", "record_id", "refers_to"]
+
+    def named(df: DataFrame, again: Column) -> DataFrame:
+        kind = {"record_type": F.when(again, "revisit").otherwise("response"), "record_id": F.when(again, own).otherwise(F.coalesce("response", own)), "refers_to": F.when(again, F.col("response"))}
+        return df.withColumns(kind).select(*columns)
+
+    mine = F.col("who").eqNullSafe(F.col("first"))
+    several = F.coalesce(mine & (F.col("alike") > 1), F.lit(False))
+    done = named(joined.where(~several), F.col("response").isNotNull() & ~mine)
+    if repeats.where("alike > 1").isEmpty():
+        return done
+    one = joined.where(several).groupBy("digest").agg(*[F.first(c).alias(c) for c in [*pages.columns, "length", "response", "alike"]])
+    each = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("alike"))))
+    return done.unionByName(named(each, F.col("i") > 1))
 
 
 def archive(pages: DataFrame, path: str) -> None:
     """A WARC record per page under path. pages: page_id, url, html."""
     register(pages.sparkSession)
-    raw = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    told = with_revisits(raw, [F.col("page_id").isNull(), F.col("page_id")])
+    raw = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    told = with_revisits(raw)
     body = F.when(F.col("record_type") == "response", F.col("payload"))
     told.select(
-        "record_type", "record_id", F.col("url").cast("string").alias("target_uri"), F.lit(DATE).alias("record_date"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
+        "record_type", "record_id", F.col("url").alias("target_uri"), F.lit(DATE).alias("record_date"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
         F.col("length").alias("payload_length"), "refers_to", F.lit(None).cast("bigint").alias("content_length"), body.alias("payload"),
     ).write.format("warc").mode("append").option("path", path).save()
 
 
 def page_of(record_id: Column, kind: str) -> Column:
     """The page_id in a record's id."""
-    return F.regexp_extract(record_id, r"^<urn:x-page:(.*):\d+>$", 1).try_cast(kind)
+    return F.regexp_extract(record_id, r"^<urn:x-page:(.*):[^:]*>$", 1).try_cast(kind)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
