@@ -11,7 +11,7 @@ from weftline.operators import binning, profiles
 from weftline.operators.joins import leading_sum
 from weftline.operators.loans import HORIZONS, PAST_DUE
 from weftline.operators.woe import LAMBDA
-from weftline.sources.tables import kept
+from weftline.sources.tables import checked_broadcast, kept
 
 #: Horizons at which loans are counted that were never overdue (fixed values).
 NEVER_LATE = (1, 3, 7, 15)
@@ -166,33 +166,35 @@ def labels(loans: DataFrame, as_of: Column) -> DataFrame:
     return x.withColumn("def_ltv", (F.col("profit_ltv") < 0).cast("int"))
 
 
-def cut_points(scored: DataFrame, first: Column, score: str = "score") -> DataFrame:
-    """(edges), one row: quantile edges of the first period, 10 bins from 1,000 rows on, else 5; all other periods use them."""
-    base = scored.where(first).select(F.lit(1).alias("one"), F.col(score).alias("value"))
+def cut_points(scored: DataFrame, first: Column, score: str = "score", by: str | None = None) -> DataFrame:
+    """(edges), one row, or (by, edges): quantile edges of the first period, 10 bins from 1,000 rows on, else 5; all other periods use them."""
+    base = scored.where(first).select((F.col(by) if by else F.lit(1)).alias("one"), F.col(score).alias("value"))
     few, many = [i / 5 for i in range(6)], [i / 10 for i in range(11)]
     q = binning.quantiles(base, few + many, ["one"])
     n = base.groupBy("one").agg(F.count("*").alias("n"))
-    return q.join(n, "one").select(F.array_distinct(F.when(F.col("n") >= 1000, F.slice("q", len(few) + 1, len(many))).otherwise(F.slice("q", 1, len(few)))).alias("edges"))
+    return q.join(n, "one").select(*([F.col("one").alias(by)] if by else []), F.array_distinct(F.when(F.col("n") >= 1000, F.slice("q", len(few) + 1, len(many))).otherwise(F.slice("q", 1, len(few)))).alias("edges"))
 
 
 def score_report(scored: DataFrame, edges: DataFrame, rate: float = 1.0, least_rows: int = 50) -> DataFrame:
     """(period, bin, ...) of a score, bins from the highest down, and a row of totals, bin 0, per period with more than ``least_rows`` rows.
 
-    scored has period, score, target, amount. Amounts are divided by ``rate``.
+    scored has period, score, target, amount; edges is one row, or one per period.
+    Amounts are divided by ``rate``.
     auc_cum of the i-th row from the top is that of the raw scores in the i
     lowest bins, as the reports have always had it; flipped above one half,
     carried on where there is one class only.
     """
+    attach = lambda df: df.join(checked_broadcast(edges), "period") if "period" in edges.columns else df.crossJoin(F.broadcast(edges))
     value = scored.select("period", F.col("score").alias("value"), "target", "amount")
     a = F.col("amount")
     per = profiles.value_table(value, ["period"], {"amount": a, "bad_amount": F.when(F.col("target") == 1, a).otherwise(0)})
     totals = kept(profiles.class_totals(per, ["period"]).where(F.col("all_good") + F.col("all_bad") > least_rows), "report-totals")
-    binned = per.join(F.broadcast(totals.select("period")), "period").crossJoin(F.broadcast(edges))
+    binned = attach(per.join(F.broadcast(totals.select("period")), "period"))
     inside = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
     binned = binned.where(inside).withColumn("bin", binning.bin_of_quantile(F.col("value"), F.col("edges"))).drop("edges")
     bins = profiles.bins_of(binned, ["period"], ["amount", "bad_amount"])
     bins = bins.withColumns({c: F.col(c).cast("double") for c in ("amount", "bad_amount")})  # decimals up to here: sums are exact
-    grid = totals.crossJoin(F.broadcast(edges)).withColumn("bin", F.explode(F.sequence(F.lit(1), F.size("edges") - 1))).withColumn("n_bins", F.size("edges") - 1).drop("edges")
+    grid = attach(totals).withColumn("bin", F.explode(F.sequence(F.lit(1), F.size("edges") - 1))).withColumn("n_bins", F.size("edges") - 1).drop("edges")
     x = grid.join(bins, ["period", "bin"], "left").na.fill(0)  # a row per period and bin from here on
     w = W.partitionBy("period")
     up, down = w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0), w.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)
