@@ -37,6 +37,9 @@ PERCENT = 80
 LESS, MORE = 256, 512
 LESS_SETS, MORE_SETS = 64, 128
 
+#: Pairs of one centre that are looked at in one place.
+CENTRE_PAIRS = 1_024
+
 #: Rows of ids that are broadcast to find texts or rows by; beyond, the join is a shuffle.
 IDS_AT_ONCE = 2_000_000
 
@@ -141,14 +144,24 @@ def _full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return kept(wanted.select("id", "lo", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the (a, b) whose full sets are alike enough."""
-    sets = _full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), reps, docs)
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b"))
-    both = pairs.join(right, "b").join(left, "a")
+def _confirmed(star: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b), a the lesser: those of the pairs (id, centre) whose full sets are alike enough.
+
+    A member is in a pair for each of its bands at most, so its set travels with its
+    pairs; a centre may be in any number of them. Its pairs are dealt into parts of
+    about CENTRE_PAIRS, and its set goes once to each part.
+    """
+    sets = _full_sets(star.select("id").union(star.select("centre")).distinct(), reps, docs)
+    famous = star.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > CENTRE_PAIRS)
+    famous = kept(famous.select("centre", F.ceil(F.col("n") / CENTRE_PAIRS).cast("int").alias("parts")), "nd-famous")
+    parts = checked_broadcast(famous)
+    dealt = star.join(parts, "centre", "left").select("id", "centre", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.lit(31), "id"), F.col("parts"))).otherwise(0).alias("part"))
+    centres = sets.select(F.col("id").alias("centre"), F.col("hashes").alias("of_b")).join(parts, "centre", "left")
+    centres = centres.select("centre", "of_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1)).alias("part"))
+    both = dealt.join(sets.select("id", F.col("hashes").alias("of_a")), "id").join(centres, ["centre", "part"])
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
+    alike = both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common")))
+    return _ordered(alike)
 
 
 def _by_size(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -204,7 +217,7 @@ def classes(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, Data
     # written first: a join above an aggregate of the same exchange couldn't split a large bucket
     centre = kept(live.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre")), "nd-centres")
     rest = kept(live.join(centre, "key").where("id <> centre"), "nd-rest")
-    tried = kept(_ordered(rest).distinct(), "nd-star")
+    tried = kept(_pairs_once(rest), "nd-star")
     links = kept(_confirmed(tried, reps, docs), "nd-links")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = kept(components(links).withColumnRenamed("component", "label"), "nd-labels")
@@ -282,6 +295,13 @@ def _ordered(star: DataFrame) -> DataFrame:
     return star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
 
 
+def _pairs_once(star: DataFrame) -> DataFrame:
+    """(id, centre), each pair once though two members may be centres for each other."""
+    a, b = F.least("id", "centre"), F.greatest("id", "centre")
+    once = star.groupBy(a.alias("a"), b.alias("b")).agg(F.min("centre").alias("centre"))
+    return once.select(F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("id"), "centre")
+
+
 def _groups(reps: DataFrame, links: DataFrame | None) -> DataFrame:
     """(lo, hi, component): the number of a class that its whole group of classes shares."""
     if links is None:
