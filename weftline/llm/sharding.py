@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.runtime import kept
+from weftline.llm.runtime import checked_broadcast, kept
 
 #: The linear congruential step of the published algorithm (fixed values).
 MULTIPLIER = 2862933555777941757
@@ -21,9 +21,12 @@ MODULUS = 1 << 64
 def _decimal(value: int, digits: int = 20) -> Column:
     return F.lit(str(value)).cast(f"decimal({digits},0)")
 
-#: Parts of a shard that are numbered side by side; a shard is never sorted in one task.
+#: Parts of a shard that are numbered side by side, in the order of their keys; a shard is never sorted in one task.
 SUB_BUCKETS = 64
 
+#: Rows that one part has about, at most: parts are cut again by ranges of the key, as many as the rows ask for.
+PART_ROWS = 50_000
+
 
 def jump(key: Column, shards: int) -> Column:
     """struct(shard, grown): where key goes among ``shards`` shards and among one more.
@@ -65,11 +68,16 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     ).select("doc_id", "size", "text_crc32", F.col("hop.shard").cast("int").alias("shard"), F.col("hop.grown").cast("int").alias("grown_shard"))
     part = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(sub_buckets)) + F.pmod("text_crc32", F.lit(sub_buckets)), F.lit(sub_buckets))
     placed = kept(placed.withColumn("sub", part.cast("int")), "shards")
-    counts = placed.groupBy("shard", "sub").agg(F.count("*").alias("n"))
-    before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = W.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size")
+    # ranges of the key cut a part again without changing the order of its rows
+    ranges = max(1, -(-placed.count() // (shards * sub_buckets * PART_ROWS)))
+    cuts = placed.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
+    cut = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    placed = placed.withColumn("cut", F.when(F.col("doc_id").isNull(), 0).otherwise(cut))
+    counts = placed.groupBy("shard", "sub", "cut").agg(F.count("*").alias("n"))
+    before = W.partitionBy("shard").orderBy("sub", "cut").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", "sub", "cut", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("shard", "sub", "cut").orderBy("doc_id", "text_crc32", "size")
     numbered = placed.withColumn("at", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "sub"]).select(  # shards x sub_buckets rows at most
+    return numbered.join(checked_broadcast(starts), ["shard", "sub", "cut"]).select(  # a row per part
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard"
     )
