@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from weftline.sources.tables import kept
 
 
+#: Columns that JSON may be flattened to.
+MOST_KEYS = 5_000
+
+
 def varying(df: DataFrame, columns: list[str], count_null: bool = True) -> list[str]:
     """Those columns that have two values or more; null is a value if it counts. One aggregate of extremes, no distinct values are held."""
     differs = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
@@ -23,9 +27,14 @@ def drop_constant(df: DataFrame, columns: list[str], count_null: bool = True) ->
 
 
 def flatten_json(df: DataFrame, column: str, keep: list[str], prefix: str = "") -> DataFrame:
-    """keep and a column for each key of a JSON object of numbers, whatever keys there are; they are found by one aggregate."""
+    """keep and a column for each key of a JSON object of numbers, whatever keys there are; they are found by one aggregate.
+
+    More than MOST_KEYS keys are no columns but data, and an error: explode the map then.
+    """
     parsed = df.select(*keep, F.from_json(column, "map<string,double>").alias("_m"))
-    keys = sorted(r["k"] for r in parsed.select(F.explode(F.map_keys("_m")).alias("k")).distinct().collect())  # a row per key
+    keys = sorted(r["k"] for r in parsed.select(F.explode(F.map_keys("_m")).alias("k")).distinct().limit(MOST_KEYS + 1).collect())
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"{column} has more than {MOST_KEYS} keys")
     return parsed.select(*keep, *[F.col("_m")[k].alias(f"{prefix}{k}") for k in keys])
 
 

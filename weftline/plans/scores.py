@@ -343,3 +343,23 @@ def features_two_periods(spark, sf_dir):
     x = kept(joins.join_all([a, lines.agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity")), lines.agg(F.count("*").alias("n"))], ["k"]), "period-features")
     median = binning.quantiles(x.select("period", F.col("quantity").cast("double").alias("value")), [0.5], ["period"])
     return x.groupBy("period").agg(F.count("*").alias("n_orders"), F.round(F.avg("quantity"), 6).alias("mean_quantity"), F.round(F.avg("n"), 6).alias("mean_lines")).join(median, "period").select("period", "n_orders", "mean_quantity", F.col("q")[0].alias("median_quantity"), "mean_lines")
+
+
+@query(
+    "application_scores_wide",
+    f"""WITH {MODULE_SQL}, cf(system, country, zone, hours, nations) AS (VALUES ('even', 'N', 'UTC+1', 1, 0), ('odd', 'S', 'UTC-6', -6, 1))
+    SELECT system, country, m.event_id, m.order_id, m.module_name, strftime(request_time + to_hours(hours::BIGINT), '%Y-%m-%d %H:%M:%S') AS local_time, o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS order_day, c_name, c_mktsegment, c_custkey % 3 AS status, CASE c_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' ELSE 'semi-new' END AS customer_type, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -999.0) AS score
+    FROM mod m JOIN orders ON o_orderkey = m.event_id JOIN customer ON c_custkey = o_custkey JOIN cf ON nations = c_nationkey % 2
+    WHERE request_time >= TIMESTAMP '2024-01-03' AND request_time < TIMESTAMP '2024-01-24' AND m.module_name = 'view' AND c_custkey % 3 IN (0, 1)""",
+)
+def application_scores_wide(spark, sf_dir):
+    """Every column of a module's requests, their orders and customers, with the score, the system's country and local time and the customer type by name."""
+    systems = spark.createDataFrame([("even", "N", "UTC+1", 1, 0), ("odd", "S", "UTC-6", -6, 1)], "system string, country string, zone string, hours int, nations int")  # a row per system
+    types = F.create_map(F.lit(0), F.lit("new"), F.lit(1), F.lit("old"), F.lit(2), F.lit("semi-new"))
+    m = _modules(spark, sf_dir).where("module_name = 'view' AND request_time >= timestamp_ntz'2024-01-03' AND request_time < timestamp_ntz'2024-01-24'")
+    o = table(spark, sf_dir, "orders").withColumn("event_id", F.col("o_orderkey"))
+    c = table(spark, sf_dir, "customer").withColumns({"nations": F.col("c_nationkey") % 2, "status": F.col("c_custkey") % 3}).where(F.col("status").isin(0, 1))
+    x = m.join(o, "event_id").join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(systems), "nations")
+    local = F.date_format(F.col("request_time") + F.make_interval(hours="hours"), "yyyy-MM-dd HH:mm:ss")
+    score = F.coalesce(F.get_json_object("props", "$.k").try_cast("double"), F.lit(clean.SENTINEL))
+    return x.select("system", "country", "event_id", "order_id", "module_name", local.alias("local_time"), "o_orderkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"), "c_name", "c_mktsegment", "status", types[F.col("status").cast("int")].alias("customer_type"), score.alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.operators import prefix
 from weftline.plans.registry import query
 from weftline.sources import tables
 from weftline.sources.tables import fresh_path, table
@@ -60,11 +61,11 @@ def partition_scan(spark, sf_dir):
     return found.select("o_orderkey", values["status"].alias("status"), values["year"].alias("year"))
 
 
-@query("csv_round_trip", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN '(25.0, inf]' ELSE '(-inf, 25.0]' END AS bin, 'größe, \"x\"' AS note FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("csv_round_trip", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN '(25.0, inf]' ELSE '(-inf, 25.0]' END AS bin, 'größe, \"x\"' AS note FROM lineitem")
 def csv_round_trip(spark, sf_dir):
     """With a byte order mark; intervals as text."""
     path = fresh_path(spark, "csv")
-    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, "(25.0, inf]").otherwise("(-inf, 25.0]").alias("bin"), F.lit('größe, "x"').alias("note"))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, "(25.0, inf]").otherwise("(-inf, 25.0]").alias("bin"), F.lit('größe, "x"').alias("note"))
     tables.write_csv(x, path)
     return tables.read_csv(spark, path, "l_orderkey bigint, l_linenumber int, bin string, note string")
 
@@ -104,31 +105,71 @@ def fetch_per_row(spark, sf_dir):
     return tables.fetch(table(spark, sf_dir, "pages").select("page_id", url.alias("url")), "url", _stubborn).select("page_id", "response", "error")
 
 
-@query("object_fetch", "SELECT * FROM (VALUES ('a.txt', 0, 'first a'), ('b.txt', 1, 'second b'), ('c.jpg', 0, NULL)) v(key, bucket, text)")
+_KEYS_SQL = "SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN page_id % 5 = 0 THEN 'page-' || page_id || '.jpg' ELSE 'page-' || page_id || '.html' END AS key FROM pages"
+
+
+def _objects(spark, sf_dir, folder):
+    """Every page as an object of the second bucket, every third page's address as one of the first; keys of all pages and of others that no bucket has."""
+    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, ".jpg").otherwise(".html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), name.alias("key"))
+    tables.put_objects(pages.where("page_id % 3 = 0"), "key", "url", f"{folder}/one")
+    tables.put_objects(pages, "key", "html", f"{folder}/two")
+    return pages
+
+
+@query("object_fetch", f"WITH p AS ({_KEYS_SQL}) SELECT key, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END::INT AS bucket, octet_length(encode(CASE WHEN page_id % 3 = 0 THEN url ELSE html END))::BIGINT AS n_bytes, CASE WHEN page_id % 5 <> 0 THEN md5(CASE WHEN page_id % 3 = 0 THEN url ELSE html END) END AS text_md5 FROM p")
 def object_fetch(spark, sf_dir):
-    """The first bucket that has an object answers; pictures stay bytes."""
+    """The first bucket that has an object answers; pictures stay bytes; a key that none has gives no row."""
+    folder = fresh_path(spark, "store")
+    pages = _objects(spark, sf_dir, folder)
+    keys = pages.select("key").unionByName(pages.select(F.concat(F.lit("no-"), "key").alias("key")))
+    got = tables.binary_objects(spark, [f"{folder}/one", f"{folder}/two"], keys, "key")
+    return got.select("key", "bucket", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
+@query("url_fetch", f"WITH p AS ({_KEYS_SQL}) SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 7 <> 0 THEN md5(url) END AS response_md5, CASE WHEN page_id % 7 = 0 THEN 'no address' WHEN page_id % 3 <> 0 THEN 'failed' END AS error FROM p")
+def url_fetch(spark, sf_dir):
+    """What each page's address answers, three tries each: objects of the shared folder by their own addresses, some that are missing and some that are no addresses."""
     folder = fresh_path(spark, "store")
-    one = lambda s: spark.range(1).select(F.lit(s).alias("value"))
-    for bucket, name, text in (("one", "a.txt", "first a"), ("one", "c.jpg", "picture"), ("two", "a.txt", "second a"), ("two", "b.txt", "second b"), ("two", "d.txt", "nobody asks")):
-        tables.write_named(one(text), f"{folder}/{bucket}", name, "text")
-    keys = spark.createDataFrame([("a.txt",), ("b.txt",), ("c.jpg",), ("e.txt",)], "key string")
-    return tables.binary_objects(spark, [f"{folder}/one", f"{folder}/two"], keys, "key").select("key", "bucket", F.rtrim(F.regexp_replace("text", "\n$", "")).alias("text"))
+    pages = _objects(spark, sf_dir, folder)
+    base = folder if "://" in folder.replace("file:///", "") else "file://localhost" + folder.removeprefix("file:").replace("///", "/")
+    url = F.when(F.col("page_id") % 7 == 0, F.col("key")).otherwise(F.concat(F.lit(f"{base}/one/"), "key"))
+    got = tables.fetch(pages.select("page_id", url.alias("url")), "url", tables.url_client)
+    return got.select("page_id", F.md5("response").alias("response_md5"), F.when(F.col("error") == "no address", F.col("error")).when(F.col("error").isNotNull(), "failed").alias("error"))
 
 
-def _listing():
-    return lambda page: [{"page": page, "item": (page - 1) * 50 + k} for k in range(50) if (page - 1) * 50 + k < 1234]
+PAGE_ROWS = 50
 
 
-@query("paged_scan", "SELECT i // 50 + 1 AS page, i AS item FROM (SELECT unnest(range(0, 1234)) AS i)")
+@query("paged_scan", f"SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // {PAGE_ROWS} + 1 AS page, c_custkey, c_name FROM customer")
 def paged_scan(spark, sf_dir):
-    return tables.paged(spark, 1234, 50, _listing, "page bigint, item bigint")
+    """A paged listing of the customers: each task asks for its own pages by their numbers, a page after the other."""
+    import json
+
+    folder = fresh_path(spark, "listing")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    total = c.count()
+    placed = prefix.running(c.withColumn("one", F.lit(1)), "c_custkey", {"place": "one"}).withColumn("page", F.floor((F.col("place") - 1) / PAGE_ROWS) + 1)
+    body = placed.groupBy("page").agg(F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name")))).alias("body"))  # PAGE_ROWS rows
+    tables.put_objects(body.withColumn("key", F.concat(F.col("page").cast("string"), F.lit(".json"))), "key", "body", folder)
+
+    def client():
+        files, top = tables.store_of(folder)
+
+        def ask(page: int) -> list[dict]:
+            with files.open_input_stream(f"{top}/{page}.json") as f:
+                return [{"page": page, **row} for row in json.loads(f.read())]
+
+        return ask
+
+    return tables.paged(spark, total, PAGE_ROWS, client, "page bigint, c_custkey bigint, c_name string")
 
 
-@query("backfill_slices", "SELECT o_orderkey % 4 AS slice, strftime(o_orderdate, '%Y') AS year, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY ALL")
+@query("backfill_slices", "SELECT o_orderkey % 4 AS slice, strftime(o_orderdate, '%Y') AS year, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY ALL")
 def backfill_slices(spark, sf_dir):
     """Ids in slices, each slice built, cut to its columns and written to its partition; a slice that is there already is left alone."""
     path = fresh_path(spark, "slices")
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1999-01-01'").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"), (F.col("o_orderkey") % 4).alias("slice"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"), (F.col("o_orderkey") % 4).alias("slice"))
     tables.write_partitions(o.where("slice < 2"), path, ["slice"])
     wanted = o.select("slice").distinct()
     left = tables.work_list(wanted, spark.read.parquet(path).select("slice").distinct(), ["slice"])

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,19 +126,68 @@ def call_per_row(df: DataFrame, make_client: Callable[[], Callable[[dict], str]]
     return df.mapInPandas(run, schema)
 
 
+def put_objects(df: DataFrame, key: str, content: str, folder: str) -> int:
+    """One object per row under folder, named by its key; gives how many. A task that runs again writes the same objects again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = store_of(folder)
+        files.create_dir(top, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with files.open_output_stream(f"{top}/{name}") as out:
+                    out.write(body or b"")
+                n += 1
+        yield pa.record_batch([pa.array([n])], names=["n"])
+
+    return df.select(F.col(key).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or address belongs to, and its place there."""
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 def binary_objects(spark: SparkSession, buckets: list[str], keys: DataFrame, key: str) -> DataFrame:
-    """(key, bucket, content, text) of a store's objects from the first bucket that has the key; text is null for pictures (.jpg)."""
+    """(key, bucket, content, text) of a store's objects from the first bucket that has the key; text is null for pictures (.jpg).
+
+    Names are listed first, which reads no object; what is opened are the wanted keys'
+    objects in their first bucket and nothing else.
+    """
     found = None
     for i, bucket in enumerate(buckets):
-        objects = spark.read.format("binaryFile").load(f"{bucket}/*")
-        part = objects.select(F.element_at(F.split("path", "/"), -1).alias(key), F.lit(i).alias("bucket"), "content")
+        listed = spark.read.format("binaryFile").load(f"{bucket}/*").select("path")
+        part = listed.select(F.element_at(F.split("path", "/"), -1).alias(key), F.struct(F.lit(i).alias("bucket"), "path").alias("at"))
         found = part if found is None else found.unionByName(part)
     wanted = found.join(keys.select(key).distinct(), key, "left_semi")
-    first = wanted.groupBy(key).agg(F.min("bucket").alias("bucket"))
-    got = wanted.join(first, [key, "bucket"])
+    first = wanted.groupBy(key).agg(F.min("at").alias("at")).select(key, "at.bucket", "at.path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column(2).to_pylist()):
+                files, name = store_of(path)
+                with files.open_input_stream(name) as f:
+                    yield pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([f.read()])], names=[key, "bucket", "content"])
+
+    kind = keys.schema[key].dataType.simpleString()
+    got = first.repartition(F.col(key)).mapInArrow(run, f"{key} {kind}, bucket int, content binary")
     return got.withColumn("text", F.when(~F.col(key).endswith(".jpg"), F.col("content").cast("string")))
 
 
+def url_client(timeout: float = 10.0) -> Callable[[dict], str]:
+    """A client for fetch: what an address answers, as text; addresses of stores are opened as such."""
+    from urllib.request import urlopen
+
+    def ask(row: dict) -> str:
+        if row["url"].split(":")[0].lower() not in ("http", "https", "file"):
+            files, name = store_of(row["url"])
+            with files.open_input_stream(name) as answer:
+                return answer.read().decode("utf-8", "replace")
+        with urlopen(row["url"], timeout=timeout) as answer:  # noqa: S310  addresses come from the caller's table
+            return answer.read().decode("utf-8", "replace")
+
+    return ask
+
+
 def paged(spark: SparkSession, total: int, size: int, make_client: Callable[[], Callable[[int], list[dict]]], schema: str) -> DataFrame:
     """All rows of a paged listing: a row per page number, dealt out, each task asking for its own pages."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
