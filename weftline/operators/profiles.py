@@ -92,5 +92,5 @@ def lambda_psi(counts: DataFrame, by: list[str], first: Column, n: str = "n") ->
     """(by..., psi) of (by..., bin, n) over two sets: shares of all rows, (p - q) * ln((p + 0.001) / (q + 0.001))."""
     w = W.partitionBy(*by)
     c = counts.groupBy(*by, "bin").agg(F.sum(F.when(first, F.col(n)).otherwise(0)).alias("a"), F.sum(F.when(first, 0).otherwise(F.col(n))).alias("z"))
-    c = c.withColumns({"p": F.col("a") / F.sum("a").over(w), "q": F.col("z") / F.sum("z").over(w)})
+    c = c.withColumns({"p": F.try_divide(F.col("a"), F.sum("a").over(w)), "q": F.try_divide(F.col("z"), F.sum("z").over(w))})
     return c.groupBy(*by).agg(F.sum((F.col("p") - F.col("q")) * F.ln((F.col("p") + LAMBDA) / (F.col("q") + LAMBDA))).alias("psi"))

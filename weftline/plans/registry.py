@@ -49,3 +49,4 @@ from weftline.plans import models  # noqa: E402, F401
 from weftline.plans import dictionaries  # noqa: E402, F401
 from weftline.plans import columns  # noqa: E402, F401
 from weftline.plans import monitors  # noqa: E402, F401
+from weftline.plans import modelreport  # noqa: E402, F401

@@ -150,14 +150,19 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
 def binary_objects(spark: SparkSession, buckets: list[str], keys: DataFrame, key: str) -> DataFrame:
     """(key, bucket, content, text) of a store's objects from the first bucket that has the key; text is null for pictures (.jpg).
 
-    Names are listed first, which reads no object; what is opened are the wanted keys'
-    objects in their first bucket and nothing else.
+    Names are listed first, a task per bucket, which reads no object; what is opened are
+    the wanted keys' objects in their first bucket and nothing else.
     """
-    found = None
-    for i, bucket in enumerate(buckets):
-        listed = spark.read.format("binaryFile").load(f"{bucket}/*").select("path")
-        part = listed.select(F.element_at(F.split("path", "/"), -1).alias(key), F.struct(F.lit(i).alias("bucket"), "path").alias("at"))
-        found = part if found is None else found.unionByName(part)
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, bucket in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files, top = store_of(bucket)
+                for x in files.get_file_info(fs.FileSelector(top)):
+                    if x.type == fs.FileType.File:
+                        yield pa.record_batch([pa.array([x.base_name]), pa.array([i], pa.int32()), pa.array([f"{bucket}/{x.base_name}"])], names=[key, "bucket", "path"])
+
+    each = spark.createDataFrame(list(enumerate(buckets)), "bucket int, name string").repartition(max(1, len(buckets)), "bucket")
+    found = each.mapInArrow(names, f"{key} string, bucket int, path string").select(key, F.struct("bucket", "path").alias("at"))
     wanted = found.join(keys.select(key).distinct(), key, "left_semi")
     first = wanted.groupBy(key).agg(F.min("at").alias("at")).select(key, "at.bucket", "at.path")
 
