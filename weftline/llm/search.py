@@ -8,7 +8,7 @@ by term. A search then takes three rounds:
    is a lower bound of what its k-th document scores;
 2. every list sends the entries that reach the bound divided by the number of the
    item's lists; a document that no list sent can't reach the bound. Sums of a
-   slice meet where the slice is, a few candidates for each item leave it;
+   heap of slices meet in one task, a few candidates for each item leave it;
 3. candidates that can still reach the best lower bound get their exact scores.
 
 No document that could be among the k best is dropped, whatever the lists hold.
@@ -40,6 +40,9 @@ TOP = 20
 #: A slice is closed when it holds so many postings or documents; so much is in a worker's memory at once.
 SLICE_POSTINGS, SLICE_DOCUMENTS = 1 << 20, 1 << 15
 
+#: Postings that are scored in one task, or those of one slice.
+HEAP_POSTINGS = 1 << 18
+
 #: Up to so many distinct terms of all items, only these are indexed; beyond, all terms are.
 VOCABULARY = 1_000_000
 
@@ -195,8 +198,12 @@ def _kth(df: DataFrame, k: int, name: str) -> DataFrame:
     return _first(df, ["item"], [F.desc("partial")], k).where(F.col("place") == k).select("item", F.col("partial").alias(name))
 
 
-def _scored(postings: DataFrame, asks: list, k: int) -> DataFrame:
-    """(item, slice, doc, partial, seen): round two for one block of items, without documents of a slice that can't be among the k best."""
+def _scored(postings: DataFrame, asks: list, k: int, heaps: int) -> DataFrame:
+    """(item, slice, doc, partial, seen): round two for one block of items, without documents of a heap that can't be among the k best.
+
+    Slices meet in as many heaps as there are HEAP_POSTINGS postings, so that small
+    slices, as small files give them, don't each send k documents on.
+    """
     least: dict[str, int] = {}
     for a in asks:
         least[a.term] = min(least.get(a.term, a.need), a.need)
@@ -206,25 +213,34 @@ def _scored(postings: DataFrame, asks: list, k: int) -> DataFrame:
     spark = postings.sparkSession
     sizes = spark.createDataFrame(list(least.items()), "term string, least bigint")
     sent = postings.join(F.broadcast(sizes), "term").withColumn("n", F.size(F.filter("impacts", lambda x: x >= F.col("least")))).where("n > 0")
-    sent = sent.select("slice", "term", F.slice("docs", 1, F.col("n")).alias("docs"), F.slice("impacts", 1, F.col("n")).alias("impacts"))
+    sent = sent.select(F.pmod(F.xxhash64(F.lit(41), "slice"), F.lit(heaps)).alias("heap"), "slice", "term", F.slice("docs", 1, F.col("n")).alias("docs"), F.slice("impacts", 1, F.col("n")).alias("impacts"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        at = {t: i for i, t in enumerate(table.column("term").to_pylist())}
-        lists = table.column("docs").chunk(0)
-        ends = lists.offsets.to_numpy()
-        docs, impacts = lists.values.to_numpy(), table.column("impacts").chunk(0).values.to_numpy().astype(np.int64)
-        n = int(docs.max()) + 1
+        slices, of_row = np.unique(table.column("slice").to_numpy(), return_inverse=True)
+        lists, names = table.column("docs").chunk(0), table.column("term").dictionary_encode().combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        of_entry = np.repeat(of_row, sizes)
+        docs, impacts = lists.flatten().to_numpy().astype(np.int64), table.column("impacts").chunk(0).flatten().to_numpy().astype(np.int64)
+        most = np.zeros(len(slices), dtype=np.int64)
+        np.maximum.at(most, of_entry, docs + 1)
+        starts = np.append(0, np.cumsum(most))  # a slice's documents follow each other
+        code = np.repeat(names.indices.to_numpy(), sizes)
+        order = np.argsort(code, kind="stable")
+        docs, impacts = (docs + starts[of_entry])[order], impacts[order]
+        ends = np.searchsorted(code[order], np.arange(len(names.dictionary) + 1))
+        at = {t: i for i, t in enumerate(names.dictionary.to_pylist())}
+        n = int(starts[-1])
         out = []
         for item, own in by_item.items():
             sums, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             for term, weight, need, m, tau in own:  # noqa: B007  m and tau are the item's
                 if (i := at.get(term)) is None:
                     continue
-                mine = impacts[ends[i] : ends[i + 1]]
-                cut = np.searchsorted(-mine, -need, side="right")
-                here = docs[ends[i] : ends[i] + cut]
-                sums[here] += weight * mine[:cut]
+                mine, here = impacts[ends[i] : ends[i + 1]], docs[ends[i] : ends[i + 1]]
+                if len(low := np.flatnonzero(mine < need)):
+                    mine, here = np.delete(mine, low), np.delete(here, low)
+                sums[here] += weight * mine
                 seen[here] += 1
             some = np.flatnonzero(seen)
             if not len(some):
@@ -232,12 +248,12 @@ def _scored(postings: DataFrame, asks: list, k: int) -> DataFrame:
             partial, hits = sums[some], seen[some]
             bound = max(tau, int(np.partition(partial, -k)[-k])) if len(some) >= k else tau
             left = partial * m + (m - hits) * tau >= bound * m
-            out.append((np.full(int(left.sum()), item), some[left].astype(np.int32), partial[left], hits[left]))
+            out.append((np.full(int(left.sum()), item), some[left], partial[left], hits[left]))
         item, doc, partial, hits = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=np.int64) for i in range(4))
-        where = np.full(len(item), table.column("slice")[0].as_py(), dtype=np.int64)
-        return pa.table({"item": pa.array(item, pa.int64()), "slice": pa.array(where), "doc": pa.array(doc, pa.int32()), "partial": pa.array(partial, pa.int64()), "seen": pa.array(hits, pa.int32())})
+        where = np.searchsorted(starts, doc, side="right") - 1
+        return pa.table({"item": pa.array(item, pa.int64()), "slice": pa.array(slices[where]), "doc": pa.array(doc - starts[where], pa.int32()), "partial": pa.array(partial, pa.int64()), "seen": pa.array(hits, pa.int32())})
 
-    return sent.groupBy("slice").applyInArrow(run, "item bigint, slice bigint, doc int, partial bigint, seen int")
+    return sent.groupBy("heap").applyInArrow(run, "item bigint, slice bigint, doc int, partial bigint, seen int")
 
 
 def rank(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
@@ -262,13 +278,14 @@ def rank(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     asks = kept(asks.withColumn("need", F.expr("(tau + m * q * w - 1) div (m * q * w)")), "search-asks")
 
     blocks = max(1, -(-asks.count() // ASKS_AT_ONCE))
+    heaps = max(1, -(-(postings.agg(F.sum(F.size("docs").cast("bigint"))).first()[0] or 0) // HEAP_POSTINGS))
     best = None
     for b in range(blocks):
         own = asks.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         rows = own.collect()  # ASKS_AT_ONCE rows or about
         if not rows:
             continue
-        near = kept(_scored(postings, rows, k), "search-near")
+        near = kept(_scored(postings, rows, k, heaps), "search-near")
         bounds = own.select("item", "m", "tau").distinct().join(_kth(near, k, "low"), "item", "left")
         bounds = bounds.select("item", "m", "tau", F.greatest("tau", F.coalesce("low", F.lit(0))).alias("low"))
         left = near.join(bounds, "item").where(F.col("partial") * F.col("m") + (F.col("m") - F.col("seen")) * F.col("tau") >= F.col("low") * F.col("m"))
