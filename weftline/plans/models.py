@@ -108,12 +108,12 @@ _NODES = " UNION ALL ".join(
 _NAMES = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
 
 
-@query("boosted_nodes", f"{_boost_sql(FEW, ROUNDS)} SELECT model::INT AS model, tree::INT AS tree, split::INT AS split, leaf::INT AS leaf, {_NAMES}[f + 1] AS feature, b::INT AS bin, round(gain, 6) AS gain, tn::BIGINT AS rows, round(tg, 6) AS g, round(th, 6) AS h FROM ({_NODES})")
+@query("boosted_nodes", f"{_boost_sql(FEW, ROUNDS)} SELECT model::INT AS model, tree::INT AS tree, split::INT AS split, leaf::INT AS leaf, {_NAMES}[f + 1] AS feature, b::INT AS bin, round(gain, 6) AS gain, tn::BIGINT AS rows, round(tg, 6) + 0.0 AS g, round(th, 6) AS h FROM ({_NODES})")
 def boosted_nodes(spark, sf_dir):
-    """Every split of three models: where it is, what it gains, and what its leaf held."""
+    """Every split of three models: where it is, what it gains, and what its leaf held. A sum that rounds to nothing is 0, not -0."""
     *_, model, _ = _fit(spark, sf_dir, FEW, ROUNDS)
     told = spark.createDataFrame(model.nodes(), boosting.NODES)
-    return told.withColumns({"gain": F.round("gain", 6), "rows": F.col("rows").cast("long"), "g": F.round("g", 6), "h": F.round("h", 6)})
+    return told.withColumns({"gain": F.round("gain", 6), "rows": F.col("rows").cast("long"), "g": F.round("g", 6) + F.lit(0.0), "h": F.round("h", 6)})
 
 
 @query(
