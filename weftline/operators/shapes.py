@@ -123,3 +123,10 @@ def suffixed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     both = (set(left.columns) & set(right.columns)) - set(on)
     rename = lambda df, s: df.select(*[F.col(c).alias(c + s if c in both else c) for c in df.columns])
     return rename(left, suffixes[0]).join(rename(right, suffixes[1]), on, how)
+
+
+def index_places(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+    """Adds place: an index of a report in its order, descending if its least value has a letter, ascending otherwise. df has a row per index value."""
+    w = W.partitionBy(*(by or []))
+    lettered = F.coalesce(F.min(key).over(w).rlike(r"\p{L}"), F.lit(False))
+    return df.withColumn("place", F.when(lettered, F.row_number().over(w.orderBy(F.desc(key)))).otherwise(F.row_number().over(w.orderBy(F.asc(key)))))

@@ -255,3 +255,19 @@ def day_against_before(spark, sf_dir):
     psi = profiles.lambda_psi(x, ["event_type"], F.col("before"))
     n = x.groupBy("event_type").agg(F.sum(F.when(F.col("before"), F.col("n"))).alias("n_before"), F.sum(F.when(~F.col("before"), F.col("n"))).alias("n_day"))
     return psi.join(n, "event_type")
+
+
+_INDEXES = [("priority", "o_orderpriority", "o_orderpriority"), ("month", "strftime(o_orderdate, '%Y-%m')", "date_format(o_orderdate, 'yyyy-MM')"), ("day", "strftime(o_orderdate, '%d')", "date_format(o_orderdate, 'dd')"), ("status", "o_orderstatus", "o_orderstatus")]
+
+
+@query(
+    "index_sorted",
+    "WITH x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {s} AS key, o_totalprice FROM orders" for n, s, _ in _INDEXES) + r""" ), g AS (SELECT name, key, count(*) AS n, max(o_totalprice) AS most FROM x GROUP BY ALL)
+    SELECT name, key, n, most, (CASE WHEN regexp_matches(min(key) OVER (PARTITION BY name), '\p{L}') THEN row_number() OVER (PARTITION BY name ORDER BY key DESC) ELSE row_number() OVER (PARTITION BY name ORDER BY key) END)::INT AS place FROM g""",
+)
+def index_sorted(spark, sf_dir):
+    """Reports by several indexes, each with its rows' places: from behind where the index has letters."""
+    o = table(spark, sf_dir, "orders")
+    keys = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.expr(e).alias("key")) for n, _, e in _INDEXES]))
+    rows = o.select("o_totalprice", keys).groupBy("name", "key").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    return shapes.index_places(rows, "key", ["name"])
