@@ -133,4 +133,4 @@ def test_empty_table(spark, sf):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
