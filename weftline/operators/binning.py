@@ -7,10 +7,34 @@ otherwise. Quantiles use linear interpolation.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.prefix import running, with_totals
+from weftline.operators.prefix import n_below, running, with_totals
+from weftline.sources.tables import kept
+
+#: Positions of so many parts at most are found by arithmetic; others by looking at each.
+PARTS = 1_000
+
+
+def _may_hold(upto: Column, rows: Column, total: Column, parts: list[int]) -> Column:
+    """Whether a value that ends at upto may hold a position i / n of the rows, n of parts. Says yes too often, by two rows at either end, never too seldom."""
+    step = F.greatest(total - 1, F.lit(1))
+    out = F.lit(False)
+    for n in parts:
+        out |= F.floor((upto + 2) * n / step) >= F.ceil((upto - rows - 2) * n / step)
+    return out
+
+
+def _parts(fractions: list[float]) -> list[int] | None:
+    """Numbers of equal parts that the fractions are ends of."""
+    found = {Fraction(f).limit_denominator(PARTS) for f in fractions}
+    if any(min(abs(float(g) - f) for g in found) > 1e-12 for f in fractions):
+        return None
+    ns = {g.denominator for g in found}
+    return sorted(n for n in ns if not any(m > n and m % n == 0 for m in ns))
 
 
 def quantiles(long: DataFrame, fractions: list[float], by: list[str], value: str = "value", rows: str | None = None) -> DataFrame:
@@ -23,6 +47,9 @@ def quantiles(long: DataFrame, fractions: list[float], by: list[str], value: str
     n = F.count("*") if rows is None else F.sum(rows)
     counts = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(n.alias("_n"))
     run = running(with_totals(counts, {"_total": "_n"}, by), "_v", {"_upto": "_n"}, by)
+    parts = _parts(fractions)
+    if parts:
+        run = run.where(_may_hold(F.col("_upto"), F.col("_n"), F.col("_total"), parts))
     at = F.transform(F.array(*[F.lit(f) for f in fractions]), lambda f, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * f).alias("pos")))
     here = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
     hits = run.select(*by, "_v", "_upto", "_n", F.explode(F.filter(at, lambda p: here(F.floor(p.pos)) | here(F.ceil(p.pos)))).alias("p"))
@@ -47,6 +74,25 @@ def quantile_edges_of(long: DataFrame, ns: list[int], by: list[str] | None = Non
     return quantiles(long, at, by, value, rows).select(*by, F.inline(F.array(*each)))
 
 
+def counts_by_edges(per: DataFrame, edges: DataFrame, sums: list[str], most: int) -> DataFrame:
+    """(feature, n, bin, sums) of counted values under the edges of every n; bin 0 holds missing values.
+
+    A value is placed once among all edges of its feature, ``most`` at most. What lies
+    between two neighbours is a cell, and bins are made of cells, so no row is made per
+    value and n.
+    """
+    edges = kept(edges, "edges")
+    cuts = kept(edges.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("cuts")), "cuts")
+    placed = per.join(F.broadcast(cuts), "feature")  # a row per feature
+    cell = F.when(F.col("value").isNotNull(), n_below(F.col("cuts"), F.col("value"), most))
+    cells = placed.groupBy("feature", cell.alias("cell")).agg(*[F.sum(c).alias(c) for c in sums])
+    low = F.when(F.col("cell") > 0, F.get("cuts", F.col("cell") - 1))
+    cells = cells.join(F.broadcast(cuts), "feature").withColumn("low", low).drop("cuts").join(F.broadcast(edges), "feature")  # a row per feature and n
+    below = F.greatest(F.size(F.filter("edges", lambda e: e <= F.col("low"))), F.lit(1))
+    bin_ = F.when(F.col("cell").isNull(), F.lit(0)).otherwise(F.when(F.col("cell") > 0, below).otherwise(F.lit(1)))
+    return cells.groupBy("feature", "n", bin_.alias("bin")).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def opened(edges: Column) -> Column:
     """The outer edges become infinite."""
     return F.when(F.size(edges) >= 2, F.concat(F.array(F.lit(float("-inf"))), F.slice(edges, F.lit(2), F.size(edges) - 2), F.array(F.lit(float("inf"))))).otherwise(edges)
@@ -113,6 +159,7 @@ def frequency_edges(counts: DataFrame, n: int, by: list[str] | None = None) -> D
     """
     by = by or ["feature"]
     run = running(with_totals(counts, {"total": "n_rows"}, by), "value", {"upto": "n_rows"}, by)
+    run = run.where(_may_hold(F.col("upto"), F.col("n_rows"), F.col("total"), [n]))
     at = run.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).where((F.floor(F.col("i") * (F.col("total") - 1) / n) < F.col("upto")) & (F.floor(F.col("i") * (F.col("total") - 1) / n) >= F.col("upto") - F.col("n_rows")))
     unique = at.groupBy(*by).agg(F.array_sort(F.collect_set("value")).alias("u"))
     body = F.when(F.size("u") < n + 1, F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0)))).otherwise(F.slice("u", F.lit(2), F.greatest(F.size("u") - 2, F.lit(0))))

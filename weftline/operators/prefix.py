@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 SLICES_PER_PARTITION = 2
 
 
+def n_below(numbers: Column, value: Column, most: int) -> Column:
+    """How many of an ascending array's numbers, ``most`` at most, are less than a value: halved step by step, so few are looked at."""
+    steps = [1 << k for k in range(max(1, most).bit_length())][::-1]
+    far = lambda i, p: F.when(F.get(numbers, i + p - 1) < value, i + p).otherwise(i)
+    return F.when(numbers.isNotNull(), F.aggregate(F.array(*[F.lit(p) for p in steps]), F.lit(0), far))
+
+
+def _cuts(df: DataFrame, order: str, by: list[str], slices: int) -> DataFrame:
+    """(by..., _cuts): a row per group, with the numbers that its order is cut at."""
+    at = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    return df.groupBy(*by).agg(F.percentile_approx(order, at, F.lit(10 * slices)).alias("_cuts"))
+
+
 def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Adds, for each new name: column, the sum over rows up to this one in the order of a numeric column.
 
@@ -19,10 +32,10 @@ def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | Non
     """
     by = by or []
     slices = slices or max(8, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(10 * slices)).alias("_cuts"))
+    cuts = _cuts(df, order, by, slices)
     # a row per group: each holds slices - 1 numbers
     cut = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))
-    sliced = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sliced = cut.withColumn("_slice", n_below(F.col("_cuts"), F.col(order), slices - 1)).drop("_cuts")
     totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(*by, "_slice", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
@@ -51,10 +64,10 @@ def last_known(df: DataFrame, order: str, value: str, name: str, by: list[str] |
     """
     by = by or []
     slices = slices or max(8, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(10 * slices)).alias("_cuts"))
+    cuts = _cuts(df, order, by, slices)
     # a row per group: each holds slices - 1 numbers
     cut = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))
-    sliced = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sliced = cut.withColumn("_slice", n_below(F.col("_cuts"), F.col(order), slices - 1)).drop("_cuts")
     ends = sliced.groupBy(*by, "_slice").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_end"))
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(*by, "_slice", F.last("_end.v", ignorenulls=True).over(before).alias("_carried"))

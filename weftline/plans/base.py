@@ -17,7 +17,8 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    x = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    owned = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))  # first, so that line items are shuffled once
+    x = lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
     return x.withColumns({"target": (F.col("l_returnflag") == "R").cast("int"), "train": (F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz")).cast("int")})
 
 
