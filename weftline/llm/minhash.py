@@ -15,6 +15,7 @@ are confirmed on the full sets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import blocks, textvec
 from weftline.llm.components import components
-from weftline.llm.runtime import checked_broadcast, kept, small_batches
+from weftline.llm.runtime import checked_broadcast, kept, may_be_in, sizes_unpacked, small_batches
 
 #: Two sets with J = 0.8 miss every one of the 32 buckets with probability (1 - 0.8^4)^32 = 5e-8.
 BINS, BANDS, ROWS = 128, 32, 4
@@ -40,8 +41,8 @@ LESS_SETS, MORE_SETS = 64, 128
 #: Pairs of one centre that are looked at in one place.
 CENTRE_PAIRS = 1_024
 
-#: Rows of ids that are broadcast to find texts or rows by; beyond, the join is a shuffle.
-IDS_AT_ONCE = 2_000_000
+#: Rows of ids that are broadcast to find texts or rows by; beyond, bits are, and what they let through is shuffled.
+IDS_AT_ONCE = 200_000
 
 #: A pair is looked at on its full sets unless its signatures are so many standard deviations below the limit.
 DEVIATIONS = 6.0
@@ -137,10 +138,28 @@ def _text_key() -> Column:
     return F.xxhash64(F.lit(17), "text")
 
 
+def _few(ids: DataFrame) -> bool:
+    """Whether written ids are few enough for a broadcast."""
+    return ids.limit(IDS_AT_ONCE + 1).count() <= IDS_AT_ONCE
+
+
+def _without(rows: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_anti") -> DataFrame:
+    """rows whose keys aren't among written ids, or with left_semi those whose are; rows that the bits already settle aren't shuffled."""
+    if _few(ids):
+        return rows.join(F.broadcast(ids), keys, how)
+    told = may_be_in(rows, F.col(keys[0]), ids, F.col(keys[0]))
+    met = told.where("maybe").drop("maybe").join(ids, keys, how)
+    return met if how == "left_semi" else told.where("NOT maybe").drop("maybe").unionByName(met)
+
+
 def _full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, hashes) of some classes. Only the text of each class's representative is read into a set."""
     asked = kept(ids.join(reps.select("id", "lo", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "id"), "nd-asked")
-    wanted = docs.select("doc_id", "text", _text_key().alias("text_key")).join(checked_broadcast(asked, IDS_AT_ONCE), (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    texts = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    few = _few(asked)
+    if not few:
+        texts = may_be_in(texts, F.col("text_key"), asked, F.col("rep_key")).where("maybe").drop("maybe")
+    wanted = texts.join(F.broadcast(asked) if few else asked, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     return kept(wanted.select("id", "lo", "text").mapInArrow(_sets, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "nd-sets")
 
 
@@ -309,6 +328,16 @@ def _groups(reps: DataFrame, links: DataFrame | None) -> DataFrame:
     return kept(reps.select("lo", "hi", "id").join(components(links), "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component")), "nd-reps")
 
 
+def _ids_unpacked(run):
+    @functools.wraps(run)
+    def within(docs: DataFrame) -> DataFrame:
+        with sizes_unpacked(docs.sparkSession):
+            return run(docs)
+
+    return within
+
+
+@_ids_unpacked
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
@@ -337,6 +366,7 @@ def _row_names(docs: DataFrame) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(23), *columns).alias("b"))
 
 
+@_ids_unpacked
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each group of linked rows the one of least doc_id, of equals any one. Columns and their names are as in docs.
 
@@ -353,8 +383,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = kept(rest.where("me <> best").select("me.own.a", "me.own.b").distinct(), "nd-gone")
     again = kept(rest.where("me = best AND alike > 1").select("me.own.a", "me.own.b").distinct(), "nd-again")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.a.alias("a"), name.b.alias("b"))
-    rows = rows.join(checked_broadcast(gone, IDS_AT_ONCE), ["a", "b"], "left_anti")
+    rows = _without(rows, gone, ["a", "b"])
     if not again.isEmpty():
-        once = rows.join(checked_broadcast(again, IDS_AT_ONCE), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")).select("row", "a", "b")
-        rows = rows.join(checked_broadcast(again, IDS_AT_ONCE), ["a", "b"], "left_anti").unionByName(once)
+        once = _without(rows, again, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")).select("row", "a", "b")
+        rows = _without(rows, again, ["a", "b"]).unionByName(once)
     return rows.select("row.*")
