@@ -57,9 +57,9 @@ def performance(loans: DataFrame, order_type: int = 0) -> DataFrame:
 
 
 def post_loan_sums() -> dict[str, Column]:
-    """The measures of a post-loan report, as aggregates of performance()'s columns."""
+    """The measures of a post-loan report but for its distinct counts, as aggregates of performance()'s columns."""
     names = [horizon_name(h) for h in HORIZONS]
-    sums = {"orders": F.count_distinct("id"), "users": F.count_distinct("phone")} | {c: F.sum(c).cast("double") for c in ("amount", "actual_amount", "admin_amount")} | {"extensions": F.sum("is_extension")}
+    sums = {c: F.sum(c).cast("double") for c in ("amount", "actual_amount", "admin_amount")} | {"extensions": F.sum("is_extension")}
     for n in names:
         sums |= {f"due_{n}": F.sum(f"due_{n}"), f"finish_{n}": F.sum(f"finish_{n}"), f"amount_{n}": F.sum(f"amount_{n}").cast("double"), f"paid_{n}": F.sum(f"paid_{n}").cast("double")}
     return sums | {f"finish_0_{h}": F.sum(f"finish_0_{h}") for h in NEVER_LATE}
@@ -75,12 +75,39 @@ def post_loan_rates(orders: str = "orders") -> dict[str, Column]:
     return out | {f"recall_{h}": part(c(f"finish_{h}") - c(f"finish_0_{h}"), c(f"due_{h}") - c(f"finish_0_{h}")) for h in NEVER_LATE}
 
 
+def distinct_counts(rows: DataFrame, by: list[str], columns: dict[str, str], total: bool = False) -> DataFrame:
+    """(_g, by..., a count of distinct values for each name: column) per group, and with ``total`` over everything, _g 1.
+
+    Each column's values are told apart by themselves, so that no row carries other
+    columns or sums along, as it would beside the sums of one aggregate.
+    """
+    each = None
+    for name, c in columns.items():
+        told = rows.select(*by, c).where(F.col(c).isNotNull()).distinct()
+        n = told.groupBy(*by).agg(F.count("*").alias("n")).withColumn("_g", F.lit(0))
+        if total:
+            all_ = told.select(c).distinct().agg(F.count("*").alias("n"))
+            n = n.unionByName(all_.withColumn("_g", F.lit(1)), allowMissingColumns=True)
+        n = n.withColumn("name", F.lit(name))
+        each = n if each is None else each.unionByName(n)
+    return each.groupBy("_g", *by).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in columns])
+
+
 def post_loan_report(performed: DataFrame, by: list[str], total: str | None = None) -> DataFrame:
-    """All measures per group; with ``total`` a row of that name over everything too, from the same aggregate."""
+    """All measures per group; with ``total`` a row of that name over everything too. performed is read three times and should be cheap to read."""
     sums = [v.alias(k) for k, v in post_loan_sums().items()]
+    told = distinct_counts(performed, by, {"orders": "id", "users": "phone"}, total is not None)
+    if total is None:
+        g = performed.groupBy(*by).agg(*sums).withColumn("_g", F.lit(0))
+    else:
+        g = performed.groupingSets([[F.col(b) for b in by], []], *[F.col(b) for b in by]).agg(F.grouping(by[0]).cast("int").alias("_g"), *sums)
+    told = told.select(*[F.col(c).alias(f"_{c}") for c in told.columns])
+    same = F.col("_g") == F.col("__g")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_{b}"))
+    g = g.join(told, same, "left").select("_g", *by, *[F.coalesce(f"_{n}", F.lit(0)).alias(n) for n in ("orders", "users")], *post_loan_sums())  # a row per group
     if total is None:
-        return performed.groupBy(*by).agg(*sums).withColumns(post_loan_rates())
-    g = performed.groupingSets([[F.col(b) for b in by], []], *[F.col(b) for b in by]).agg(F.grouping(by[0]).alias("_g"), *sums)
+        return g.drop("_g").withColumns(post_loan_rates())
     g = g.withColumns({b: F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(b)) for b in by}).drop("_g")
     whole = g.where(F.col(by[0]) == total).select(F.col("orders").alias("_o"), F.col("users").alias("_u"), F.col("amount").alias("_a"))
     shared = g.crossJoin(F.broadcast(whole))  # one row

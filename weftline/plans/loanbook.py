@@ -72,13 +72,13 @@ def _plain_report(order_type: int) -> str:
 @query("post_loan_report", _plain_report(0))
 def post_loan_report(spark, sf_dir):
     """All measures of the loans of a channel."""
-    return loanbook.post_loan_report(loanbook.performance(_book(spark, sf_dir)), ["channel"])
+    return loanbook.post_loan_report(loanbook.performance(kept(_book(spark, sf_dir), "book")), ["channel"])
 
 
 @query("post_loan_report_extensions", _plain_report(1))
 def post_loan_report_extensions(spark, sf_dir):
     """Only loans whose deadline moved, by their last deadline."""
-    return loanbook.post_loan_report(loanbook.performance(_book(spark, sf_dir), 1), ["channel"])
+    return loanbook.post_loan_report(loanbook.performance(kept(_book(spark, sf_dir), "book"), 1), ["channel"])
 
 
 def _total_report() -> str:
@@ -89,7 +89,7 @@ def _total_report() -> str:
 @query("due_risk_report", _total_report())
 def due_risk_report(spark, sf_dir):
     """Risk of due loans by group, with a row for all and shares of it."""
-    return loanbook.post_loan_report(loanbook.performance(_book(spark, sf_dir)), ["channel"], "All")
+    return loanbook.post_loan_report(loanbook.performance(kept(_book(spark, sf_dir), "book")), ["channel"], "All")
 
 
 @query("loan_performance_rows", f"WITH {_performed_sql(0)} SELECT id, state, (today - due)::INT AS days_due, overdue::INT AS overdue_days, due_m3, finish_m1, finish_0, amount_7::DOUBLE AS amount_7, paid_m2::DOUBLE AS paid_m2, paid_15::DOUBLE AS paid_15, finish_0_7 FROM perf")
