@@ -37,7 +37,7 @@ def grid(df: DataFrame, features: list[str], target: str, train: str, settings:
 
 def scored(df: DataFrame, features: list[str], target: str, train: str, path: str, seed: int = 42, **settings) -> DataFrame:
     """df's rows with a model's probability p and the set they belong to, written to ``path`` and read back."""
-    x = _assembled(df, features)
+    x = _assembled(kept(df, "rows-to-score"), features)
     model = GBTClassifier(featuresCol="x", labelCol=target, seed=seed, **settings).fit(x.where(F.col(train) == 1))
     part = F.when(F.col(train) == 1, "train").otherwise("valid").alias("sample_type")
     model.transform(x).select(*df.columns, vector_to_array("probability")[1].alias("p"), part).write.parquet(path)
@@ -45,13 +45,13 @@ def scored(df: DataFrame, features: list[str], target: str, train: str, path: st
 
 
 def importances(df: DataFrame, features: list[str], target: str, seed: int = 42, **settings) -> list[tuple[str, float]]:
-    model = GBTClassifier(featuresCol="x", labelCol=target, seed=seed, **settings).fit(_assembled(df, features))
+    model = GBTClassifier(featuresCol="x", labelCol=target, seed=seed, **settings).fit(_assembled(kept(df, "rows-to-fit"), features))
     return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 
 
 def fusion(df: DataFrame, scores: list[str], target: str, train: str, size: int) -> DataFrame:
-    """(scores, train, ks, auc) of a logistic model for every combination of ``size`` scores."""
-    out = []
+    """(scores, train, ks, auc) of a logistic model for every combination of ``size`` scores; the rows are written once, as every model reads them several times."""
+    df, out = kept(df, "fusion-rows"), []
     for chosen in combinations(scores, size):
         x = _assembled(df, list(chosen))
         model = LogisticRegression(featuresCol="x", labelCol=target, maxIter=5).fit(x.where(F.col(train) == 1))
