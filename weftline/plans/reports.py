@@ -286,8 +286,8 @@ BAG_SQL = f"t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), g AS (SELECT
 
 @query("ngram_counts", f"WITH {BAG_SQL} SELECT token, sum(n)::BIGINT AS n, count(*) AS n_docs FROM b GROUP BY 1 HAVING count(*) >= 5")
 def ngram_counts(spark, sf_dir):
-    b = text.bag(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 2)
-    return b.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).where("n_docs >= 5")
+    b = text.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 2)
+    return b.groupBy("token").agg(F.count("*").alias("n"), F.count_if("first").alias("n_docs")).where("n_docs >= 5")
 
 
 UNI_BAG = f"t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM documents), b AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL), x AS (SELECT b.*, toxic AS target FROM b JOIN labels USING (doc_id))"
@@ -307,7 +307,9 @@ OOF_SQL = "p AS (SELECT token, doc_id % 5 AS fold, count(*) AS orders, sum(targe
 
 
 def _oof(spark, sf_dir):
-    b, t = _labelled_bag(spark, sf_dir)
+    t = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("target"))
+    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(t.select("doc_id").distinct(), "doc_id", "left_semi")
+    b = text.marked(known, "doc_id", "text", 1).where("first").select("doc_id", "token")
     per = b.join(t, "doc_id").groupBy("token", text.fold_of(F.col("doc_id"), 5).cast("long").alias("fold")).agg(F.count("*").alias("orders"), F.sum("target").alias("bad"))
     return text.oof_dictionary(per, ["token"], "fold")
 
