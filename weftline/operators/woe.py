@@ -84,18 +84,16 @@ def value_classes(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "value").agg(F.count_if(F.col("target") == 0).alias("good"), F.count_if(F.col("target") == 1).alias("bad"), F.count("*").alias("rows"))
 
 
-def monotone_report(per: DataFrame, edges: DataFrame) -> DataFrame:
+def monotone_report(per: DataFrame, edges: DataFrame, most: int = 256) -> DataFrame:
     """(feature, n, bins, crossings, broken, reason, is_bad): the number of bins that monotone_choice would take by majority, and what to hold of it.
 
-    per: value_classes; edges: (feature, n, edges). Weights are of all rows, missing
+    per: value_classes; edges: (feature, n, edges), ``most`` different ones of a feature. Weights are of all rows, missing
     ones included, which have no bin of their own here. A feature that neither rises or
     falls throughout nor crosses zero exactly once is bad, and one without values.
     """
     from weftline.operators import binning
-    from weftline.sources.tables import checked_broadcast
 
-    rows = per.join(checked_broadcast(edges), "feature").withColumn("bin", F.coalesce(binning.bin_of_quantile(F.col("value"), F.col("edges")), F.lit(0)))
-    counted = rows.groupBy("feature", "n", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counted = binning.counts_by_edges(per, edges, ["good", "bad"], most)
     told = bin_table(counted, feature=["feature", "n"]).where("bin > 0").select("feature", "n", "bin", "woe")
     w = W.partitionBy("feature", "n").orderBy("bin")  # n bins at most
     step = told.withColumns({"d": F.col("woe") - F.lag("woe").over(w), "crossed": (F.col("woe") * F.lag("woe").over(w) < 0).cast("int")})

@@ -132,8 +132,7 @@ def monotone_binning(spark, sf_dir):
 def _tables_by_number(spark, sf_dir, ns):
     """(feature, n, bin, woe) for every number of bins, from one pass over counts per distinct value."""
     per = kept(value_counts(spark, sf_dir).where("value IS NOT NULL").groupBy("feature", "value").agg(F.sum(F.when(F.col("target") == 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("target") == 0, 0).otherwise(F.col("n"))).alias("bad"), F.sum("n").alias("rows")), "class-counts")
-    rows = binned(per, binning.quantile_edges_of(per, ns, rows="rows"))  # a row per feature and number
-    found = rows.groupBy("feature", "n", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    found = binning.counts_by_edges(per, binning.quantile_edges_of(per, ns, rows="rows"), ["good", "bad"], sum(n + 1 for n in ns))
     return woe.bin_table(found, feature=["feature", "n"]).select("feature", "n", "bin", "woe")
 
 

@@ -36,7 +36,7 @@ def monotone_columns(spark, sf_dir):
     x = sample(spark, sf_dir).withColumns({"flat": F.lit(7.0), "gone": F.lit(None).cast("double")})
     x = x.select("target", *[clean.present(F.col(c).cast("double"), True).alias(c) for c in COLUMNS])
     per = kept(woe.value_classes(clean.long_form(x, list(COLUMNS), ["target"])), "column-values")
-    return woe.monotone_report(per, binning.quantile_edges_of(per.where("value IS NOT NULL"), list(range(LEAST, MOST + 1)), rows="rows"))
+    return woe.monotone_report(per, binning.quantile_edges_of(per.where("value IS NOT NULL"), list(range(LEAST, MOST + 1)), rows="rows"), sum(n + 1 for n in range(LEAST, MOST + 1)))
 
 
 WIDTH = 500
