@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from weftline.operators import binning, joins, prefix, text, woe
+from weftline.sources import tables
 
 
 def test_leave_one_out_with_folds_that_a_key_lacks(spark, monkeypatch):
@@ -87,3 +88,38 @@ def test_columns_get_a_reason(spark):
     assert got["turn"].is_bad and got["turn"].crossings == 2 and got["turn"].broken > 0
     assert got["gone"].is_bad and got["gone"].reason == "no values" and got["gone"].n is None
     assert woe.monotone_report(per.limit(0), spark.createDataFrame([], "feature string, n int, edges array<double>")).count() == 0
+
+
+@pytest.mark.parametrize("first_only", [False, True])
+def test_lists_are_dealt_out_by_id_once(spark, monkeypatch, first_only):
+    written = {}
+    monkeypatch.setattr(text, "kept", lambda df, tag: written.setdefault(tag, df))
+    rng = random.Random(5)
+    entries = spark.createDataFrame([(rng.randrange(50), rng.choice("abcd"), rng.choice([-5.0, 3.0, 9.0, 25.0, 41.0, None])) for _ in range(600)], "id long, item string, age double")
+    ids = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(50)], "id long, target int")
+    want = {tuple(r[:6]): r[6:] for r in text.items_of_spans(entries, ids, [3, 10, 40], 4, first_only).collect()}
+    written.clear()
+    got = text.items_of_spans(entries, ids, [3, 10, 40], 4, first_only, tasks=7)
+    assert {tuple(r[:6]): tuple(round(x, 9) for x in r[6:]) for r in got.collect()} == {k: tuple(round(x, 9) for x in v) for k, v in want.items()} and want
+    plan = written["items-folds"]._jdf.queryExecution().executedPlan().toString()
+    assert list(written) == ["items-folds"]
+    # of the entries, one shuffle, to as many tasks as are asked for; then items and folds
+    shuffles = [x.split("Exchange hashpartitioning(")[1].split("[plan_id")[0] for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert sorted(x.split("#")[0] for x in shuffles) == ["id", "id", "item"] and all(", 7)" in x and "item" not in x for x in shuffles if x.startswith("id"))
+
+
+def test_tasks_go_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 100)
+    few = spark.sparkContext.defaultParallelism
+    assert [tables.tasks_for(spark, n) for n in (0, 100 * few, 100 * few + 1, 100_000)] == [None, None, few + 1, 1_000]
+    assert tables.dealt(spark.range(50), 9, "id").rdd.getNumPartitions() == 9
+
+
+def test_folds_without_lists_and_ids_without_a_target(spark):
+    entries = spark.createDataFrame([(0, "a", 1.0), (0, None, 1.0), (1, "a", 1.0), (1, "b", 9.0)], "id long, item string, age double")
+    ids = spark.createDataFrame([(0, 1), (1, None), (2, 0), (None, 0)], "id long, target int")
+    got = {(r.span, r.fold, r.item): (r.orders, r.orders_0, r.orders_1, r.weight_1, r.all_0, r.all_1) for r in text.items_of_spans(entries, ids, [3, 10], 3).collect()}
+    of_all = {(3, "a"): (2, 0, 1, 0.5, 1, 1), (10, "a"): (2, 0, 1, 0.5, 1, 1), (3, None): (1, 0, 1, 0.5, 1, 1), (10, None): (1, 0, 1, 0.5, 1, 1), (10, "b"): (1, 0, 0, 0.0, 1, 1)}
+    assert {(s, i): v for (s, f, i), v in got.items() if f == -1} == of_all
+    assert {(s, i): v[:4] for (s, f, i), v in got.items() if f == 2} == {k: v[:4] for k, v in of_all.items()}
+    assert got[(3, 0, "a")] == (1, 0, 0, 0.0, 1, 0) and (3, 0, None) not in got and got[(10, 1, "a")] == (1, 0, 1, 0.5, 1, 1) and (10, 1, "b") not in got

@@ -60,13 +60,14 @@ def leading_sum(key: str, micros: Column, days: int, value: Column) -> Column:
     return F.sum(value).over(W.partitionBy(key).orderBy(micros).rangeBetween(0, days * 86_400_000_000 - 1))
 
 
-def leave_one_out(counted: DataFrame, keys: list[str], fold: str, sums: list[str]) -> DataFrame:
+def leave_one_out(counted: DataFrame, keys: list[str], fold: str, sums: list[str], among: DataFrame | None = None) -> DataFrame:
     """(keys, fold, sums) for every fold without itself, and -1 for all folds; entries that nothing is left of go.
 
     Total minus own, from one shuffle on the keys: a key's own folds, MOST_FOLDS at
     most, lie in one row with its totals, and folds that it isn't in take the totals.
+    Folds are those of ``among``, if given, as a fold may have nothing to count.
     """
-    known = sorted(r[0] for r in counted.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    known = sorted(r[0] for r in (counted if among is None else among).select(fold).distinct().limit(MOST_FOLDS + 1).collect())
     if len(known) > MOST_FOLDS:
         raise ValueError(f"{fold} has more than {MOST_FOLDS} values; folds are meant to be few")
     kind = counted.schema[fold].dataType

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import times
 from weftline.operators import text
 from weftline.plans.registry import query
-from weftline.sources.tables import table
+from weftline.sources.tables import dealt, table, tasks_for
 
 #: Ages in days that lists are cut at, and folds (fixed values).
 SPANS, FOLDS = [3, 7, 15, 30, 90, 180], 20
 
 
 def _lists(spark, sf_dir, item):
-    """Entries of each customer's list, aged by the day of the last order, and the customers with their target."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), "o_orderdate")
-    last = o.groupBy("id").agg(F.max("o_orderdate").alias("applied"))
+    """Entries of each customer's list, aged by the day of the last order, the customers with their target, and the tasks that so many lines need."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    tasks = tasks_for(spark, lines.count())
+    by = lambda df, key: dealt(df, tasks, key) if tasks else df
+    meeting = lambda df, key: by(df, key).hint("merge") if tasks else df  # noqa: E731  small tables may be broadcast
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    x = lines.join(o.drop("o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(last, "id").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    entries = x.select("id", item.alias("item"), ((times.micros(F.col("applied")) - times.micros(F.col("l_shipdate"))) / F.lit(86400e6)).alias("age"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), "o_orderdate").where("id IS NOT NULL")
+    o = by(orders, "id").select("o_orderkey", "id", F.max("o_orderdate").over(W.partitionBy("id")).alias("applied"))
+    x = by(lines, "l_partkey").join(meeting(parts, "p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_shipdate", item.alias("item"))
+    x = by(x, "l_orderkey").join(meeting(o, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    entries = x.select("id", "item", ((times.micros(F.col("applied")) - times.micros(F.col("l_shipdate"))) / F.lit(86400e6)).alias("age"))
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 500).cast("int").alias("target"))
-    return entries, ids
+    return entries, ids, tasks
 
 
 def _lists_sql(item: str, first_only: bool = False) -> str:
@@ -44,7 +49,8 @@ BRAND = "p_brand || '/' || p_type"
 @query("item_dictionary_spans", f"WITH {_lists_sql(BRAND)} SELECT span::INT AS span, fold::INT AS fold, item, orders_0, orders_1, round(weight_0, 6) AS weight_0, round(weight_1, 6) AS weight_1, all_0, all_1 FROM p JOIN a USING (fold)")
 def item_dictionary_spans(spark, sf_dir):
     """Lists of brands and types bought, cut at six ages: lists, weights and totals of the other 19 folds and of all."""
-    stats = text.items_of_spans(*_lists(spark, sf_dir, F.concat_ws("/", "p_brand", "p_type")), SPANS, FOLDS)
+    entries, ids, tasks = _lists(spark, sf_dir, F.concat("p_brand", F.lit("/"), "p_type"))
+    stats = text.items_of_spans(entries, ids, SPANS, FOLDS, tasks=tasks)
     return stats.select("span", "fold", "item", "orders_0", "orders_1", F.round("weight_0", 6).alias("weight_0"), F.round("weight_1", 6).alias("weight_1"), "all_0", "all_1")
 
 
@@ -58,11 +64,13 @@ SELECT span::INT AS span, fold::INT AS fold, item, orders, lift, (greatest(1, le
 @query("item_levels_spans", f"WITH {_lists_sql(BRAND)}, {_LEVELS}")
 def item_levels_spans(spark, sf_dir):
     """Items of those lists that are often enough and of a lift that says something, with a level."""
-    return text.select_items(text.items_of_spans(*_lists(spark, sf_dir, F.concat_ws("/", "p_brand", "p_type")), SPANS, FOLDS), ["span", "fold"])
+    entries, ids, tasks = _lists(spark, sf_dir, F.concat("p_brand", F.lit("/"), "p_type"))
+    return text.select_items(text.items_of_spans(entries, ids, SPANS, FOLDS, tasks=tasks), ["span", "fold"])
 
 
 @query("sender_levels_spans", f"WITH {_lists_sql('l_suppkey', True)}, {_LEVELS}")
 def sender_levels_spans(spark, sf_dir):
     """The same for distinct senders, each at the age of its first message: suppliers stand for them."""
-    stats = text.items_of_spans(*_lists(spark, sf_dir, F.col("l_suppkey")), SPANS, FOLDS, first_only=True)
+    entries, ids, tasks = _lists(spark, sf_dir, F.col("l_suppkey"))
+    stats = text.items_of_spans(entries, ids, SPANS, FOLDS, first_only=True, tasks=tasks)
     return text.select_items(stats, ["span", "fold"])
